@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,7 +46,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
     """Cut Arrow batches so that ``column`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
             if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

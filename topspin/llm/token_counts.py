@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +90,7 @@ def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
+            sizes = pc.binary_length(batch.column("text")).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key"), sizes, pa.array(counter(path).counts(texts), pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
     source = docs.select(F.col(id_column).alias("key"), F.col(text_column).cast("string").alias("text"))
