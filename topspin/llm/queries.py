@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topspin.llm import bpe, quality, simhash, token_counts
+from topspin.llm import bpe, decontamination, quality, simhash, token_counts
 from topspin.llm.shared import table
 
 CONTEXT_TOKENS = 4096
@@ -33,8 +33,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_token_counts, op3_quality_classifier, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_token_counts, op3_quality_classifier, op7_simhash_near_dedup, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
