@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topspin.llm import bpe, decontamination, quality, simhash, token_counts
+from topspin.llm import bpe, decontamination, html_text, quality, simhash, token_counts
 from topspin.llm.shared import table
 
 CONTEXT_TOKENS = 4096
@@ -29,6 +29,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_token_counts, op3_quality_classifier, op7_simhash_near_dedup, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_token_counts, op3_quality_classifier, op5_html_extraction, op7_simhash_near_dedup, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
