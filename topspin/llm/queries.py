@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topspin.llm import bpe, decontamination, html_text, quality, simhash, token_counts
+from topspin.llm import bpe, decontamination, html_text, knn, quality, simhash, token_counts, warc
 from topspin.llm.shared import table
 
 CONTEXT_TOKENS = 4096
@@ -37,13 +37,56 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc.write(pages, warc.archive_folder(spark))
+    kind = pages.schema["page_id"].dataType
+    found = warc.read(index, payloads=False)
+    return found.select(F.col("page_id").try_cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast(kind))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = (
+    op1_bpe_encode_decode,
+    op2_token_counts,
+    op3_quality_classifier,
+    op5_html_extraction,
+    op7_simhash_near_dedup,
+    op8_warc_bundles,
+    op9_benchmark_decontamination,
+    op10_voronoi_top_k,
+)
+
+ORACLES = {
+    "op8_warc_bundles": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT d.page_id, d.payload_bytes, d.payload_digest,
+               CASE WHEN f.first_id < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first_id < d.page_id THEN f.first_id END AS refers_to
+        FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest""",
+    "op10_voronoi_top_k": """
+        WITH u AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+        v AS (SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM u),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(sum(q.x * v.x) AS BIGINT) AS score
+              FROM v AS q JOIN v ON q.i = v.i AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, v.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_token_counts, op3_quality_classifier, op5_html_extraction, op7_simhash_near_dedup, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
