@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topspin.llm import bpe, decontamination, html_text, knn, quality, simhash, token_counts, warc
+from topspin.llm import bpe, decontamination, html_text, knn, preferences, quality, simhash, token_counts, warc
 from topspin.llm.shared import table
 
 CONTEXT_TOKENS = 4096
@@ -33,6 +33,20 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation is chosen over itself with the last answer of its neighbour (ids 2k and 2k + 1)."""
+    chosen = table(spark, sf_dir, "conversations")
+    rejected = preferences.with_swapped_answer(chosen, F.col("conv_id").bitwiseXOR(F.lit(1)))
+    pairs = preferences.preference_pairs(chosen, rejected, pair_column="conv_id")
+
+    def mask(name: str) -> Column:
+        parts = F.zip_with(f"{name}_segments", f"{name}_loss", lambda s, loss: F.concat(F.when(loss, "+").otherwise("-"), F.length(s).cast("string")))
+        return F.array_join(parts, " ").alias(f"{name}_mask")
+
+    text = [F.array_join(f"{n}_segments", "").alias(n) for n in ("chosen", "rejected")]
+    return pairs.select("conv_id", F.col("prompt_turns").cast("long").alias("prompt_turns"), "prompt", *text, mask("chosen"), mask("rejected"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +73,7 @@ QUERIES = (
     op2_token_counts,
     op3_quality_classifier,
     op5_html_extraction,
+    op6_preference_formatting,
     op7_simhash_near_dedup,
     op8_warc_bundles,
     op9_benchmark_decontamination,
@@ -66,6 +81,24 @@ QUERIES = (
 )
 
 ORACLES = {
+    "op6_preference_formatting": """
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+        l AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM c WHERE role = 'assistant' GROUP BY conv_id),
+        s AS (SELECT a.conv_id, a.turn, b.text FROM l AS a LEFT JOIN l AS b ON b.conv_id = xor(a.conv_id, 1)),
+        j AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN s.conv_id IS NULL THEN c.text ELSE s.text END AS text
+              FROM c LEFT JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn),
+        m AS (SELECT c.conv_id, c.turn, c.role, c.text, j.text AS other FROM c JOIN j ON j.conv_id = c.conv_id AND j.turn = c.turn),
+        k AS (SELECT conv_id, min(CASE WHEN other IS NULL OR other <> text THEN turn END) AS cut FROM m GROUP BY conv_id),
+        t AS (SELECT m.conv_id, m.turn, coalesce(m.turn < k.cut, true) AS common, '<|im_start|>' || role || chr(10) AS head,
+                     text || '<|im_end|>' || chr(10) AS body, other || '<|im_end|>' || chr(10) AS other,
+                     CASE WHEN role = 'assistant' THEN '+' ELSE '-' END AS sign FROM m JOIN k ON k.conv_id = m.conv_id)
+        SELECT conv_id, CAST(sum(CASE WHEN common THEN 1 ELSE 0 END) AS BIGINT) AS prompt_turns,
+               coalesce(string_agg(CASE WHEN common THEN head || body END, '' ORDER BY turn), '') AS prompt,
+               coalesce(string_agg(CASE WHEN NOT common THEN head || body END, '' ORDER BY turn), '') AS chosen,
+               coalesce(string_agg(CASE WHEN NOT common THEN head || other END, '' ORDER BY turn), '') AS rejected,
+               coalesce(string_agg(CASE WHEN NOT common THEN '-' || length(head) || ' ' || sign || length(body) END, ' ' ORDER BY turn), '') AS chosen_mask,
+               coalesce(string_agg(CASE WHEN NOT common THEN '-' || length(head) || ' ' || sign || length(other) END, ' ' ORDER BY turn), '') AS rejected_mask
+        FROM t GROUP BY conv_id""",
     "op8_warc_bundles": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
