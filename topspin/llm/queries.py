@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topspin.llm import bpe, decontamination, html_text, knn, preferences, quality, simhash, token_counts, warc
+from topspin.llm import bpe, decontamination, html_text, knn, preferences, quality, simhash, substrings, token_counts, warc
 from topspin.llm.shared import table
 
 CONTEXT_TOKENS = 4096
@@ -29,6 +30,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -72,6 +77,7 @@ QUERIES = (
     op1_bpe_encode_decode,
     op2_token_counts,
     op3_quality_classifier,
+    op4_substring_dedup,
     op5_html_extraction,
     op6_preference_formatting,
     op7_simhash_near_dedup,
@@ -118,8 +124,8 @@ ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
