@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +13,9 @@ _RETIRED = (r"(?i)\s*ret\.?\s*$", r"(?i)\s*retired\.?\s*$", r"(?i)\s*r\.?\s*$",
 _WALKOVER, _DEFAULT = ("w/o", "wo", "walkover", "w.o.", "w.o"), ("def", "default", "def.")
 
 
-def _first(text: Column, then: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    out = None
-    for test, value in then:
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(otherwise)
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` mentions it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def is_walkover(score: Column) -> Column:
@@ -32,22 +32,30 @@ def is_retired(score: Column) -> Column:
 
 def set_tokens(score: Column) -> Column:
     """The tokens of a score that are sets; everything else is dropped."""
-    text = F.trim(score)
-    text = _first(text, [(text.rlike(p), F.regexp_replace(text, p, "")) for p in _RETIRED], text)
+
+    def without_ending(text: Column) -> Column:
+        out = F.when(text.rlike(_RETIRED[0]), F.regexp_replace(text, _RETIRED[0], ""))
+        for p in _RETIRED[1:]:
+            out = out.when(text.rlike(p), F.regexp_replace(text, p, ""))
+        return out.otherwise(text)
+
+    text = bind(F.trim(score), without_ending)
     return F.filter(F.split(F.trim(F.regexp_replace(text, r"\[(\d+-\d+)\]", "$1")), r"\s+"), lambda t: t.rlike(_SET))
 
 
 def _set(token: Column) -> Column:
-    part = lambda k: F.expr("try_cast(null as int)") if k is None else F.regexp_extract(token, _SET, k).try_cast("int")
-    a, b, first, second = (part(k) for k in (1, 2, 3, 4))
-    other = F.greatest(F.lit(7), first + 2)
-    tie = first.isNotNull()
-    tb_a = F.when(second.isNotNull() | (a <= b), first).otherwise(other)
-    tb_b = F.when(second.isNotNull(), second).when(a > b, first).otherwise(other)
-    return F.struct(
-        a.alias("a"), b.alias("b"), F.when(tie, tb_a).alias("tb_a"), F.when(tie, tb_b).alias("tb_b"),
-        tie.alias("is_tiebreak"), (~tie & ((a >= 10) | (b >= 10))).alias("is_super"),
-    )
+    def of(n: Column) -> Column:
+        a, b, first, second = (F.get(n, F.lit(k)) for k in range(4))
+        other = F.greatest(F.lit(7), first + 2)
+        tie = first.isNotNull()
+        tb_a = F.when(second.isNotNull() | (a <= b), first).otherwise(other)
+        tb_b = F.when(second.isNotNull(), second).when(a > b, first).otherwise(other)
+        return F.struct(
+            a.alias("a"), b.alias("b"), F.when(tie, tb_a).alias("tb_a"), F.when(tie, tb_b).alias("tb_b"),
+            tie.alias("is_tiebreak"), (~tie & ((a >= 10) | (b >= 10))).alias("is_super"),
+        )
+
+    return bind(F.transform(F.split(token, r"\D+"), lambda x: x.try_cast("int")), of)
 
 
 def sets(score: Column) -> Column:
@@ -61,32 +69,41 @@ def sets_won(parsed: Column, by_a: bool) -> Column:
 
 def winner(parsed: Column, retired: Column) -> Column:
     """A or B: two sets and more than the other; after a retirement who leads in sets, then in the last set, then A. Else null."""
-    a, b = sets_won(parsed, True), sets_won(parsed, False)
-    last = F.try_element_at(parsed, F.lit(-1))
-    led = F.when(a > b, "A").when(b > a, "B").when(last["a"] > last["b"], "A").when(last["b"] > last["a"], "B").otherwise("A")
-    return F.when(F.size(parsed) <= 0, None).when((a >= 2) & (a > b), "A").when((b >= 2) & (b > a), "B").when(retired, led)
+
+    def of(x: Column) -> Column:
+        a, b, last = x["a"], x["b"], x["last"]
+        led = F.when(a > b, "A").when(b > a, "B").when(last["a"] > last["b"], "A").when(last["b"] > last["a"], "B").otherwise("A")
+        return F.when((a >= 2) & (a > b), "A").when((b >= 2) & (b > a), "B").when(x["retired"] & last.isNotNull(), led)
+
+    return bind(F.struct(sets_won(parsed, True).alias("a"), sets_won(parsed, False).alias("b"), F.try_element_at(parsed, F.lit(-1)).alias("last"), retired.alias("retired")), of)
 
 
 def parse_score(score: Column) -> Column:
     """``struct<sets, winner, status, retirement_set>``, null where ``score`` is null, empty or no score."""
-    walkover, default, retired, parsed = is_walkover(score), is_default(score), is_retired(F.trim(score)), sets(score)
-    nothing = F.slice(parsed, 1, 0)
-    return F.when(walkover | default, F.struct(nothing.alias("sets"), F.lit("A").alias("winner"), F.when(walkover, "walkover").otherwise("default").alias("status"), F.lit(None).cast("int").alias("retirement_set"))).when(
-        F.size(parsed) > 0,
-        F.struct(parsed.alias("sets"), winner(parsed, retired).alias("winner"), F.when(retired, "retired").otherwise("completed").alias("status"), F.when(retired, F.size(parsed)).alias("retirement_set")),
-    )
+
+    def of(x: Column) -> Column:
+        parsed, none = x["sets"], F.lit(None).cast("int")
+        flat = F.struct(F.slice(parsed, 1, 0).alias("sets"), F.lit("A").alias("winner"), F.when(x["walkover"], "walkover").otherwise("default").alias("status"), none.alias("retirement_set"))
+        played = F.struct(parsed.alias("sets"), winner(parsed, x["retired"]).alias("winner"), F.when(x["retired"], "retired").otherwise("completed").alias("status"), F.when(x["retired"], F.size(parsed)).alias("retirement_set"))
+        return F.when(x["walkover"] | x["default"], flat).when(F.size(parsed) > 0, played)
+
+    return bind(F.struct(sets(score).alias("sets"), is_walkover(score).alias("walkover"), is_default(score).alias("default"), is_retired(F.trim(score)).alias("retired")), of)
 
 
 def to_structured(parsed: Column) -> Column:
     """The stored form of a parsed score: ``array<struct<a, b, tb_a, tb_b, retired>>``."""
-    return F.transform(parsed["sets"], lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["tb_a"].alias("tb_a"), s["tb_b"].alias("tb_b"), F.when((parsed["status"] == "retired") & (parsed["retirement_set"] == i + 1), True).alias("retired")))
+    return bind(parsed, lambda p: F.transform(p["sets"], lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["tb_a"].alias("tb_a"), s["tb_b"].alias("tb_b"), F.when((p["status"] == "retired") & (p["retirement_set"] == i + 1), True).alias("retired"))))
 
 
 def display(parsed: Column) -> Column:
     """A parsed score as text; a tie-break shows the loser's points."""
-    one = F.transform(parsed["sets"], lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"), F.when(s["is_tiebreak"], F.concat(F.lit("("), F.least(s["tb_a"], s["tb_b"]).cast("string"), F.lit(")"))).otherwise("")))
-    text = F.array_join(one, " ")
-    return F.when(parsed["status"] == "walkover", "W/O").when(parsed["status"] == "default", "DEF").when(parsed["status"] == "retired", F.concat(text, F.lit(" RET"))).otherwise(text)
+
+    def of(p: Column) -> Column:
+        tie = lambda s: F.when(s["is_tiebreak"], F.concat(F.lit("("), F.least(s["tb_a"], s["tb_b"]).cast("string"), F.lit(")"))).otherwise("")
+        text = F.array_join(F.transform(p["sets"], lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"), tie(s))), " ")
+        return F.when(p["status"] == "walkover", "W/O").when(p["status"] == "default", "DEF").when(p["status"] == "retired", F.concat(text, F.lit(" RET"))).otherwise(text)
+
+    return bind(parsed, of)
 
 
 def flip(score: Column) -> Column:
@@ -101,9 +118,12 @@ def games(structured: Column, of_a: bool) -> Column:
 
 def dominance(structured: Column, winner_is_a: Column) -> Column:
     """Games won less games lost by the winner, over all games; a half without games."""
-    a, b = games(structured, True), games(structured, False)
-    won, lost = F.when(winner_is_a, a).otherwise(b), F.when(winner_is_a, b).otherwise(a)
-    return F.when(F.coalesce(a + b, F.lit(0)) == 0, 0.5).otherwise((won - lost) / (a + b))
+
+    def of(x: Column) -> Column:
+        won, lost = F.when(winner_is_a, x["a"]).otherwise(x["b"]), F.when(winner_is_a, x["b"]).otherwise(x["a"])
+        return F.when(F.coalesce(x["a"] + x["b"], F.lit(0)) == 0, 0.5).otherwise((won - lost) / (x["a"] + x["b"]))
+
+    return bind(F.struct(games(structured, True).alias("a"), games(structured, False).alias("b")), of)
 
 
 def margin_multiplier(structured: Column, winner_is_a: Column, base: float = 0.85, scale: float = 0.3) -> Column:

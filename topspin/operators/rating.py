@@ -173,7 +173,8 @@ def _run(batches: Iterator[pa.RecordBatch], keys: list[str], fast: bool) -> Iter
             rating[a], rating[b] = post_a, post_b
             out.append((*key, match, pre_a, pre_b, post_a, post_b, min(1 - 1e-7, max(1e-7, p if a_won else 1 - p))))
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip([*keys, "id", "pre_a", "pre_b", "post_a", "post_b", "p_winner"], r, strict=True)) for r in out])
+            types = [*(batch.schema.field(k).type for k in keys), pa.int64(), *[pa.float64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*keys, "id", "pre_a", "pre_b", "post_a", "post_b", "p_winner"])
 
 
 def fold(rows: DataFrame, states: DataFrame | None = None, fast: bool = False) -> DataFrame:
@@ -315,7 +316,7 @@ S_BOUNDS = {"F": (500, 2500), "C": (600, 2800), "A": (800, 3000), "M": (800, 300
 
 
 def to_step(value: float, step: float, low: float, high: float) -> float:
-    return min(high, max(low, round(value / step) * step))
+    return float(min(high, max(low, round(value / step) * step)))
 
 
 def propose(count: int, seed: int = 1, around: Params | None = None, width: float = 1.0) -> list[Params]:
