@@ -13,6 +13,7 @@ from topspin.functions.names import compare_names, is_abbreviated, last_name, se
 from topspin.operators.matches import sides
 from topspin.operators.tables import first_by, insert_missing, remap
 from topspin.schema import AUTO_MATCH, LIKELY_MATCH, STRONG_MATCH
+from topspin.sources.sinks import durable
 
 
 def trigram_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -128,9 +129,10 @@ def merge_targets(redirects: DataFrame) -> DataFrame:
     while doubled < count:
         on = reached.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("_next"), F.col("least").alias("_least"))
         ahead = reached.join(on, "to_id", "left")
-        moved = ahead.select("from_id", F.coalesce("_next", "to_id").alias("to_id"), F.least("least", F.coalesce("_least", "least"), F.coalesce("_next", "to_id")).alias("least"), F.col("_next").isNotNull().alias("moved")).checkpoint()
+        moved = ahead.select("from_id", F.coalesce("_next", "to_id").alias("to_id"), F.least("least", F.coalesce("_least", "least"), F.coalesce("_next", "to_id")).alias("least"), F.col("_next").isNotNull().alias("moved"))
+        moved = durable(moved)
         reached = moved.drop("moved")
-        if not moved.where("moved").limit(1).count():
+        if moved.where("moved").isEmpty():
             break
         doubled *= 2
     circles = reached.join(step.select(F.col("from_id").alias("to_id"), F.lit(True).alias("_circle")), "to_id", "left")

@@ -2,8 +2,9 @@
 
 Everything about a match that doesn't depend on ratings (level, margin, how many matches a player had before, how long ago the last
 one was) is worked out by windows over the players' matches. What is left is a recursion over pairs of players: an ordered
-fold. Ratings of pools that never meet are independent, so the fold runs for each pool on its own; a task streams through its
-pools in order and holds a number for each player, never the matches.
+fold. It is sequential wherever players meet, however indirectly. Pools that never meet are independent; where a column tells
+them apart (``pool`` of ``levels()``), each is folded on its own. A task streams through its pools in order and holds a number for
+each player, never the matches.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from topspin.functions.scores import dominance, parse_score, to_structured
 from topspin.operators.matches import sides
 from topspin.operators.tables import upsert
 from topspin.schema import RATED, RATED_FAST, RATING_K, RATING_S
+from topspin.sources.sinks import durable
 
 Number = Column | float
 
@@ -116,10 +118,13 @@ def history(rows: DataFrame, states: DataFrame | None = None) -> DataFrame:
     return rows.join(both, "id")
 
 
-def levels(rows: DataFrame) -> DataFrame:
-    """Rows of ``star()`` with the level's ``code``, the ``pool`` that it rates in, and the structured score."""
+def levels(rows: DataFrame, pool: Column | None = None) -> DataFrame:
+    """Rows of ``star()`` with the level's ``code``, the structured score, and ``pool``: one for all, or what the given column says.
+
+    A player must have all matches in one pool.
+    """
     code = level_code(F.col("t_level"), F.col("t_tour"))
-    rows = rows.withColumn("code", code).withColumn("pool", F.when(code.startswith("W"), "women").otherwise("men"))
+    rows = rows.withColumn("code", code).withColumn("pool", F.lit("all") if pool is None else pool)
     return rows.withColumn("score_structured", to_structured(parse_score(F.col("score"))))
 
 
@@ -256,13 +261,15 @@ def update_ratings(star: DataFrame, rated: DataFrame, states: DataFrame, params:
     fresh = done.join(rated.select("id"), "id", "left_anti")
     point = late_point(fresh, states).first().point if repair else None
     if point is not None:
+        # what is kept is read three times below
         kept = rated.join(done.where(F.col("temporal_order") < point).select("id"), "id", "left_semi")
-        rated, states = kept, states_before(kept, done, point)
+        rated = durable(kept)
+        states = durable(states_before(rated, done, point))
         fresh = done.join(rated.select("id"), "id", "left_anti")
     rows = levels(fresh)
     pools = sides(rows, "pool").select("player_id", "pool").distinct()
     known = states.select("player_id", "rating").join(pools, "player_id")
-    new = fold(factors(history(rows, states), params or Params()), known)
+    new = durable(fold(factors(history(rows, states), params or Params()), known))
     return rated.unionByName(new.select(*rated.columns)), states_after(new, done, states)
 
 

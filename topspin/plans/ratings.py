@@ -9,6 +9,7 @@ from topspin.operators import identity, matches, rating
 from topspin.plans.registry import query
 from topspin.plans.relational import star
 from topspin.sources import store
+from topspin.sources.sinks import durable
 from topspin.sources.store import WITH
 
 #: Sets of the stand-in scores as lists of games, in the oracle's dialect.
@@ -100,8 +101,8 @@ def rating_incremental(spark, sf_dir):
     """Everything but the last hundredth in time as a first run, the rest and some late matches as a second."""
     rows = star(spark, sf_dir).where("match_date IS NOT NULL")
     early = (F.col("id") % 100 != 0) & (F.col("match_date") < F.lit("2001-06-01").cast("date"))
-    first = rating.rebuild(rows.where(early))
-    rated, _ = rating.update_ratings(rows, first, rating.states_after(first, rows))
+    first = durable(rating.rebuild(rows.where(early)))
+    rated, _ = rating.update_ratings(rows, first, durable(rating.states_after(first, rows)))
     return rated.select("pool", "id", "pre_a", "pre_b", "post_a", "post_b")
 
 
