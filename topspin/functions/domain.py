@@ -169,7 +169,7 @@ def tournament_gender(tour: Column, code: Column, name: Column) -> Column:
 
 def external_id(year: Column, tournament: Column, code: Column, a: Column, b: Column) -> Column:
     """``year_tournament_round_a_b`` with the smaller player id first, upper case; null if a part is missing."""
-    return F.upper(F.concat(year.cast("string"), F.lit("_"), tournament, F.lit("_"), code, F.lit("_"), F.least(a, b), F.lit("_"), F.greatest(a, b))) if not isinstance(a, str) else None
+    return F.upper(F.concat(year.cast("string"), F.lit("_"), tournament, F.lit("_"), code, F.lit("_"), F.least(a, b), F.lit("_"), F.greatest(a, b)))
 
 
 def pair_key(a: Column, b: Column) -> Column:
