@@ -168,7 +168,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, column: str = "fingerprin
     other = F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)
     cell = F.transform(other, lambda c: F.least(c, F.col("chunk")).cast("long") * (1 << 31) + F.greatest(c, F.col("chunk")))
     rows = rows.select("band", "part", F.explode(cell).alias("cell"), "bits")
-    rows = rows.repartition("band", "part", "cell").sortWithinPartitions("band", "part", "cell")
+    # sorted by bits too, a cell's links go to its smallest fingerprint, as the stars of the component search do
+    rows = rows.repartition("band", "part", "cell").sortWithinPartitions("band", "part", "cell", "bits")
     return rows.mapInArrow(lambda batches: _cells(batches, radius), "a long, b long")
 
 
