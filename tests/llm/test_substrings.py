@@ -1,8 +1,11 @@
+import itertools
 import random
 
 import numpy as np
 
-from topspin.llm.substrings import SIMILARITY, Stretches, cut, repeated_passages, repeated_stretches, without_repeats
+from topspin.llm import substrings
+from topspin.llm.components import connected_components
+from topspin.llm.substrings import SIMILARITY, Stretches, alike_links, cut, repeated_passages, repeated_stretches, without_repeats
 
 
 def make(seed=1):
@@ -95,3 +98,64 @@ def test_places_and_huge_words():
     assert len(set(s.words.tolist())) == 6
     assert cut("a b", []) == "a b"
     assert Stretches("x " * 500).hash.size == Stretches(" x" * 500).hash.size > 0
+
+
+def variants():
+    """Documents in pairs that differ in a word, with one five-word phrase that is the MinHash of a stretch of each."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghé", k=6)) for _ in range(4000)]
+    words = rng.choices(vocabulary, k=100_000)
+    k = int(Stretches(" ".join(words)).shingles.argmin())
+    phrase, docs, band = words[k : k + 5], {}, None
+    while len(docs) < 24:
+        texts = [w := [*rng.choices(vocabulary, k=12), *phrase, *rng.choices(vocabulary, k=12)], [*w]]
+        texts[1][rng.randrange(len(w))] = "changed"
+        one, two = (Stretches(" ".join(t)) for t in texts)
+        least = one.band.min() if len(one.band) else None
+        if least is None or least not in two.band or (band is not None and least != band):
+            continue
+        i, j = one.band.argmin(), two.band.argmin()
+        a, b = set(one.small_shingles(i).tolist()), set(two.small_shingles(j).tolist())
+        if one.hash[i] != two.hash[j] and len(a & b) >= SIMILARITY * len(a | b):
+            band = least
+            for t in texts:
+                docs[len(docs)] = " ".join(t)
+    return docs, band
+
+
+def test_all_pairs_of_a_band_are_compared(spark):
+    docs, band = variants()
+    own = {d: Stretches(t) for d, t in docs.items()}
+    at = {d: int(np.flatnonzero(s.band == band)[0]) for d, s in own.items()}
+    found = {(r.doc, r.number): r.first_doc for r in repeated_stretches(frame(spark, docs)).collect()}
+    assert all((d, at[d]) in found and found[d, at[d]] <= d - 1 for d in docs if d % 2)
+
+
+def test_links_join_all_alike_pairs_of_a_hot_band(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = []
+    for _ in range(150):
+        s = set(rng.sample(range(3, 2**31), rng.randint(9, 40))) | {1, 2}
+        other = set(s)
+        other.remove(rng.choice(sorted(s - {1, 2})))
+        sets += [s, other | {rng.randrange(3, 2**31)}] if len(s) > 18 else [s, other]
+    sets += [set(sets[0])]
+    rows = [(b, 1000 * b + i, sorted(s)) for b in (7, 8) for i, s in enumerate(sets)]
+    group = {h: h for _, h, _ in rows}
+
+    def root(h):
+        while group[h] != h:
+            h = group[h]
+        return h
+
+    for (a, h, s), (b, g, t) in itertools.combinations(rows, 2):
+        if a == b and len(set(s) & set(t)) >= SIMILARITY * len(set(s) | set(t)):
+            low, high = sorted((root(h), root(g)))
+            group[high] = low
+    expected = {h: root(h) for h in group if sum(root(g) == root(h) for g in group) > 1}
+    members = spark.createDataFrame(rows, "band long, hash long, shingles array<int>")
+    for tile, width in ((512, 4096), (20, 16)):
+        monkeypatch.setattr(substrings, "TILE", tile)
+        monkeypatch.setattr(substrings, "WIDTH", width)
+        got = {r.node: r.component for r in connected_components(alike_links(members)).collect()}
+        assert got == expected

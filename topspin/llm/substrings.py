@@ -6,8 +6,9 @@ The stretches between cuts are the bands of a paragraph's signature; the value o
 the stretch's five-word shingles. Two stretches with Jaccard similarity J collide with probability J, equal ones always; a
 paragraph of fifty words has four or five such chances, so one with similarity 0.8 is found with a probability above 0.998.
 
-*Verification.* Equal stretches are told by a 64-bit hash. Of stretches that collide without being equal, each is compared
-with two of its band (those with the least and the greatest hash) by the exact Jaccard similarity of their shingles.
+*Verification.* Equal stretches are told by a 64-bit hash. Of stretches that collide without being equal, all pairs of a band
+with an exact Jaccard similarity of ``SIMILARITY`` of their shingles are linked: two such sets share one of their greatest few
+shingles (the prefix filter), so they meet in a group by band and shingle. Large groups are dealt over a triangle of cells.
 
 *Clusters.* Verified links make components of distinct stretches. The occurrence in the smallest document (the first in it) stays, the
 others go, if the run of stretches to go in a document has at least ``LEAST_RUN`` words; one or two stretches between such ones go too.
@@ -17,6 +18,7 @@ No group of copies is ever gathered: copies are one node, and hot bands stand on
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,14 @@ from pyspark.sql import functions as F
 
 from topspin.llm.components import connected_components
 from topspin.llm.shared import by_bytes, materialise
+from topspin.llm.simhash import _reach
 
 REACH, SHINGLE, LONGEST = 5, 5, 64
 SIMILARITY = 0.8
 #: Words that a run has to have to be removed, and stretches that may stand between two of it.
 LEAST_RUN, BRIDGE = 15, 2
+#: Stretches of a group that one cell takes as one chunk, and shingles that it counts at a time.
+TILE, WIDTH = 512, 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -178,6 +183,59 @@ def _stretch_rows(docs: DataFrame, full: bool) -> DataFrame:
     return docs.mapInArrow(run, f"band long, hash long, doc {kind}, number int, shingles array<int>" if full else "band long, hash long")
 
 
+def _alike(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets of at least ``SIMILARITY``; the sets stand in ``sets`` one after another."""
+    values, column = np.unique(sets, return_inverse=True)
+    shared = np.bincount(column) > 1
+    row, column = np.repeat(np.arange(len(sizes)), sizes)[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    for at in range(0, int(shared.sum()), WIDTH):
+        here = (column >= at) & (column < at + WIDTH)
+        held = np.zeros((len(sizes), min(WIDTH, len(values) - at)), np.float32)
+        held[row[here], column[here] - at] = 1
+        both += held @ held.T
+    a, b = np.nonzero(np.triu(both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both.astype(np.float64)), 1))
+    return a, b
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(band, shingle, cell, hash, shingles)`` sorted by the first four: a link from each row of a cell to the least that it reaches."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, (None,)):
+        held += [batch] if batch is not None and batch.num_rows else []
+        if not held:
+            continue
+        rows = pa.concat_batches(held)
+        keys = [rows.column(c).to_numpy() for c in ("band", "shingle", "cell")]
+        starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+        # the last cell of a batch may go on in the next one
+        held, ends = ([], [*starts[1:], rows.num_rows]) if batch is None else ([rows.slice(starts[-1])], starts[1:])
+        hashes, column = rows.column("hash").to_numpy(), rows.column("shingles")
+        offsets, sets = column.offsets.to_numpy(), column.values.to_numpy()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip(starts, ends, strict=False):
+            if end - start > 1:
+                a, b = _alike(sets[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]))
+                to = _reach(end - start, a, b)
+                at = np.flatnonzero(to != np.arange(end - start))
+                left.append(hashes[start + at])
+                right.append(hashes[start + to[at]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+
+def alike_links(members: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between hashes, enough to join all distinct ``(band, hash, shingles)`` of one band that are alike."""
+    size = F.size("shingles")
+    prefix = size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1
+    keys = materialise(members.select("band", "hash", "shingles", F.explode(F.slice("shingles", -prefix, prefix)).alias("shingle")))
+    groups = keys.groupBy("band", "shingle").count().where(F.col("count") > 1)
+    rows = keys.join(materialise(groups.select("band", "shingle", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))), ["band", "shingle"])
+    chunk = F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int")
+    cell = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, chunk).cast("long") * (1 << 31) + F.greatest(c, chunk))
+    rows = rows.select("band", "shingle", F.explode(cell).alias("cell"), "hash", "shingles")
+    return rows.repartition("band", "shingle", "cell").sortWithinPartitions("band", "shingle", "cell", "hash").mapInArrow(_cells, "a long, b long")
+
+
 def repeated_stretches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc, number, hash, first_doc)``: stretches that occur before, by document id and place."""
     source = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where(F.col("doc").isNotNull())
@@ -185,20 +243,10 @@ def repeated_stretches(docs: DataFrame, id_column: str = "doc_id", text_column:
     bands = materialise(bands.where(F.col("n") > 1).drop("n"))
     rows = _stretch_rows(source, True).join(bands, "band")
     mixed = F.col("low") != F.col("high")
-    rows = materialise(rows.select("band", "hash", "doc", "number", "low", "high", F.when(mixed, F.col("shingles")).alias("shingles")))
-
-    members = rows.where(mixed).select("band", "hash", "low", "high", "shingles").groupBy("band", "hash", "low", "high").agg(F.min("shingles").alias("shingles"))
-    members = materialise(members)
-    low = members.where(F.col("hash") == F.col("low")).select("band", F.col("shingles").alias("low_shingles"))
-    high = members.where(F.col("hash") == F.col("high")).select("band", F.col("shingles").alias("high_shingles"))
-
-    def alike(other: str):
-        both = F.size(F.array_intersect("shingles", other))
-        return both >= SIMILARITY * (F.size("shingles") + F.size(other) - both)
+    rows = materialise(rows.select("band", "hash", "doc", "number", F.when(mixed, F.col("shingles")).alias("shingles")))
 
-    compared = members.join(low, "band").join(high, "band")
-    pairs = F.array(F.when((F.col("hash") != F.col("low")) & alike("low_shingles"), F.col("low")), F.when((F.col("hash") != F.col("high")) & alike("high_shingles"), F.col("high")))
-    links = compared.select(F.col("hash").alias("a"), F.explode(pairs).alias("b"))
+    members = rows.where(F.col("shingles").isNotNull()).groupBy("band", "hash").agg(F.min("shingles").alias("shingles"))
+    links = alike_links(members)
     found = connected_components(links).withColumnRenamed("node", "hash")
 
     rows = rows.select("doc", "number", "hash").join(found, "hash", "left").select("doc", "number", "hash", F.coalesce("component", "hash").alias("component"))
