@@ -5,7 +5,7 @@ import numpy as np
 
 from topspin.llm import substrings
 from topspin.llm.components import connected_components
-from topspin.llm.substrings import SIMILARITY, Stretches, alike_links, cut, repeated_passages, repeated_stretches, without_repeats
+from topspin.llm.substrings import SIMILARITY, Stretches, alike_links, cut, repeated_passages, repeated_stretches, spans, without_repeats
 
 
 def make(seed=1):
@@ -159,3 +159,21 @@ def test_links_join_all_alike_pairs_of_a_hot_band(spark, monkeypatch):
         monkeypatch.setattr(substrings, "WIDTH", width)
         got = {r.node: r.component for r in connected_components(alike_links(members)).collect()}
         assert got == expected
+
+
+def test_what_was_not_compared_stays():
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400))
+    own, words = Stretches(text), text.split()
+    gone = lambda *ks: [(k, int(own.hash[k].astype(np.int64)), f) for k, f in ks]
+    part = lambda a, b: " ".join(words[own.first[a] : own.last[b]])
+    k = next(k for k in range(2, len(own.hash)) if own.last[k] - own.first[k] + own.last[k + 2] - own.first[k + 2] >= 15)
+    rest = cut(text, gone((k, 1), (k + 2, 1)))
+    assert part(k + 1, k + 1) in rest and part(k, k) not in rest and part(k + 2, k + 2) not in rest
+    assert sum(s[2] for s in spans(text, gone((k, 1), (k + 2, 1)))) == len(words) - len(rest.split())
+    # neither words between nor another first document behind a gap make a run long enough
+    size = own.last - own.first
+    k = next(k for k in range(2, len(own.hash)) if size[k] + size[k + 2] < 15 <= size[k : k + 3].sum())
+    assert cut(text, gone((k, 1), (k + 2, 1))) == text
+    k = next(k for k in range(2, len(own.hash)) if max(size[k], size[k + 2]) < 15 <= size[k] + size[k + 2])
+    assert cut(text, gone((k, 1), (k + 2, 2))) == text and cut(text, gone((k, 1), (k + 2, 1))) != text

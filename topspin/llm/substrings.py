@@ -11,7 +11,8 @@ with an exact Jaccard similarity of ``SIMILARITY`` of their shingles are linked:
 shingles (the prefix filter), so they meet in a group by band and shingle. Large groups are dealt over a triangle of cells.
 
 *Clusters.* Verified links make components of distinct stretches. The occurrence in the smallest document (the first in it) stays, the
-others go, if the run of stretches to go in a document has at least ``LEAST_RUN`` words; one or two stretches between such ones go too.
+others go, if the run of stretches to go in a document has at least ``LEAST_RUN`` words. A run goes on behind one or two other stretches where
+both sides have the same first document, but what stands between has not been compared with anything: it stays and doesn't count.
 
 No group of copies is ever gathered: copies are one node, and hot bands stand on the split side of joins.
 """
@@ -33,7 +34,7 @@ from topspin.llm.simhash import _reach
 
 REACH, SHINGLE, LONGEST = 5, 5, 64
 SIMILARITY = 0.8
-#: Words that a run has to have to be removed, and stretches that may stand between two of it.
+#: Words of its own that a run has to have to be removed, and stretches that may stand between two of it (and stay).
 LEAST_RUN, BRIDGE = 15, 2
 #: Stretches of a group that one cell takes as one chunk, and shingles that it counts at a time.
 TILE, WIDTH = 512, 4096
@@ -131,7 +132,7 @@ class Stretches:
 
 
 def spans(text: str, gone: list[tuple[int, int, object]]) -> list[tuple[int, int, int, object]]:
-    """``(start, end, words, first document)`` of the runs to remove; ``gone`` lists ``(number, hash, first document)`` of stretches.
+    """``(start, end, words, first document)`` of the pieces of runs to remove; ``gone`` lists ``(number, hash, first document)`` of stretches.
 
     Stretches whose hash isn't that of the text's (another row with the same id) don't count.
     """
@@ -140,14 +141,20 @@ def spans(text: str, gone: list[tuple[int, int, object]]) -> list[tuple[int, int
     for k, h, first in gone:
         if k < len(own.hash) and own.hash[k] == np.uint64(h % (1 << 64)):
             mark[k] = first
-    out, run = [], []
-    for k in [*sorted(mark), None]:
-        if run and (k is None or k - run[-1] - 1 > BRIDGE):
-            a, b = own.first[run[0]], own.last[run[-1]]
-            if b - a >= LEAST_RUN:
-                out.append((int(own.starts[a]), int(own.ends[b - 1]), int(b - a), min(mark[k] for k in run if k in mark)))
-            run = []
-        run.append(k)
+    runs: list[list[list[int]]] = []  # of pieces without a gap
+    for k in sorted(mark):
+        last = runs[-1][-1][-1] if runs else None
+        if last is not None and own.first[k] == own.last[last]:
+            runs[-1][-1].append(k)
+        elif last is not None and k - last - 1 <= BRIDGE and mark[k] == mark[last]:
+            runs[-1].append([k])
+        else:
+            runs.append([[k]])
+    out = []
+    for run in runs:
+        places = [(own.first[piece[0]], own.last[piece[-1]]) for piece in run]
+        if sum(b - a for a, b in places) >= LEAST_RUN:
+            out += [(int(own.starts[a]), int(own.ends[b - 1]), int(b - a), min(mark[k] for k in piece)) for (a, b), piece in zip(places, run, strict=True)]
     return out
 
 
