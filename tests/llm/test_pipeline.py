@@ -51,8 +51,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     cut = {r.doc_id: r for r in three.collect()}
     assert set(cut) == set(left) and all(r.n_chars == len(r.text) for r in cut.values())
     gone = {}
-    for d, k, h, f in substrings.repeated_stretches(two).collect():
-        gone.setdefault(d, []).append((k, h, f))
+    for r in substrings.repeats(two).collect():
+        gone.setdefault(r.doc, []).append((r.start, r.end, r.hash, r.first_doc))
     assert all(r.text == substrings.cut(left[d].text, gone.get(d, [])) for d, r in cut.items())
     if 10_000 in cut and 10_001 in cut:
         assert passage in cut[10_000].text and len(cut[10_001].text.split()) < 90 + 40

@@ -1,18 +1,18 @@
 """Removal of passages that repeat across documents (operator 4): paragraph MinHash banding.
 
-*Bands.* A passage may start and end anywhere, so documents are cut where their content says so: before a word pair whose
-hash is the least within ``REACH`` words on both sides. Wherever a passage stands, it is cut alike, about every eleven words.
-The stretches between cuts are the bands of a paragraph's signature; the value of a band is the least hash (MinHash) of
-the stretch's five-word shingles. Two stretches with Jaccard similarity J collide with probability J, equal ones always; a
-paragraph of fifty words has four or five such chances, so one with similarity 0.8 is found with a probability above 0.998.
+*Paragraphs.* The lines of a text with at least ``least_words`` words. A paragraph's signature has ``BANDS * ROWS`` MinHash values of
+its five-word shingles; ``bands_for`` takes the fewest bands that find a pair of similarity ``SIMILARITY`` with probability ``RECALL``.
+Paragraphs that collide in a band are joined, and all pairs of distinct ones in a band are verified by the exact Jaccard
+similarity of their shingles. Large bands are dealt over a triangle of cells; no pair is left out.
 
-*Verification.* Equal stretches are told by a 64-bit hash. Of stretches that collide without being equal, all pairs of a band
-with an exact Jaccard similarity of ``SIMILARITY`` of their shingles are linked: two such sets share one of their greatest few
-shingles (the prefix filter), so they meet in a group by band and shingle. Large groups are dealt over a triangle of cells.
+*Passages inside paragraphs* have no borders that both copies share, so documents are also cut where their content says so:
+before a word pair whose hash is the least within ``REACH`` words on both sides, about every eleven words. Such a tile is a
+paragraph whose only band is all of its words: tiles are compared for equality, by two independent 64-bit hashes.
 
-*Clusters.* Verified links make components of distinct stretches. The occurrence in the smallest document (the first in it) stays, the
-others go, if the run of stretches to go in a document has at least ``LEAST_RUN`` words. A run goes on behind one or two other stretches where
-both sides have the same first document, but what stands between has not been compared with anything: it stays and doesn't count.
+*Clusters.* Verified links make components. Of each, the occurrence in the smallest document (the first in it) stays, the others go.
+Neighbouring ones of a document are taken together, and go if they have ``least_words`` words in all: what is cut out has been
+compared, word for word or by similarity, with an earlier occurrence. Shorter repeats are stock phrases; ``least_words`` may be
+any number from five on.
 
 No group of copies is ever gathered: copies are one node, and hot bands stand on the split side of joins.
 """
@@ -20,6 +20,7 @@ No group of copies is ever gathered: copies are one node, and hot bands stand on
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +34,25 @@ from topspin.llm.shared import by_bytes, materialise
 from topspin.llm.simhash import _reach
 
 REACH, SHINGLE, LONGEST = 5, 5, 64
-SIMILARITY = 0.8
-#: Words of its own that a run has to have to be removed, and stretches that may stand between two of it (and stay).
-LEAST_RUN, BRIDGE = 15, 2
-#: Stretches of a group that one cell takes as one chunk, and shingles that it counts at a time.
-TILE, WIDTH = 512, 4096
+SIMILARITY, RECALL, ROWS = 0.8, 0.99, 2
+LEAST_WORDS = 15
+#: Paragraphs and shingles of a band that one cell takes as one chunk, and shingles that it counts at a time.
+TILE, TILE_SHINGLES, WIDTH = 512, 1 << 19, 4096
+
+
+def bands_for(similarity: float, recall: float, rows: int) -> int:
+    """The fewest bands of ``rows`` MinHash values in one of which a pair of that similarity collides with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows) - 1e-9)
+
+
+BANDS = bands_for(SIMILARITY, RECALL, ROWS)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(0x3001, bool)
 _SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+_BREAK = np.zeros(0x3001, bool)
+_BREAK[[*range(10, 14), *range(28, 31), 0x85, 0x2028, 0x2029]] = True
 _CHUNK = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,14 +72,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A multiplier for each MinHash function.
+_FUNCTIONS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+
+
 def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each range of ``values``, wherever it stands; a range may be as long as ``_CHUNK``."""
+    """A hash of each range of ``values``, wherever it stands; a range that is longer than ``_CHUNK`` is hashed piece by piece."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         origin = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, origin + _CHUNK, side="right")))
-        if ends[at] - origin > _CHUNK:  # one huge word
+        if ends[at] - origin > _CHUNK:
             sums = np.zeros(1, np.uint64)
             for s in range(int(origin), int(ends[at]), _CHUNK):
                 part = values[s : min(s + _CHUNK, int(ends[at]))]
@@ -85,36 +99,30 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-class Stretches:
-    """The stretches of a text of at least ``SHINGLE`` words: ``first`` and ``last`` word (exclusive), ``hash`` and ``band``."""
+class Passages:
+    """The words of a text with its tiles and paragraphs, each by its ``first`` and ``last`` word (exclusive)."""
 
     def __init__(self, text: str):
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        space = _SPACE[np.minimum(points, 0x3000)] & (points <= 0x3000)
+        low = np.minimum(points, 0x3000)
+        space = _SPACE[low] & (points <= 0x3000)
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
         #: Places of the words in the text.
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        self._breaks = np.flatnonzero(_BREAK[low] & space)
         lower = points + np.where((points >= 65) & (points <= 90), 32, 0).astype(np.uint32)
         self.words = _ranges(lower.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+
+    def tiles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches of ``SHINGLE`` words at least between cuts."""
         n = len(self.words)
-        cuts = self._cuts() if n > 1 else np.zeros(0, np.int64)
-        bounds = np.concatenate([[0], cuts, [n]]) if n else np.zeros(1, np.int64)
-        if len(bounds) > 1 and np.diff(bounds).max() > LONGEST:
+        if n < SHINGLE:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], self._cuts(), [n]])
+        if np.diff(bounds).max() > LONGEST:
             bounds = np.concatenate([*(np.arange(a, b, LONGEST) for a, b in zip(bounds[:-1], bounds[1:], strict=True)), [n]])
         long = np.diff(bounds) >= SHINGLE
-        self.first, self.last = bounds[:-1][long], bounds[1:][long]
-        self.hash = _ranges(self.words, self.first, self.last)
-        count = max(0, n - SHINGLE + 1)
-        shingles = np.zeros(count, np.uint64)
-        for j in range(SHINGLE if count else 0):
-            shingles = shingles * _BASE + self.words[j : j + count]
-        self.shingles = _mix(shingles)
-        held = self.shingles.copy()
-        inside = np.zeros(count + 1, np.int64)  # only shingles that lie in one stretch count
-        np.add.at(inside, np.minimum(self.first, count), 1)
-        np.add.at(inside, np.minimum(self.last - SHINGLE + 1, count), -1)
-        held[np.cumsum(inside)[:count] == 0] = _NONE
-        self.band = np.minimum.reduceat(held, self.first) if len(self.first) else np.zeros(0, np.uint64)
+        return bounds[:-1][long], bounds[1:][long]
 
     def _cuts(self) -> np.ndarray:
         pairs = _mix(self.words[:-1] * _BASE + self.words[1:])
@@ -126,42 +134,66 @@ class Stretches:
         cuts = np.flatnonzero(least)
         return cuts[cuts > 0]
 
-    def small_shingles(self, k: int) -> np.ndarray:
-        """The different shingles of a stretch, as 32-bit integers."""
-        return np.unique(self.shingles[self.first[k] : self.last[k] - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32)
-
-
-def spans(text: str, gone: list[tuple[int, int, object]]) -> list[tuple[int, int, int, object]]:
-    """``(start, end, words, first document)`` of the pieces of runs to remove; ``gone`` lists ``(number, hash, first document)`` of stretches.
-
-    Stretches whose hash isn't that of the text's (another row with the same id) don't count.
+    def paragraphs(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.words)
+        if n < least_words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        line = np.searchsorted(self._breaks, self.starts)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [n]])
+        long = np.diff(bounds) >= least_words
+        return bounds[:-1][long], bounds[1:][long]
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return _ranges(self.words, first, last)
+
+    def checks(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A second hash, of other values of the words."""
+        return _ranges(_mix(self.words + _INVERSE), first, last)
+
+    def shingles(self) -> np.ndarray:
+        count = len(self.words) - SHINGLE + 1
+        out = np.zeros(max(0, count), np.uint64)
+        for j in range(SHINGLE if count > 0 else 0):
+            out = out * _BASE + self.words[j : j + count]
+        return _mix(out)
+
+    def bands(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A row for each paragraph, a column for each band."""
+        shingles = self.shingles()
+        values = np.append(shingles ^ (shingles >> np.uint64(29)), _NONE)
+        ends = np.stack([first, last - SHINGLE + 1], 1).ravel()
+        out = np.zeros((len(first), BANDS), np.uint64)
+        for k, f in enumerate(_FUNCTIONS):
+            out[:, k // ROWS] = _mix(out[:, k // ROWS] + np.minimum.reduceat(np.append(values[:-1] * f, _NONE), ends)[::2] + np.uint64(k))
+        return out
+
+
+def spans(text: str, gone: list[tuple[int, int, int, object]], least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, object]]:
+    """``(start, end, words, first document)`` of what to remove; ``gone`` lists ``(first word, last word, hash, first document)``.
+
+    Entries whose hash isn't that of the text's (another row with the same id) don't count.
     """
-    own = Stretches(text)
-    mark: dict[int, object] = {}
-    for k, h, first in gone:
-        if k < len(own.hash) and own.hash[k] == np.uint64(h % (1 << 64)):
-            mark[k] = first
-    runs: list[list[list[int]]] = []  # of pieces without a gap
-    for k in sorted(mark):
-        last = runs[-1][-1][-1] if runs else None
-        if last is not None and own.first[k] == own.last[last]:
-            runs[-1][-1].append(k)
-        elif last is not None and k - last - 1 <= BRIDGE and mark[k] == mark[last]:
-            runs[-1].append([k])
+    own = Passages(text)
+    gone = sorted((a, b, h % (1 << 64), d) for a, b, h, d in gone if b <= len(own.words))
+    if not gone:
+        return []
+    first, last = (np.array([g[i] for g in gone], np.int64) for i in (0, 1))
+    same = [own.hashes(first[k : k + 1], last[k : k + 1])[0] == np.uint64(gone[k][2]) for k in range(len(gone))]
+    runs: list[list] = []
+    for (a, b, _, d), ok in zip(gone, same, strict=True):
+        if not ok:
+            continue
+        if runs and a <= runs[-1][1]:
+            runs[-1][1], runs[-1][2] = max(runs[-1][1], b), min(runs[-1][2], d)
         else:
-            runs.append([[k]])
-    out = []
-    for run in runs:
-        places = [(own.first[piece[0]], own.last[piece[-1]]) for piece in run]
-        if sum(b - a for a, b in places) >= LEAST_RUN:
-            out += [(int(own.starts[a]), int(own.ends[b - 1]), int(b - a), min(mark[k] for k in piece)) for (a, b), piece in zip(places, run, strict=True)]
-    return out
+            runs.append([a, b, d])
+    return [(int(own.starts[a]), int(own.ends[b - 1]), b - a, d) for a, b, d in runs if b - a >= least_words]
 
 
-def cut(text: str, gone: list[tuple[int, int, object]]) -> str:
-    """The text without the runs; what stands before and after a run is joined by the longer of the white spaces around it."""
+def cut(text: str, gone: list[tuple[int, int, int, object]], least_words: int = LEAST_WORDS) -> str:
+    """The text without what ``spans`` tells; white space behind a removed span goes with it."""
     parts, at = [], 0
-    for start, end, *_ in spans(text, gone):
+    for start, end, *_ in spans(text, gone, least_words):
         parts.append(text[at:start])
         at = end
         while at < len(text) and text[at].isspace():
@@ -169,25 +201,62 @@ def cut(text: str, gone: list[tuple[int, int, object]]) -> str:
     return ("".join(parts) + text[at:]).strip() if parts else text
 
 
-def _stretch_rows(docs: DataFrame, full: bool) -> DataFrame:
+def _signed(values: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64))
+
+
+def _keys(docs: DataFrame, least_words: int, places: bool) -> DataFrame:
+    """``(key, hash)`` and, with ``places``, ``(doc, start, end, check)`` of all tiles and paragraphs: a row with their hash as the key, and one for each band."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            found = [Stretches(t) if t else None for t in batch.column("text").to_pylist()]
-            some = [i for i, s in enumerate(found) if s is not None and len(s.hash)]
-            if not some:
-                continue
-            sizes = [len(found[i].hash) for i in some]
-            columns = [pa.array(np.concatenate([found[i].band for i in some]).view(np.int64)), pa.array(np.concatenate([found[i].hash for i in some]).view(np.int64))]
-            if full:
-                columns.append(batch.column("doc").take(pa.array(np.repeat(some, sizes))))
-                columns.append(pa.array(np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)))
-                sets = [found[i].small_shingles(k) for i, n in zip(some, sizes, strict=True) for k in range(n)]
-                offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=["band", "hash", "doc", "number", "shingles"][: len(columns)])
+            key, hashes, of, starts, ends, checks = [], [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if not text:
+                    continue
+                own = Passages(text)
+                (a, b), (c, d) = own.tiles(), own.paragraphs(least_words)
+                first, last = np.concatenate([a, c]), np.concatenate([b, d])
+                found = np.concatenate([own.hashes(a, b), own.hashes(c, d)])
+                key.append(found)
+                hashes.append(found)
+                if places:
+                    check = np.concatenate([own.checks(a, b), own.checks(c, d)])
+                    starts, ends, checks = [*starts, first], [*ends, last], [*checks, check]
+                if len(c):
+                    key.append(own.bands(c, d).ravel())
+                    hashes.append(np.repeat(found[len(a) :], BANDS))
+                    if places:
+                        starts, ends, checks = [*starts, np.repeat(c, BANDS)], [*ends, np.repeat(d, BANDS)], [*checks, np.repeat(check[len(a) :], BANDS)]
+                of.append(np.full(len(first) + BANDS * len(c), i))
+            columns = [_signed(key), _signed(hashes)]
+            if places:
+                number = lambda values: pa.array(np.concatenate([np.zeros(0, np.int64), *values]).astype(np.int32))
+                columns += [batch.column("doc").take(number(of)), number(starts), number(ends), _signed(checks)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "hash", "doc", "start", "end", "check"][: len(columns)])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"band long, hash long, doc {kind}, number int, shingles array<int>" if full else "band long, hash long")
+    return docs.mapInArrow(run, f"key long, hash long, doc {kind}, start int, end int, check long" if places else "key long, hash long")
+
+
+def _shingle_sets(docs: DataFrame, least_words: int) -> DataFrame:
+    """``(hash, shingles)`` of all paragraphs: their different shingles, as 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", 1 << 20):
+            hashes, sets = [], []
+            for text in batch.column("text").to_pylist():
+                own = Passages(text) if text else None
+                first, last = own.paragraphs(least_words) if own else ((), ())
+                if len(first):
+                    small = (own.shingles() >> np.uint64(32)).astype(np.uint32)
+                    hashes.append(own.hashes(first, last))
+                    sets += [np.unique(small[a : b - SHINGLE + 1]) for a, b in zip(first, last, strict=True)]
+            if sets:
+                offsets = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([_signed(hashes), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int32)))], names=["hash", "shingles"])
+
+    return docs.mapInArrow(run, "hash long, shingles array<int>")
 
 
 def _alike(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,14 +275,14 @@ def _alike(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(band, shingle, cell, hash, shingles)`` sorted by the first four: a link from each row of a cell to the least that it reaches."""
+    """Rows ``(key, cell, hash, shingles)`` sorted by the first three: a link from each row of a cell to the least that it reaches."""
     held: list[pa.RecordBatch] = []
     for batch in itertools.chain(batches, (None,)):
         held += [batch] if batch is not None and batch.num_rows else []
         if not held:
             continue
         rows = pa.concat_batches(held)
-        keys = [rows.column(c).to_numpy() for c in ("band", "shingle", "cell")]
+        keys = [rows.column(c).to_numpy() for c in ("key", "cell")]
         starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
         # the last cell of a batch may go on in the next one
         held, ends = ([], [*starts[1:], rows.num_rows]) if batch is None else ([rows.slice(starts[-1])], starts[1:])
@@ -231,52 +300,56 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alike_links(members: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between hashes, enough to join all distinct ``(band, hash, shingles)`` of one band that are alike."""
-    size = F.size("shingles")
-    prefix = size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1
-    keys = materialise(members.select("band", "hash", "shingles", F.explode(F.slice("shingles", -prefix, prefix)).alias("shingle")))
-    groups = keys.groupBy("band", "shingle").count().where(F.col("count") > 1)
-    rows = keys.join(materialise(groups.select("band", "shingle", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))), ["band", "shingle"])
+    """Links ``(a, b)`` between hashes, enough to join all distinct ``(key, hash, shingles)`` of one key that are alike."""
+    members = materialise(members)
+    count = F.greatest(F.count("*") / TILE, F.sum(F.size("shingles")) / TILE_SHINGLES)
+    groups = materialise(members.groupBy("key").agg(F.count("*").alias("n"), F.ceil(count).cast("int").alias("chunks")).where(F.col("n") > 1))
+    rows = members.join(groups.select("key", "chunks"), "key")
     chunk = F.pmod(F.xxhash64("hash"), F.col("chunks")).cast("int")
     cell = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.least(c, chunk).cast("long") * (1 << 31) + F.greatest(c, chunk))
-    rows = rows.select("band", "shingle", F.explode(cell).alias("cell"), "hash", "shingles")
-    return rows.repartition("band", "shingle", "cell").sortWithinPartitions("band", "shingle", "cell", "hash").mapInArrow(_cells, "a long, b long")
+    rows = rows.select("key", F.explode(cell).alias("cell"), "hash", "shingles")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "hash").mapInArrow(_cells, "a long, b long")
 
 
-def repeated_stretches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc, number, hash, first_doc)``: stretches that occur before, by document id and place."""
+def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(doc, start, end, hash, first_doc)``: tiles and paragraphs, by their words, that occur before by document id and place."""
     source = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where(F.col("doc").isNotNull())
-    bands = _stretch_rows(source, False).groupBy("band").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-    bands = materialise(bands.where(F.col("n") > 1).drop("n"))
-    rows = _stretch_rows(source, True).join(bands, "band")
-    mixed = F.col("low") != F.col("high")
-    rows = materialise(rows.select("band", "hash", "doc", "number", F.when(mixed, F.col("shingles")).alias("shingles")))
-
-    members = rows.where(F.col("shingles").isNotNull()).groupBy("band", "hash").agg(F.min("shingles").alias("shingles"))
-    links = alike_links(members)
-    found = connected_components(links).withColumnRenamed("node", "hash")
-
-    rows = rows.select("doc", "number", "hash").join(found, "hash", "left").select("doc", "number", "hash", F.coalesce("component", "hash").alias("component"))
+    keys = _keys(source, least_words, False).groupBy("key").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+    # repeated texts, and bands in which different texts collide
+    keys = materialise(keys.where((F.col("n") > 1) & ((F.col("low") == F.col("key")) | (F.col("low") != F.col("high")))).select("key"))
+    rows = materialise(_keys(source, least_words, True).join(keys, "key"))
+
+    collided = rows.where(F.col("key") != F.col("hash"))
+    members = materialise(collided.select("key", "hash").distinct())
+    sets = _shingle_sets(source, least_words).join(members.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+    found = materialise(connected_components(alike_links(members.join(sets, "hash"))))
+
+    near = collided.join(found.select(F.col("node").alias("hash")), "hash", "left_semi").select("doc", "start", "end", "hash", "check").distinct()
+    rows = rows.where(F.col("key") == F.col("hash")).select("doc", "start", "end", "hash", "check").unionByName(near)
+    rows = rows.join(found.withColumnRenamed("node", "hash"), "hash", "left")
+    # texts with equal hashes have to have equal second hashes, but for those that were compared by their shingles
+    rows = rows.select("doc", "start", "end", "hash", F.coalesce("component", "hash").alias("component"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("check"))
     rows = materialise(rows)
-    first = materialise(rows.groupBy("component").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where(F.col("n") > 1).drop("n"))
-    own = rows.join(first, "component").where(F.col("doc") == F.col("first_doc"))
-    place = materialise(own.groupBy("component", "first_doc").agg(F.min("number").alias("first_number")))
-    rows = rows.join(place, "component")
-    return rows.where((F.col("doc") != F.col("first_doc")) | (F.col("number") != F.col("first_number"))).select("doc", "number", "hash", "first_doc")
+    first = materialise(rows.groupBy("component", "check").agg(F.min(F.struct("doc", "start")).alias("first")))
+    rows = rows.join(first, ["component", "check"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    return rows.select("doc", "start", "end", "hash", F.col("first.doc").alias("first_doc"))
 
 
-def _with_gone(docs: DataFrame, id_column: str, text_column: str, how: str) -> DataFrame:
-    gone = repeated_stretches(docs, id_column, text_column)
-    gone = gone.groupBy(F.col("doc").alias("own_id")).agg(F.collect_list(F.struct("number", "hash", "first_doc")).alias("gone"))
-    return docs.join(gone, F.col(id_column) == F.col("own_id"), how)
+def _with_gone(docs: DataFrame, id_column: str, text_column: str, least_words: int, how: str) -> tuple[DataFrame, str]:
+    """``docs`` with what repeats in them, and the name of that column."""
+    taken = {c.lower() for c in docs.columns}
+    key, gone = (next(n for n in (f"{'_' * i}{name}" for i in itertools.count()) if n not in taken) for name in ("gone_key", "gone"))
+    found = repeats(docs, id_column, text_column, least_words)
+    found = found.groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("start", "end", "hash", "first_doc")).alias(gone))
+    return docs.join(found, docs[id_column] == found[key], how), gone
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``(id_column, start, end, n_words, first_<id_column>)``: the passages to remove, by code points of the text.
 
-    The document named last is the smallest of those that hold earlier occurrences of the passage's stretches (it may be the same document). Null and empty texts
+    The document named last is the smallest of those that hold earlier occurrences of the passage's parts (it may be the same document). Null and empty texts
     and rows with a null id have none. Rows with one id and text are one document; where texts differ, each is judged by its own
-    stretches.
+    words.
     """
     source = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
@@ -285,21 +358,23 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         for batch in by_bytes(batches, "text"):
             out = []
             for doc, text, gone in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "gone")), strict=True):
-                out += [(doc, *s) for s in spans(text, [(g["number"], g["hash"], g["first_doc"]) for g in gone])]
+                out += [(doc, *s) for s in spans(text or "", [tuple(g.values()) for g in gone], least_words)]
             if out:
                 kinds = [batch.schema.field("doc").type, pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc").type]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "start", "end", "n_words", "first_doc"])
 
-    found = _with_gone(source, "doc", "text", "inner").select("doc", "text", "gone").mapInArrow(run, f"doc {kind}, start long, end long, n_words long, first_doc {kind}")
+    found, _ = _with_gone(source, "doc", "text", least_words, "inner")
+    found = found.select("doc", "text", "gone").mapInArrow(run, f"doc {kind}, start long, end long, n_words long, first_doc {kind}")
     return found.select(F.col("doc").alias(id_column), "start", "end", "n_words", F.col("first_doc").alias(f"first_{id_column}"))
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages cut out of the texts; all rows and all other columns stay."""
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the repeated passages cut out of the texts; all rows and all other columns stay, whatever they are called."""
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([t if g is None or t is None else cut(t, [(x["number"], x["hash"], x["first_doc"]) for x in g]) for t, g in zip(texts, gone, strict=True)], dtype=object)
+        return pd.Series([t if g is None or t is None else cut(t, [(x["start"], x["end"], x["hash"], x["first_doc"]) for x in g], least_words) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    joined = _with_gone(docs, id_column, text_column, "left")
-    return joined.withColumn(text_column, F.when(F.col("gone").isNotNull(), rest(F.col(text_column).cast("string"), "gone")).otherwise(F.col(text_column))).select(*docs.columns)
+    joined, gone = _with_gone(docs, id_column, text_column, least_words, "left")
+    text = F.when(F.col(gone).isNotNull(), rest(docs[text_column].cast("string"), F.col(gone))).otherwise(docs[text_column])
+    return joined.select(*[text.alias(c) if c == text_column else docs[c] for c in docs.columns])
