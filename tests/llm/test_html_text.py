@@ -1,4 +1,8 @@
+import math
 import random
+import time
+
+import pytest
 
 from topspin.llm.html_text import extract, main_text
 
@@ -39,3 +43,111 @@ def test_rows_stay_as_they_are(spark):
     got = sorted((tuple(r) for r in extract(pages).collect()), key=str)
     assert got == [(1, "u", "a b"), (1, "u", "a b"), (None, None, "")]
     assert extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div title='the hidden gem of'>", "<div class='layout has-sidebar'>", "<div data-id='related-1'>", "<svg class=i />", "<div class=notice>", "<article><div class='search results'>", "<svg><path d=''>", "<script src=x />"],
+)
+def test_wrappers_dont_swallow_the_article(wrapper):
+    page = f"<body><nav>Home</nav>{wrapper}<p>{SENTENCE * 4}</p></div></body>"
+    assert main_text(page) == (SENTENCE * 4).strip()
+
+
+def test_hidden_parts_drawings_and_formulas():
+    page = f"<article><p>{SENTENCE}<svg><title>icon</title><path d=x /></svg> Then <math><mi>x</mi><annotation>tex</annotation></math> fell.<p hidden>no<p style='display: none'>no<p>{SENTENCE}<span class=ad>Buy <span>now</span> or never</span></article>"
+    assert main_text(page) == f"{SENTENCE}Then x fell. {SENTENCE}".strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " + '"' * 60, "<a " * 50_000, "<a " * 50_000 + ">", "</p>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<li><ul>" + "<div>" * 25_000 + "<li></li>" * 25_000, "<article>" * 30_000, '<a x=">" ' * 30_000, "<script/>" * 30_000 + "</script>", "<a x=1 " * 20_000 + '<a x=">"', "<span class=ad>" * 30_000],
+)
+def test_malformed_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+
+
+class Node:
+    def __init__(self, tag, children):
+        self.tag, self.children = tag, children
+
+    def html(self):
+        return f"<{self.tag}>" + "".join(c if isinstance(c, str) else c.html() for c in self.children) + f"</{self.tag}>"
+
+    def walk(self):
+        yield self
+        for c in self.children:
+            if not isinstance(c, str):
+                yield from c.walk()
+
+    def count(self, linked=False):
+        """Characters, linked ones, elements and links of the subtree."""
+        linked = linked or self.tag == "a"
+        total = [0, 0, 1, int(self.tag == "a")]
+        for c in self.children:
+            part = [len(c.strip()), len(c.strip()) if linked else 0, 0, 0] if isinstance(c, str) else c.count(linked)
+            total = [a + b for a, b in zip(total, part, strict=True)]
+        return total
+
+    def text(self):
+        return " ".join(c if isinstance(c, str) else c.text() for c in self.children)
+
+
+def by_tree_walk(body):
+    """The method in plain words, over a tree of nodes in which only links are inline."""
+    root = Node("", [body])
+    c, lc, _, _ = body.count()
+    share = lc / (c or 1)
+
+    def density(node):
+        c, lc, t, lt = node.count()
+        if not c:
+            return 0.0
+        return max(0.0, c / t * math.log(max(1.0, c / (lc or 1) * t / (lt or 1))) / math.log(c / ((c - lc) or 1) * lc + share * c + math.e))
+
+    # from the last child to the first, as sums of floating point numbers depend on their order
+    total = lambda node: sum(density(x) for x in reversed([x for x in node.children if not isinstance(x, str)]))
+    best = max(root.walk(), key=total)
+    if not total(best):
+        return body.text()
+    path = []
+
+    def find(node, above):
+        if node is best:
+            path.extend([*above, node])
+        for x in node.children:
+            if not isinstance(x, str):
+                find(x, [*above, node])
+
+    find(root, [])
+    if best is root:
+        return body.text()
+    threshold = min(density(x) for x in path[1:])
+    top = best
+    for x in reversed(path[1:-1]):
+        if density(x) < threshold:
+            break
+        top = x
+    return max(top.walk(), key=total).text()
+
+
+def test_density_against_a_walk_over_the_tree():
+    rng = random.Random(4)
+
+    def tree(depth):
+        children = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if depth == 0 or kind < 0.3:
+                children.append(" ".join(rng.choices(["rain", "fell", "on", "the", "hills", "river"], k=rng.choice([1, 3, 30]))))
+            elif kind < 0.5:
+                children.append(Node("a", ["link " * rng.randint(1, 5)]))
+            else:
+                children.append(tree(depth - 1))
+        return Node(rng.choice(["div", "section", "blockquote"]), children)
+
+    for _ in range(300):
+        body = Node("body", [tree(3) for _ in range(rng.randint(1, 4))])
+        assert main_text(body.html()).replace(" ", "") == by_tree_walk(body).replace(" ", "")

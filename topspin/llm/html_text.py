@@ -6,8 +6,10 @@ its sum. The element with the greatest sum holds the article. The least density
 threshold: going down from the body, the first element that reaches it is searched for the greatest sum, and that
 subtree is the text.
 
-Elements that say what they are (menus, forms, adverts and so on, by tag, role or class) are taken out first, and inline
-elements other than links count as part of the element that they are in.
+Elements of another purpose by their tag (menus, forms, footers and so on) are taken out first. Names in class, id and role only
+weigh: an element that they mark is taken out unless it holds ``SHARE`` of the unlinked text of its article (of the page, if it has none), or
+nothing would be left.
+Inline elements other than links count as part of the element that they are in.
 """
 
 from __future__ import annotations
@@ -23,142 +25,240 @@ from pyspark.sql import functions as F
 
 from topspin.llm.shared import by_bytes
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>|<[!?/][^>]*>?""", re.S)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: One attribute, or what stands between attributes. A quote only opens a value behind an equals sign; one that is never closed is an ordinary character.
+_ATTRIBUTE = re.compile(r"""[\s/]++|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)|(?=>)))?+""")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
 IN_HEAD = frozenset("meta link title script style base noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("nav footer aside form button select dialog menu".split())
-#: Parts of class, id and role names that mark what isn't the article. Fixed values.
+LEFT_OUT = frozenset("nav footer aside form button select dialog menu head svg annotation annotation-xml".split())
+FOREIGN = ("svg", "math")
+#: Elements that end an unclosed drawing or formula. Fixed values.
+BREAK_OUT = frozenset("article aside blockquote body br center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr img li main nav ol p pre section table ul".split())
+#: Parts of class, id and role names that mark what isn't the article, those of them that mark readers' words, and first parts that tell of another element. Fixed values.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner sponsor sponsored promo promotion sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer"
     " comment comments commentlist disqus reply replies cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login social share sharing related"
     " recommended popup modal overlay toolbar search contentinfo complementary skip".split()
 )
+READERS = frozenset("comment comments commentlist disqus reply replies".split())
+ELSEWHERE = frozenset("has with without no is hide show js layout".split())
+#: The share of the page's unlinked text from which a marked element is taken for a wrapper.
+SHARE = 2 / 3
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 ALSO_CLOSES = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",), "tbody": ("thead",), "tfoot": ("tbody",), "tr": ("td", "th")}
 
 
+def _mark(attributes: dict[str, str]) -> int:
+    """What names say of an element: 0 nothing, 1 not the article, 2 readers' words, 3 hidden."""
+    if "hidden" in attributes or _HIDING.search(attributes.get("style", "")):
+        return 3
+    found = 0
+    for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split():
+        parts = re.split(r"[^a-z0-9]+", name)
+        if parts[0] not in ELSEWHERE:
+            found = max(found, 2 if READERS.intersection(parts) else int(not MARKS.isdisjoint(parts)))
+    return found
+
+
 class Page:
-    """The elements of a page in document order, by parallel lists; element 0 stands for the page."""
+    """The elements of a page in document order, by parallel lists; element 0 stands for the page. Parsing takes time in proportion to the page."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.out = [""], [-1], [False]
+        self.tags, self.parents, self.out, self.marks = [""], [-1], [False], [0]
         #: Text pieces in page order, with their elements; an element of -1 is a block's border.
         self.pieces: list[tuple[int, str]] = []
+        #: Open elements, the places of each tag among them, and the places of those that aren't inline.
+        self._open, self._at, self._blocks = [0], {}, [0]
+        self._raw: dict[str, re.Match | None] = {}
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        open_, at, pieces = [0], 0, self.pieces
-        find, length = _TOKEN.search, len(source)
+        at, length, last, loose = 0, len(source), source.rfind(">"), False
         while at < length:
-            m = find(source, at)
-            if m is None:
-                self._text(open_, source[at:])
+            start = source.find("<", at)
+            if start < 0 or start > last:
+                self._text(source[at:])
                 return
-            if m.start() > at:
-                self._text(open_, source[at : m.start()])
-            at = m.end()
-            tag = m[2]
-            if not tag:
+            if start > at:
+                self._text(source[at:start])
+            at = start
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 2)
+                at = end + 3 if end >= 0 else length
                 continue
-            tag = tag.lower()
-            if tag not in INLINE:
-                pieces.append((-1, ""))
-            elif tag != "a" and not m[1] and not (m[3] and self._left_out(open_, tag, m[3])):
+            closing = source.startswith("/", at + 1)
+            name = _NAME.match(source, at + 1 + closing)
+            if name is None:
+                if source[at + 1 : at + 2] in ("!", "?", "/"):
+                    at = source.find(">", at) + 1
+                else:
+                    self._text("<")
+                    at += 1
                 continue
+            attributes, at, whole = self._attributes(source, name.end(), loose)
+            if not whole:  # no end outside of quotes: from here on, the next ``>`` ends a tag
+                loose, at = True, source.find(">", name.end()) + 1
+            tag = name[0].lower()
+            if closing:
+                self._end(tag)
+            else:
+                at = self._start(source, tag, attributes, at)
+
+    @staticmethod
+    def _attributes(source: str, at: int, loose: bool) -> tuple[dict[str, str], int, bool]:
+        """Attributes by lower-case names, the place behind the tag, and whether the tag ends."""
+        end = source.find(">", at)
+        if loose:
+            return {}, end + 1, True
+        if end == at:
+            return {}, end + 1, True
+        found: dict[str, str] = {}
+        while at < len(source):
+            if source[at] == ">":
+                return found, at + 1, True
+            m = _ATTRIBUTE.match(source, at)
+            at = m.end()
             if m[1]:
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tags[open_[k]] == tag:
-                        del open_[k:]
-                        break
-                continue
-            self._imply_ends(open_, tag)
-            if tag in VOID:
-                continue
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
-                at = end.end() if end else length
-                continue
-            node = len(self.tags)
-            self.tags.append(tag)
-            self.parents.append(open_[-1])
-            self.out.append(self._left_out(open_, tag, m[3]))
-            if not (m[4] and tag in ("path",)):
-                open_.append(node)
-
-    def _text(self, open_: list[int], text: str) -> None:
+                found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+            elif m[0].endswith("/") and source.startswith(">", at):
+                found["/"] = ""
+        return found, at, False
+
+    def _text(self, text: str) -> None:
         if "&" in text:
             text = html.unescape(text)
-        self.pieces.append((open_[-1], text))
-
-    def _imply_ends(self, open_: list[int], tag: str) -> None:
-        tags = self.tags
-        if tag not in INLINE and tag not in VOID:
-            for k in range(len(open_) - 1, 0, -1):
-                if (t := tags[open_[k]]) == "p":
-                    del open_[k:]
-                    break
-                if t not in INLINE:
-                    break
+        self.pieces.append((self._open[-1], text))
+
+    def _last(self, tag: str) -> int:
+        """The place of the last open element of that tag, or -1."""
+        places = self._at.get(tag)
+        return places[-1] if places else -1
+
+    def _close(self, place: int) -> None:
+        """Close the open elements from ``place`` on."""
+        for k in range(len(self._open) - 1, place - 1, -1):
+            self._at[self.tags[self._open[k]]].pop()
+            if self._blocks[-1] == k:
+                self._blocks.pop()
+        del self._open[place:]
+
+    def _end(self, tag: str) -> None:
+        if tag not in INLINE:
+            self.pieces.append((-1, ""))
+        place = self._last(tag)
+        if place > 0:
+            self._close(place)
+
+    def _start(self, source: str, tag: str, attributes: dict[str, str], at: int) -> int:
+        """Open an element; returns the place to go on from."""
+        foreign = max(map(self._last, FOREIGN))
+        if foreign > 0 and tag in BREAK_OUT and self._last("foreignobject") < foreign:
+            self._close(foreign)
+            foreign = -1
+        if tag not in INLINE:
+            self.pieces.append((-1, ""))
+        mark = _mark(attributes) if attributes and tag not in ("html", "body", "article", "main") else 0
+        if tag in INLINE and tag != "a" and not mark and self._last(tag) < 0:
+            return at
+        self._imply_ends(tag)
+        if tag in VOID:
+            return at
+        if tag in RAW:
+            end = self._raw_end(source, tag, at)
+            if end and "/" in attributes and re.compile(f"<{tag}", re.I).search(source, at, end.start()):
+                end = None  # the end of a later one
+            return end.end() if end else at if "/" in attributes else len(source)
+        node, place = len(self.tags), len(self._open)
+        self.tags.append(tag)
+        self.parents.append(self._open[-1])
+        inside = self._last("article") > 0 or self._last("main") > 0
+        self.out.append(tag in LEFT_OUT or mark == 3 or tag == "header" and not inside)
+        self.marks.append(mark)
+        if "/" in attributes and (foreign > 0 or tag in FOREIGN):
+            return at
+        self._open.append(node)
+        self._at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self._blocks.append(place)
+        return at
+
+    def _raw_end(self, source: str, tag: str, at: int) -> re.Match | None:
+        """The next end of a raw element; each is looked for once."""
+        end = self._raw.get(tag)
+        if tag not in self._raw or end and end.start() < at:
+            end = self._raw[tag] = re.compile(rf"</{tag}\s*+>?", re.I).search(source, at)
+        return end
+
+    def _imply_ends(self, tag: str) -> None:
+        if tag not in INLINE and tag not in VOID and self.tags[self._open[self._blocks[-1]]] == "p":
+            self._close(self._blocks[-1])
         if limits := CLOSED_BY_SAME.get(tag):
-            ends = (tag, *ALSO_CLOSES.get(tag, ()))
-            for k in range(len(open_) - 1, 0, -1):
-                if (t := tags[open_[k]]) in limits:
-                    break
-                if t in ends:
-                    del open_[k:]
-                    break
-        if tag not in IN_HEAD and tags[open_[-1]] == "head":
-            open_.pop()
-
-    def _left_out(self, open_: list[int], tag: str, attributes: str) -> bool:
-        if tag in LEFT_OUT or tag == "head":
-            return True
-        if tag == "header":
-            return not any(self.tags[k] in ("article", "main") for k in open_)
-        if not attributes or tag in ("html", "body", "article", "main"):
-            return False
-        if _HIDDEN.search(attributes):
-            return True
-        return any(part in MARKS for m in _MARK.finditer(attributes) for part in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-
-    def _spare_articles(self) -> None:
-        """An element that is marked as something else but holds an article isn't left out."""
-        for k, tag in enumerate(self.tags):
-            if tag in ("article", "main"):
-                up = self.parents[k]
-                while up >= 0:
-                    self.out[up] = False
-                    up = self.parents[up]
+            border = max(map(self._last, limits))
+            place = min((p for t in (tag, *ALSO_CLOSES.get(tag, ())) if (p := self._last(t)) > border), default=-1)
+            if place > 0:
+                self._close(place)
+        if tag not in IN_HEAD and self.tags[self._open[-1]] == "head":
+            self._close(len(self._open) - 1)
+
+    def _up(self, own: list[int]) -> list[int]:
+        """The sums over subtrees; what is left out adds nothing."""
+        for k in range(len(own) - 1, 0, -1):
+            if not self.out[k]:
+                own[self.parents[k]] += own[k]
+        return own
+
+    def _inherit(self) -> None:
+        for k in range(1, len(self.tags)):
+            self.out[k] = self.out[k] or self.out[self.parents[k]]
+
+    def _weigh(self) -> None:
+        """Leave out the marked elements, but for those that hold an article or most of the text."""
+        n, tags, parents = len(self.tags), self.tags, self.parents
+        spared = [False] * n
+        for k in range(n - 1, 0, -1):
+            if spared[k] or tags[k] in ("article", "main"):
+                spared[k] = spared[parents[k]] = True
+        for k in range(n):
+            self.out[k] = self.out[k] and not (spared[k] and tags[k] != "head")
+        self._inherit()
+        link, plain = [False] * n, [0] * n
+        for k in range(1, n):
+            link[k] = link[parents[k]] or tags[k] == "a"
+        for k, text in self.pieces:
+            if k >= 0 and not self.out[k] and not link[k]:
+                plain[k] += len(text.strip())
+        self._up(plain)
+        whole = [0] * n  # the text of which a marked element may hold most: that of its article, or of a page without one
+        articles = any(t in ("article", "main") and p and not o for t, p, o in zip(tags, plain, self.out, strict=True))
+        unmarked = [True] * n
+        for k in range(n):
+            up = parents[k]
+            whole[k] = plain[k] if tags[k] in ("article", "main") else whole[up] if k else 0 if articles else plain[0]
+            wrapper = self.marks[k] == 1 and 0 < SHARE * whole[k] <= plain[k]
+            unmarked[k] = (self.marks[k] == 0 or spared[k] or wrapper) and (not k or unmarked[up])
+        if any(unmarked[k] and not self.out[k] and text.strip() for k, text in self.pieces if k >= 0):
+            self.out = [o or not u for o, u in zip(self.out, unmarked, strict=True)]
 
     def text(self) -> str:
         """The article's text: blocks in page order, with single blanks between words."""
-        self._spare_articles()
+        self._weigh()
         tags, parents, out, n = self.tags, self.parents, self.out, len(self.tags)
         link = [False] * n
-        chars, link_chars, count, link_count = [0] * n, [0] * n, [1] * n, [0] * n
+        chars, link_chars = [0] * n, [0] * n
         for k in range(1, n):
-            up = parents[k]
-            out[k] = out[k] or out[up]
-            link[k] = link[up] or tags[k] == "a"
-            link_count[k] = int(tags[k] == "a")
+            link[k] = link[parents[k]] or tags[k] == "a"
         for k, text in self.pieces:
             if k >= 0 and not out[k]:
                 size = len(text.strip())
                 chars[k] += size
                 if link[k]:
                     link_chars[k] += size
-        for k in range(n - 1, 0, -1):
-            if not out[k]:
-                up = parents[k]
-                chars[up] += chars[k]
-                link_chars[up] += link_chars[k]
-                count[up] += count[k]
-                link_count[up] += link_count[k]
+        self._up(chars), self._up(link_chars)
+        count, link_count = self._up([1] * n), self._up([int(t == "a") for t in tags])
         body = next((k for k in range(n) if tags[k] == "body"), 0)
         density, total = [0.0] * n, [0.0] * n
         share = link_chars[body] / (chars[body] or 1)
@@ -180,16 +280,17 @@ class Page:
         top = best
         while top and parents[top] >= 0 and top != body and density[parents[top]] >= threshold:
             top = parents[top]
-        inside = [False] * n
-        chosen = best if top == best else max((k for k in range(top, n) if self._under(k, top) and not out[k]), key=lambda k: (total[k], -k))
-        for k in range(chosen, n):
-            inside[k] = k == chosen or (parents[k] >= 0 and inside[parents[k]])
-        return " ".join("".join([" " if k < 0 else text for k, text in self.pieces if k < 0 or inside[k] and not out[k]]).split())
+        under = self._subtree(top)
+        chosen = max((k for k in under if not out[k]), key=lambda k: (total[k], -k), default=top) if top != best else best
+        inside = self._subtree(chosen)
+        return " ".join("".join([" " if k < 0 else text for k, text in self.pieces if k < 0 or k in inside and not out[k]]).split())
 
-    def _under(self, k: int, top: int) -> bool:
-        while k > top:
-            k = self.parents[k]
-        return k == top
+    def _subtree(self, top: int) -> range:
+        """The elements of a subtree, which stand one after another."""
+        end, parents = top + 1, self.parents
+        while end < len(parents) and parents[end] >= top:
+            end += 1
+        return range(top, end)
 
 
 def main_text(source: str | None) -> str:
@@ -199,7 +300,7 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, id_columns: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:
     """``(*id_columns, text)``: the main text of each page, one row for each row of ``pages``.
 
-    A null or empty page, and one without text outside of marked parts, gives an empty string. Every page is parsed to its end;
+    A null or empty page, and one without text outside of menus, forms and the like, gives an empty string. Every page is parsed to its end;
     nesting of any depth and unclosed markup are taken as they are. Nothing is shuffled.
     """
 
