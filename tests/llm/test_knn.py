@@ -24,8 +24,9 @@ def check(spark, rows, k=10, **more):
     return got
 
 
-@pytest.mark.parametrize("pivots", [1, 16])
-def test_matches_brute_force_with_ties_copies_and_unusable_vectors(spark, monkeypatch, pivots):
+@pytest.mark.parametrize(("pivots", "group"), [(1, 2048), (16, 2048), (2, 5)])
+def test_matches_brute_force_with_ties_copies_and_unusable_vectors(spark, monkeypatch, pivots, group):
+    monkeypatch.setattr(knn, "GROUP", group)
     monkeypatch.setattr(knn, "BLOCK", 16)
     monkeypatch.setattr(knn, "PACK", 4)
     rng = np.random.default_rng(4)
@@ -50,6 +51,14 @@ def test_few_rows_large_values_and_none(spark):
     assert knn.top_k(df, df).count() == 0
 
 
+def test_products_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(i, [4e6] * 3) for i in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        knn.top_k(df, df)
+    df = spark.createDataFrame([(i, [1.7e6 + i] * 3) for i in range(4)], "vec_id long, embedding array<double>")
+    assert knn.top_k(df, df.where("vec_id = 0"), 1).first().score == 3 * 1024**2 * 1_700_000 * 1_700_003
+
+
 def test_merge_prefers_smaller_ids():
     random.seed(1)
     q, s, i = knn._merge(np.array([1, 1, 1, 2]), np.array([5, 5, 5, 1]), np.array([9, 3, 7, 4]), 2)

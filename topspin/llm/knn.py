@@ -10,9 +10,11 @@ of distances:
    most ``q.c + |q||x - c|`` for a vector ``x`` at the pivot ``c``. So the summaries give each cell of queries a score that ``k``
    vectors are sure to reach, and each block the most that it can reach.
 3. A block goes only to those cells of queries for which it can reach that score. There it is multiplied with the packs of
-   queries, and each task keeps the best ``k`` for each query that it has met; a last window merges those.
+   queries, and each task keeps the best ``k`` for each query that it has met; a last window merges those. The queries of a large cell
+   are dealt out in groups.
 
-Scores are integers and exact; bounds are widened by a millionth, which covers their rounding.
+Scores are integers and exact; bounds are widened by a millionth, which covers their rounding. Vectors whose products might not fit
+into 64 bits are refused.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from pyspark.sql import types as T
 from topspin.llm.shared import materialise
 
 SCALE = 1024
-#: Pivots at most; the summaries that reach the driver have ``PIVOTS * (k + 1)`` numbers at most.
-PIVOTS = 64
+#: Pivots: the square root of the rows divided by eight, within these. The summaries that reach the driver have ``k + 1`` numbers for each, the limits that
+#: are broadcast a row of 16 bytes for each pair.
+PIVOTS = (64, 1024)
 BLOCK, PACK = 512, 256
+#: Queries of a cell that a block meets at one task.
+GROUP = 2048
 #: Vectors that a task packs at once.
 WINDOW = 32_768
 #: Up to this magnitude products of 4,096 components are exact in doubles.
@@ -137,19 +142,25 @@ def _solve(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 10_000]) for c in best], names=["query_id", "score", "vec_id"])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int | None = None) -> DataFrame:
     """``(query_id, rank int from 1, vec_id, score)``: for each query its ``k`` best of ``vectors``, but for those with its own id.
 
     Vectors become integers by ``floor(1024 * x)``. Ties go to the smaller id. A query without another usable vector has
     no row; fewer than ``k`` others give fewer rows. Vectors of different lengths are compared as if they ended in zeros. Ids
-    are whole numbers; of rows that share an id, the one with the least vector counts.
+    are whole numbers; of rows that share an id, the one with the least vector counts. ``ValueError`` if the largest squared length of the
+    integer vectors reaches 2^63, as their products might not be whole then.
     """
     spark = vectors.sparkSession
     data = usable(vectors, id_column, vector_column)
     asked = usable(queries, id_column, vector_column).groupBy("id").agg(F.min("v").alias("v"))
     if not data.groupBy("id").count().where("count > 1").isEmpty():  # only ids are shuffled to find out
         data = data.groupBy("id").agg(F.min("v").alias("v"))
-    dim = data.agg(F.max(F.size("v"))).first()[0] or 0
+    square = lambda df: df.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x)), F.count("*")).first()
+    (dim, largest, n), (own, longest, _) = square(data), square(asked)
+    dim = max(dim or 0, own or 0)
+    if (largest or 0.0) ** 0.5 * (longest or 0.0) ** 0.5 >= 2.0**63 * (1 - 1e-6):
+        raise ValueError("inner products of these vectors may not fit into 64 bits")
+    pivots = pivots or min(PIVOTS[1], max(PIVOTS[0], int(n**0.5 / 8)))
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     if not dim:
         return spark.createDataFrame([], schema)
@@ -167,7 +178,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
 
     window = Window.partitionBy("cell").orderBy("distance")
     summary = blocks.select("cell", "distances").mapInArrow(nearest, "cell int, distance double").withColumn("n", F.row_number().over(window)).where(F.col("n") <= k + 1).collect()
-    cells = packs.groupBy("cell").agg(F.max("farthest").alias("radius"), F.max("norm").alias("norm")).collect()
+    groups = F.ceil(F.sum(F.octet_length("ids") / 8) / GROUP).cast("int").alias("groups")
+    cells = packs.groupBy("cell").agg(F.max("farthest").alias("radius"), F.max("norm").alias("norm"), groups).collect()
     limits = []
     for row in cells:
         # a query q of this cell has q.c >= p.c - radius * |c|, with p the cell's own pivot
@@ -178,10 +190,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
         for c in range(len(centres)):
             # the farthest that a block's farthest vector has to be, at least, to matter here
             need = (least - most[c]) / row.norm if row.norm else (-1.0 if least <= most[c] else np.inf)
-            limits.append((int(c), int(row.cell), float(need - 1e-6 * (1 + abs(need)) - 1e-3)))
-    limits = spark.createDataFrame(limits, "cell int, q_cell int, need double").where(F.col("need") < float("inf"))
-    sent = blocks.join(F.broadcast(limits), "cell").where(F.col("farthest") >= F.col("need")).select("q_cell", "ids", "rows")
-    asked = packs.select(F.col("cell").alias("q_cell"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    found = sent.join(asked, "q_cell").mapInArrow(lambda b: _solve(b, dim, k), "query_id long, score long, vec_id long")
+            limits.append((int(c), int(row.cell), row.groups, float(need - 1e-6 * (1 + abs(need)) - 1e-3)))
+    limits = spark.createDataFrame(limits, "cell int, q_cell int, groups int, need double").where(F.col("need") < float("inf"))
+    sent = blocks.join(F.broadcast(limits), "cell").where(F.col("farthest") >= F.col("need"))
+    sent = sent.select("q_cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("q_group"), "ids", "rows")
+    dealt = spark.createDataFrame([(int(r.cell), r.groups) for r in cells], "cell int, groups int")
+    asked = packs.join(F.broadcast(dealt), "cell").select(F.col("cell").alias("q_cell"), F.pmod(F.xxhash64("ids"), F.col("groups")).cast("int").alias("q_group"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    found = sent.join(asked, ["q_cell", "q_group"]).mapInArrow(lambda b: _solve(b, dim, k), "query_id long, score long, vec_id long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
