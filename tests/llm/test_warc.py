@@ -50,6 +50,22 @@ def test_bundles_are_zstandard_with_a_seek_table(tmp_path):
     assert whole == b"".join(bytes([i]) * 200_000 for i in range(9))
 
 
+@pytest.mark.parametrize("text", ["http://x/a%20b?q=%2F", "100 %", "%zz%", "http://x/ü\r\nX: y", "a>b\r\nX: y", "<urn:x>", "日本 %E6%97", ": ", "", "a%0d%0ab\x00"])
+def test_ids_and_addresses_come_back(text):
+    data = warc.record(text, text, b"x", 1, hashlib.sha256(b"x").hexdigest(), None, "1970-01-01T00:00:00Z")
+    assert (found := warc.parse(data))["page_id"] == text and found["url"] == text and found["payload"] == b"x"
+    back = warc.parse(warc.record("a", None, None, 1, "d", text, "1970-01-01T00:00:00Z"))
+    assert back["refers_to"] == text and back["url"] is None and back["record_type"] == "revisit"
+
+
+def test_text_ids(spark):
+    ids = ["a>b\r\nX: y", "50%25", "ü"]
+    pages = spark.createDataFrame([(i, i, LONG) for i in ids], "page_id string, url string, html string")
+    got = {r.page_id: (r.url, r.refers_to) for r in warc.read(warc.write(pages, warc.archive_folder(spark))).collect()}
+    least = min(ids)
+    assert got == {i: (i, None if i == least else least) for i in ids}
+
+
 def test_no_rows(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(warc.write(pages, warc.archive_folder(spark))).count() == 0

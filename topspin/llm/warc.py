@@ -35,6 +35,8 @@ LEAST_BYTES = 100
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = re.compile(r"<urn:x-page:(.*)>")
+#: Characters that stay as they are in target addresses, and the field for an address that holds escapes itself.
+_URI, _AS_GIVEN = ":/?#[]@!$&'()*+,;=%~", "X-Target-As-Given"
 INDEX = "record_id string, bundle string, frame int, at long, length long"
 
 
@@ -47,11 +49,14 @@ def record(page_id: str, url: str | None, payload: bytes | None, size: int, dige
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if refers_to is None:
         block += payload or b""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:x-page:{quote(page_id, safe='')}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
+        target = quote(url, safe=_URI)
+        head.append(f"WARC-Target-URI: {target}")
+        if unquote(target) != url:  # with escapes of its own
+            head.append(f"{_AS_GIVEN}: {quote(url, safe='')}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        head += [f"WARC-Refers-To: <urn:x-page:{quote(refers_to, safe='')}>", f"WARC-Profile: {_PROFILE}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -66,9 +71,10 @@ def parse(data: bytes) -> dict:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"{fields['WARC-Record-ID']} is damaged")
-    refers_to = _ID.match(fields["WARC-Refers-To"])[1] if kind == "revisit" else None
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": _ID.match(fields["WARC-Record-ID"])[1], "url": None if url is None else unquote(url), "record_type": kind, "refers_to": refers_to, "payload_bytes": size, "payload_digest": digest, "payload": payload if kind == "response" else None}
+    page = lambda name: unquote(_ID.match(fields[name])[1])
+    refers_to = page("WARC-Refers-To") if kind == "revisit" else None
+    url = fields.get(_AS_GIVEN, fields.get("WARC-Target-URI"))
+    return {"page_id": page("WARC-Record-ID"), "url": None if url is None else unquote(url), "record_type": kind, "refers_to": refers_to, "payload_bytes": size, "payload_digest": digest, "payload": payload if kind == "response" else None}
 
 
 class BundleWriter:
