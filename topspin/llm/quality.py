@@ -4,7 +4,7 @@ After Wang and Manning ("Baselines and Bigrams", 2012): indicators of hashed n-g
 ratio of the classes, and a linear model with hinge loss is fitted to them by dual coordinate descent (Hsieh et al., 2008).
 A sigmoid fitted on rows that the descent doesn't see turns margins into scores.
 
-The n-grams are the character trigrams of the text, and two word n-grams that stand for many: one word three or five times in a row.
+The n-grams are the character trigrams of the text.
 """
 
 from __future__ import annotations
@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 from topspin.llm.shared import by_bytes
 
 BITS = 17
-#: Features of a word that stands three or five times in a row; hashed trigrams have the other places.
-REPEATED = 1 << BITS
-FEATURES = REPEATED + 2
+FEATURES = 1 << BITS
 #: Rows that the model is fitted on at most, those with the smallest hash of the id. More change the scores little.
 FIT_ROWS = 6000
 
@@ -40,9 +38,6 @@ def features(text: str | None) -> np.ndarray:
     hashed *= np.uint32(0x2C1B3C6D)
     present = np.zeros(FEATURES, bool)
     present[hashed >> np.uint32(32 - BITS)] = True
-    words = text.split()
-    present[REPEATED] = any(a == b == c for a, b, c in zip(words, words[1:], words[2:], strict=False))
-    present[REPEATED + 1] = present[REPEATED] and any(len(set(words[i : i + 5])) == 1 for i in range(len(words) - 4))
     return np.flatnonzero(present).astype(np.uint32)
 
 

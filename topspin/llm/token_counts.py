@@ -50,7 +50,7 @@ class UnitCounter:
         held = 0
         for u in units:
             batch.append(u)
-            held += len(u)
+            held += len(u) if u.isascii() else len(u.encode(errors="replace"))
             if held >= self.batch_bytes:
                 yield from zip(batch, map(len, self.model.encode(batch, num_threads=1)), strict=True)
                 batch, held = [], 0
