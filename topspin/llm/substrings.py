@@ -37,7 +37,7 @@ REACH, SHINGLE, LONGEST = 5, 5, 64
 SIMILARITY, RECALL, ROWS = 0.8, 0.99, 2
 LEAST_WORDS = 15
 #: Paragraphs and shingles of a band that one cell takes as one chunk, and shingles that it counts at a time.
-TILE, TILE_SHINGLES, WIDTH = 512, 1 << 19, 4096
+TILE, TILE_SHINGLES, WIDTH = 256, 1 << 19, 4096
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -55,6 +55,7 @@ _BREAK = np.zeros(0x3001, bool)
 _BREAK[[*range(10, 14), *range(28, 31), 0x85, 0x2028, 0x2029]] = True
 _CHUNK = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -117,7 +118,7 @@ class Passages:
         """Stretches of ``SHINGLE`` words at least between cuts."""
         n = len(self.words)
         if n < SHINGLE:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return _NOTHING
         bounds = np.concatenate([[0], self._cuts(), [n]])
         if np.diff(bounds).max() > LONGEST:
             bounds = np.concatenate([*(np.arange(a, b, LONGEST) for a, b in zip(bounds[:-1], bounds[1:], strict=True)), [n]])
@@ -137,7 +138,7 @@ class Passages:
     def paragraphs(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.words)
         if n < least_words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return _NOTHING
         line = np.searchsorted(self._breaks, self.starts)
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [n]])
         long = np.diff(bounds) >= least_words
@@ -157,15 +158,63 @@ class Passages:
             out = out * _BASE + self.words[j : j + count]
         return _mix(out)
 
-    def bands(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """A row for each paragraph, a column for each band."""
-        shingles = self.shingles()
-        values = np.append(shingles ^ (shingles >> np.uint64(29)), _NONE)
-        ends = np.stack([first, last - SHINGLE + 1], 1).ravel()
-        out = np.zeros((len(first), BANDS), np.uint64)
-        for k, f in enumerate(_FUNCTIONS):
-            out[:, k // ROWS] = _mix(out[:, k // ROWS] + np.minimum.reduceat(np.append(values[:-1] * f, _NONE), ends)[::2] + np.uint64(k))
-        return out
+
+def band_keys(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A row for each range of ``shingles``, a column for each band. Ranges are in order and don't overlap."""
+    least = np.empty((BANDS * ROWS, len(first)), np.uint64)
+    values, held = shingles ^ (shingles >> np.uint64(29)), np.full(len(shingles) + 1, _NONE)
+    ends = np.stack([first, last], 1).ravel()
+    for k, f in enumerate(_FUNCTIONS):
+        np.multiply(values, f, out=held[:-1])
+        least[k] = np.minimum.reduceat(held, ends)[::2]
+    out = np.arange(BANDS, dtype=np.uint64)[:, None] * np.ones(len(first), np.uint64)
+    for k in range(ROWS):
+        out = _mix(out * _BASE + least[k::ROWS])
+    return out.T
+
+
+class Batch:
+    """The passages of some texts, one after another: ``of`` tells the text of each tile and then of each paragraph."""
+
+    def __init__(self, texts: list[str | None], least_words: int, tiles: bool = True):
+        self.own = [Passages(t) if t else None for t in texts]
+        some = [i for i, p in enumerate(self.own) if p is not None]
+        self.tiles = [self.own[i].tiles() if tiles else _NOTHING for i in some]
+        self.paragraphs = [self.own[i].paragraphs(least_words) for i in some]
+        self.own = [self.own[i] for i in some]
+        self.of = np.repeat([*some, *some], [len(x[0]) for x in (*self.tiles, *self.paragraphs)])
+        self.n_tiles = sum(len(x[0]) for x in self.tiles)
+
+    def _each(self, function: str) -> list[np.ndarray]:
+        return [getattr(p, function)(*x) for which in (self.tiles, self.paragraphs) for p, x in zip(self.own, which, strict=True)]
+
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *self._each("hashes")])
+
+    def checks(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *self._each("checks")])
+
+    def words(self, side: int) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[x[side] for x in (*self.tiles, *self.paragraphs)]])
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All shingles of texts with paragraphs, and the range of each paragraph."""
+        parts = [(p.shingles(), x) for p, x in zip(self.own, self.paragraphs, strict=True) if len(x[0])]
+        offsets = np.cumsum([0, *[len(v) for v, _ in parts]])
+        first = [x[0] + at for (_, x), at in zip(parts, offsets, strict=False)]
+        last = [x[1] - SHINGLE + 1 + at for (_, x), at in zip(parts, offsets, strict=False)]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in parts]]), np.concatenate([none, *first]), np.concatenate([none, *last])
+
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different shingles of each paragraph, as 32-bit integers, and where each paragraph's begin."""
+        values, first, last = self.shingles()
+        sizes = last - first
+        number = np.repeat(np.arange(len(first)), sizes)
+        at = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+        found = np.sort(number.astype(np.uint64) << np.uint64(32) | values[at] >> np.uint64(32))
+        found = found[np.diff(found, prepend=_NONE) != 0]
+        return found.astype(np.uint32), np.searchsorted(found, np.arange(len(first) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32)
 
 
 def spans(text: str, gone: list[tuple[int, int, int, object]], least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, object]]:
@@ -174,11 +223,14 @@ def spans(text: str, gone: list[tuple[int, int, int, object]], least_words: int
     Entries whose hash isn't that of the text's (another row with the same id) don't count.
     """
     own = Passages(text)
-    gone = sorted((a, b, h % (1 << 64), d) for a, b, h, d in gone if b <= len(own.words))
-    if not gone:
-        return []
-    first, last = (np.array([g[i] for g in gone], np.int64) for i in (0, 1))
-    same = [own.hashes(first[k : k + 1], last[k : k + 1])[0] == np.uint64(gone[k][2]) for k in range(len(gone))]
+    gone = sorted({(a, b, h % (1 << 64), d) for a, b, h, d in gone if b <= len(own.words)})
+    first, last, hashes = (np.array([g[i] for g in gone], t) for i, t in enumerate((np.int64, np.int64, np.uint64)))
+    same, rest = np.zeros(len(gone), bool), np.arange(len(gone))
+    while len(rest):  # those whose ends rise together, then those inside of them
+        rising = last[rest] >= np.maximum.accumulate(last[rest])
+        at = rest[rising]
+        same[at] = own.hashes(first[at], last[at]) == hashes[at]
+        rest = rest[~rising]
     runs: list[list] = []
     for (a, b, _, d), ok in zip(gone, same, strict=True):
         if not ok:
@@ -201,8 +253,8 @@ def cut(text: str, gone: list[tuple[int, int, int, object]], least_words: int =
     return ("".join(parts) + text[at:]).strip() if parts else text
 
 
-def _signed(values: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64))
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def _keys(docs: DataFrame, least_words: int, places: bool) -> DataFrame:
@@ -210,29 +262,15 @@ def _keys(docs: DataFrame, least_words: int, places: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            key, hashes, of, starts, ends, checks = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if not text:
-                    continue
-                own = Passages(text)
-                (a, b), (c, d) = own.tiles(), own.paragraphs(least_words)
-                first, last = np.concatenate([a, c]), np.concatenate([b, d])
-                found = np.concatenate([own.hashes(a, b), own.hashes(c, d)])
-                key.append(found)
-                hashes.append(found)
-                if places:
-                    check = np.concatenate([own.checks(a, b), own.checks(c, d)])
-                    starts, ends, checks = [*starts, first], [*ends, last], [*checks, check]
-                if len(c):
-                    key.append(own.bands(c, d).ravel())
-                    hashes.append(np.repeat(found[len(a) :], BANDS))
-                    if places:
-                        starts, ends, checks = [*starts, np.repeat(c, BANDS)], [*ends, np.repeat(d, BANDS)], [*checks, np.repeat(check[len(a) :], BANDS)]
-                of.append(np.full(len(first) + BANDS * len(c), i))
-            columns = [_signed(key), _signed(hashes)]
+            found = Batch(batch.column("text").to_pylist(), least_words)
+            hashes = found.hashes()
+            shingles, first, last = found.shingles()
+            bands = band_keys(shingles, first, last) if len(first) else np.zeros((0, BANDS), np.uint64)
+            # each passage once, and each paragraph again for each band
+            each = np.concatenate([np.arange(len(hashes)), np.repeat(np.arange(found.n_tiles, len(hashes)), BANDS)])
+            columns = [_signed(np.concatenate([hashes, bands.ravel()])), _signed(hashes[each])]
             if places:
-                number = lambda values: pa.array(np.concatenate([np.zeros(0, np.int64), *values]).astype(np.int32))
-                columns += [batch.column("doc").take(number(of)), number(starts), number(ends), _signed(checks)]
+                columns += [batch.column("doc").take(pa.array(found.of[each])), *[pa.array(found.words(side)[each].astype(np.int32)) for side in (0, 1)], _signed(found.checks()[each])]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "hash", "doc", "start", "end", "check"][: len(columns)])
 
     kind = docs.schema["doc"].dataType.simpleString()
@@ -244,17 +282,9 @@ def _shingle_sets(docs: DataFrame, least_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", 1 << 20):
-            hashes, sets = [], []
-            for text in batch.column("text").to_pylist():
-                own = Passages(text) if text else None
-                first, last = own.paragraphs(least_words) if own else ((), ())
-                if len(first):
-                    small = (own.shingles() >> np.uint64(32)).astype(np.uint32)
-                    hashes.append(own.hashes(first, last))
-                    sets += [np.unique(small[a : b - SHINGLE + 1]) for a, b in zip(first, last, strict=True)]
-            if sets:
-                offsets = pa.array(np.cumsum([0, *map(len, sets)], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([_signed(hashes), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int32)))], names=["hash", "shingles"])
+            found = Batch(batch.column("text").to_pylist(), least_words, tiles=False)
+            sets, offsets = found.sets()
+            yield pa.RecordBatch.from_arrays([_signed(found.hashes()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sets.view(np.int32)))], names=["hash", "shingles"])
 
     return docs.mapInArrow(run, "hash long, shingles array<int>")
 
