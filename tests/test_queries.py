@@ -15,3 +15,11 @@ def test_query_runs_with_a_stable_schema(spark, name):
 def test_entry_and_oracles(spark):
     assert entry.entry(spark).columns == ["player_id", "name", "nationality", "rating", "shown_rating", "match_count", "rank"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_stand_without_the_language_package():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True)

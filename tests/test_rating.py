@@ -90,6 +90,37 @@ def test_incremental_with_late_matches_equals_rebuild(spark):
         assert (r.match_count, r.last_match_date, r.last_temporal_order) == (want[r.player_id].match_count, want[r.player_id].last_match_date, want[r.player_id].last_temporal_order)
 
 
+@pytest.mark.parametrize("fast", [False, True])
+def test_windows_and_pools_change_nothing(spark, fast):
+    # two sets of players that never meet, besides those that don't meet within a window
+    rows = make(200, 40)
+    rows += [(1000 + r[0], r[1] + 100, r[2] + 100, *r[3:5], r[5] + 100, *r[6:]) for r in make(60, 12, seed=2)]
+    df = frame(spark, rows)
+    whole = {r.id: tuple(r) for r in rating.rebuild(df, fast=fast).collect()}
+    got = {r.id: tuple(r) for r in rating.rebuild(df, fast=fast, window_rows=140).collect()}
+    assert got == whole and len(got) > 150
+
+
+def test_late_matches_leave_what_they_cannot_reach(spark):
+    rows = make(120, 10) + [(1000 + r[0], r[1] + 100, r[2] + 100, *r[3:5], r[5] + 100, *r[6:]) for r in make(120, 10, seed=2)]
+    df = frame(spark, rows)
+    first = rating.rebuild(df.where(F.col("id") != 1003)).withColumn("pre_a", F.col("pre_a") + F.when(F.col("id") < 1000, 0.5).otherwise(0.0))
+    rated, _ = rating.update_ratings(df, first, rating.states_after(first, df))
+    whole, before = ({r.id: tuple(r) for r in x.collect()} for x in (rating.rebuild(df), first))
+    got = {r.id: tuple(r) for r in rated.collect()}
+    assert got.keys() == whole.keys()
+    for i in got:  # marked values of the players that no late match can reach are still there
+        assert got[i] == (before[i] if i < 1000 else whole[i])
+
+
+def test_rounding_is_that_of_python():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(0, 10**6, 20000) / 1000, rng.uniform(0, 3000, 20000), [69.255, 2.675, 1500.125, 1500.375]])
+    assert rating._cents(x).tolist() == [round(v, 2) for v in x.tolist()]
+
+
 def test_known_values(spark):
     one = spark.range(1).select(
         rating.updated(F.lit(1500.0), F.lit(1500.0), F.lit(True), 108.0, 1670.0).alias("even"),

@@ -2,14 +2,16 @@
 
 Everything about a match that doesn't depend on ratings (level, margin, how many matches a player had before, how long ago the last
 one was) is worked out by windows over the players' matches. What is left is a recursion over pairs of players: an ordered
-fold. It is sequential wherever players meet, however indirectly. Pools that never meet are independent; where a column tells
-them apart (``pool`` of ``levels()``), each is folded on its own. A task streams through its pools in order and holds a number for
-each player, never the matches.
+fold. A match only waits for the matches before it that share a player with it, so the fold goes in waves: of the matches
+at hand, all that wait for nothing are rated at once, for all parameter candidates.
+
+Up to ``WINDOW_ROWS`` matches are one task. Beyond, the fold goes through windows of time, one after another; in a window, pools
+of players that meet in it are folded side by side. A task holds the ratings of its players and one chunk of matches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from topspin.functions.domain import base_code, level_code
 from topspin.functions.scores import dominance, parse_score, to_structured
+from topspin.operators.graph import connected_components
 from topspin.operators.matches import sides
 from topspin.operators.tables import upsert
 from topspin.schema import RATED, RATED_FAST, RATING_K, RATING_S
@@ -26,6 +29,9 @@ from topspin.sources.sinks import durable
 
 Number = Column | float
 
+#: Matches of a window of time, and those that a task takes at once.
+WINDOW_ROWS, CHUNK_ROWS = 4 << 20, 1 << 16
+
 
 @dataclass(frozen=True)
 class Params:
@@ -118,93 +124,216 @@ def history(rows: DataFrame, states: DataFrame | None = None) -> DataFrame:
     return rows.join(both, "id")
 
 
-def levels(rows: DataFrame, pool: Column | None = None) -> DataFrame:
-    """Rows of ``star()`` with the level's ``code``, the structured score, and ``pool``: one for all, or what the given column says.
-
-    A player must have all matches in one pool.
-    """
-    code = level_code(F.col("t_level"), F.col("t_tour"))
-    rows = rows.withColumn("code", code).withColumn("pool", F.lit("all") if pool is None else pool)
+def levels(rows: DataFrame) -> DataFrame:
+    """Rows of ``star()`` with the level's ``code`` and the structured score."""
+    rows = rows.withColumn("code", level_code(F.col("t_level"), F.col("t_tour")))
     return rows.withColumn("score_structured", to_structured(parse_score(F.col("score"))))
 
 
-def factors(rows: DataFrame, params: Params | None = None, fast: bool = False) -> DataFrame:
-    """Columns that the fold needs: decays, K with margin and boost, S and baseline. Without ``params`` the rows carry the columns of a candidate."""
-    p = {k: (F.col(k) if params is None else getattr(params, k)) for k in asdict(Params()) if k not in ("k", "s")}
+def margin(structured: Column, a_won: Column, base: Number = 0.85, scale: Number = 0.3) -> Column:
+    """The multiplier of K by the winner's share of games: within 0.5 and 2, half-even at four places; 1 without games."""
+    exact = F.greatest(F.lit(0.5), F.least(F.lit(2.0), _c(base) + dominance(structured, a_won) * _c(scale)))
+    return F.when(F.coalesce(F.size(structured), F.lit(0)) <= 0, 1.0).otherwise(F.bround(exact.cast("decimal(20,12)"), 4).cast("double"))
+
+
+def _of_candidate(p: dict[str, Number | Column], a_won: Column) -> Column:
     code = base_code(F.col("code"))
-    table = lambda name: F.col(name) if params is None else F.create_map(*[F.lit(x) for kv in getattr(params, name).items() for x in kv])
-    pick = lambda name: F.coalesce(F.try_element_at(table(name), code), F.try_element_at(table(name), F.lit("A")))
-    a_won = F.col("winner_id") == F.col("player_a_id")
-    if fast:
-        rows = rows.where(a_won | (F.col("winner_id") == F.col("player_b_id")))
-    a_won = F.coalesce(a_won, F.lit(False))
-    exact = F.greatest(F.lit(0.5), F.least(F.lit(2.0), _c(p["margin_base"]) + dominance(F.col("score_structured"), a_won) * _c(p["margin_scale"])))
-    margin = F.when(F.coalesce(F.size("score_structured"), F.lit(0)) <= 0, 1.0).otherwise(F.bround(exact.cast("decimal(20,12)"), 4).cast("double"))
+    pick = lambda name: F.coalesce(F.try_element_at(p[name], code), F.try_element_at(p[name], F.lit("A")))
     boost = lambda s: k_boost(F.col(f"n_{s}"), F.col(f"days_{s}"), p["new_threshold"], p["new_boost"], p["returning_days"], p["returning_boost"])
-    k = pick("k") * margin
-    return rows.select(
-        *(["candidate"] if params is None else []), "pool", "temporal_order", "id", F.col("player_a_id").alias("a"), F.col("player_b_id").alias("b"), a_won.alias("a_won"),
+    decay = lambda s: decay_factor(F.col(f"days_{s}"), p["decay_rate"], p["decay_start"])
+    k = pick("k") * margin(F.col("score_structured"), a_won, p["margin_base"], p["margin_scale"])
+    return F.struct(
         (k * boost("a")).alias("k_a"), (k * boost("b")).alias("k_b"), pick("s").alias("s"), baseline(F.col("code"), p["start_men"], p["start_women"]).alias("base"),
-        decay_factor(F.col("days_a"), p["decay_rate"], p["decay_start"]).alias("decay_a"), decay_factor(F.col("days_b"), p["decay_rate"], p["decay_start"]).alias("decay_b"),
+        decay("a").alias("decay_a"), decay("b").alias("decay_b"),
     )
 
 
-def _chance(pre_a: float, pre_b: float, s: float) -> float:
-    try:
-        return 1 / (1 + 10 ** ((pre_b - pre_a) / s))
-    except OverflowError:
-        return 0.001 if pre_b > pre_a else 0.999
+def factors(rows: DataFrame, candidates: Sequence[Params], fast: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """What the fold needs of each match; ``f`` holds decays, K with margin and boost, S and baseline for each candidate."""
+    a_won = F.col("winner_id") == F.col("player_a_id")
+    if fast:
+        rows = rows.where(a_won | (F.col("winner_id") == F.col("player_b_id")))
+    a_won = F.coalesce(a_won, F.lit(False))
+    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in (kv[0], float(kv[1]))])
+    values = [{n: as_map(v) if isinstance(v, dict) else F.lit(float(v)) for n, v in asdict(p).items()} for p in candidates]
+    if len(values) == 1:
+        own = F.array(_of_candidate(values[0], a_won))
+    else:
+        own = F.transform(F.array(*[F.struct(*[c.alias(n) for n, c in v.items()]) for v in values]), lambda c: _of_candidate({n: c[n] for n in values[0]}, a_won))
+    return rows.select("temporal_order", "id", F.col("player_a_id").alias("a"), F.col("player_b_id").alias("b"), a_won.alias("a_won"), own.alias("f"), *keep)
+
+
+def _cents(x: np.ndarray) -> np.ndarray:
+    """Two places, as ``round`` does: values that look like ties are decided by their exact binary value."""
+    scaled = x * 100
+    out = np.rint(scaled) / 100
+    ties = np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6
+    if ties.any():
+        out[ties] = [round(v, 2) for v in x[ties].tolist()]
+    return out
 
 
-def _run(batches: Iterator[pa.RecordBatch], keys: list[str], fast: bool) -> Iterator[pa.RecordBatch]:
-    """The recursion over rows that stand in order within each group of ``keys``; a row without an id brings a player's rating."""
-    group, rating, first = None, {}, {}
-    names = [*keys, "id", "a", "b", "a_won", "k_a", "k_b", "s", "base", "decay_a", "decay_b", "rating"]
-    for batch in batches:
-        out = []
-        for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-            key, (match, a, b, a_won, k_a, k_b, s, base, decay_a, decay_b, known) = row[: len(keys)], row[len(keys) :]
-            if key != group:
-                group, rating, first = key, {}, {}
-            if match is None:
-                rating[a] = known
-                continue
-            base_a, base_b = (first.setdefault(a, base), first.setdefault(b, base)) if fast else (base, base)
-            pre_a, pre_b = base_a + (rating.get(a, base) - base_a) * decay_a, base_b + (rating.get(b, base) - base_b) * decay_b
-            p = _chance(pre_a, pre_b, s)
-            post_a, post_b = pre_a + k_a * (a_won - p), pre_b + k_b * (p - a_won)
+def _waves(a: np.ndarray, b: np.ndarray, players: int) -> list[np.ndarray]:
+    """Matches in the order in which they can be rated: each array is of matches that share no player and whose predecessors are in arrays before."""
+    free, wave = [0] * players, []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        w = free[x] if free[x] > free[y] else free[y]
+        free[x] = free[y] = w + 1
+        wave.append(w)
+    order = np.argsort(np.array(wave, np.int64), kind="stable")
+    return np.split(order, np.cumsum(np.bincount(wave))[:-1]) if wave else []
+
+
+class _Ratings:
+    """Ratings, first baselines and whether they differ from what was known, of the players of a task: a row each, a column for each candidate."""
+
+    def __init__(self, width: int):
+        self.width, self.ids, self.place = width, [], {}
+        self.rating, self.first, self.moved = np.full((1024, width), np.nan), np.full((1024, width), np.nan), np.zeros(1024, bool)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        known, inverse = np.unique(ids, return_inverse=True)
+        at = np.empty(len(known), np.int64)
+        for i, x in enumerate(known.tolist()):
+            if x not in self.place:
+                self.place[x] = len(self.ids)
+                self.ids.append(x)
+            at[i] = self.place[x]
+        more = len(self.ids) - len(self.moved)
+        if more > 0:
+            more += len(self.ids)
+            blank = np.full((more, self.width), np.nan)
+            self.rating, self.first, self.moved = np.concatenate([self.rating, blank]), np.concatenate([self.first, blank]), np.concatenate([self.moved, np.zeros(more, bool)])
+        return at[inverse]
+
+    def rate(self, a: np.ndarray, b: np.ndarray, won: np.ndarray, f: dict[str, np.ndarray], old: np.ndarray | None, fast: bool) -> np.ndarray:
+        """Ratings before and after and the winner's chance of each match (the first axis tells which), in the order given."""
+        out = np.empty((5, len(a), self.width))
+        for at in _waves(a, b, len(self.ids)):
+            x, y, w, base = a[at], b[at], won[at, None], f["base"][at]
+            base_a = base_b = base
+            if fast:
+                base_a, base_b = (np.where(np.isnan(self.first[p]), base, self.first[p]) for p in (x, y))
+                self.first[x], self.first[y] = base_a, base_b
+            now_a, now_b = (np.where(np.isnan(self.rating[p]), base, self.rating[p]) for p in (x, y))
+            pre_a, pre_b = base_a + (now_a - base_a) * f["decay_a"][at], base_b + (now_b - base_b) * f["decay_b"][at]
+            with np.errstate(over="ignore"):
+                odds = np.power(10.0, (pre_b - pre_a) / f["s"][at])
+            p = np.where(np.isinf(odds), 0.001, 1 / (1 + odds))
+            new = np.stack([pre_a, pre_b, pre_a + f["k_a"][at] * (w - p), pre_b + f["k_b"][at] * (p - w), np.clip(np.where(w > 0, p, 1 - p), 1e-7, 1 - 1e-7)])
             if not fast:
-                pre_a, pre_b, post_a, post_b = round(pre_a, 2), round(pre_b, 2), round(post_a, 2), round(post_b, 2)
-            rating[a], rating[b] = post_a, post_b
-            out.append((*key, match, pre_a, pre_b, post_a, post_b, min(1 - 1e-7, max(1e-7, p if a_won else 1 - p))))
-        if out:
-            types = [*(batch.schema.field(k).type for k in keys), pa.int64(), *[pa.float64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*keys, "id", "pre_a", "pre_b", "post_a", "post_b", "p_winner"])
+                new[:4] = _cents(new[:4])
+            if old is not None:
+                moved = np.isnan(old[at, 0]) | self.moved[x] | self.moved[y]
+                new = np.where(moved[None, :, None], new, old[at].T[:, :, None])
+                self.moved[x], self.moved[y] = moved, moved
+            self.rating[x], self.rating[y] = new[2], new[3]
+            out[:, at] = new
+        return out
+
+
+_OUT = ("pre_a", "pre_b", "post_a", "post_b", "p_winner")
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def _run(batches: Iterator[pa.RecordBatch], width: int, fast: bool, carry: bool) -> Iterator[pa.RecordBatch]:
+    """The recursion over rows in order; rows without an id, which come first, bring a player's rating. With ``carry``, the last ratings come as such rows."""
+    held = _Ratings(width)
+    waiting: list[pa.RecordBatch] = []
+
+    def chunk() -> pa.RecordBatch:
+        rows = pa.concat_batches(waiting)
+        waiting.clear()
+        known = rows.filter(rows.column("id").is_null())
+        if known.num_rows:
+            at = held.places(known.column("a").to_numpy(zero_copy_only=False))
+            for name, to in (("rating", held.rating), ("first", held.first)):
+                has = known.column(name).is_valid().to_numpy(zero_copy_only=False)
+                to[at[has]] = known.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            rows = rows.filter(rows.column("id").is_valid())
+        n = rows.num_rows
+        both = held.places(np.concatenate([rows.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]))
+        own = rows.column("f").flatten()
+        f = {own.type.field(i).name: own.field(i).to_numpy(zero_copy_only=False).reshape(n, width) for i in range(own.type.num_fields)}
+        old = None
+        if "old" in rows.schema.names:
+            old, has = np.full((n, 5), np.nan), rows.column("old").is_valid().to_numpy(zero_copy_only=False)
+            old[has] = rows.column("old").flatten().to_numpy(zero_copy_only=False).reshape(-1, 5)
+        out = held.rate(both[:n], both[n:], rows.column("a_won").to_numpy(zero_copy_only=False).astype(float), f, old, fast)
+        return pa.RecordBatch.from_arrays([rows.column("id"), pa.nulls(n, pa.int64()), *map(_lists, out), *[pa.nulls(n, pa.list_(pa.float64()))] * 2], names=["id", "player_id", *_OUT, "rating", "first"])
 
-
-def fold(rows: DataFrame, states: DataFrame | None = None, fast: bool = False) -> DataFrame:
-    """Ratings before and after each match of ``factors()``, and the chance that its winner had.
-
-    In the production flavour ratings decay to the match's baseline and are rounded to two places after each match; in the fast one
-    they decay to the baseline at which a player was first seen, unrounded. ``states`` (``player_id``, ``rating``, ``pool``) start
-    the players of the production flavour.
-    """
-    keys = [k for k in ("candidate", "pool") if k in rows.columns]
-    rows = rows.withColumn("rating", F.lit(None).cast("double"))
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= CHUNK_ROWS:
+            yield chunk()
+    if waiting:
+        yield chunk()
+    if carry and held.ids:
+        n = len(held.ids)
+        first = _lists(held.first[:n]) if fast else pa.nulls(n, pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(held.ids, pa.int64()), *[pa.nulls(n, pa.list_(pa.float64()))] * 5, _lists(held.rating[:n]), first], names=["id", "player_id", *_OUT, "rating", "first"])
+
+
+def _dealt(rows: DataFrame, states: DataFrame | None, width: int, fast: bool, carry: bool) -> DataFrame:
+    """One ordered pass for each pool, or for all rows where there is no column ``pool``."""
+    pool = ["pool"] if "pool" in rows.columns else []
+    rows = rows.withColumns({"rating": F.lit(None).cast("array<double>"), "first": F.lit(None).cast("array<double>")})
     if states is not None:
         none = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema.fields}
-        known = states.select(*[(none | {"pool": F.col("pool"), "a": F.col("player_id"), "rating": F.col("rating").cast("double")})[c].alias(c) for c in rows.columns])
-        rows = rows.unionByName(known)
-    # nulls sort first, so that known ratings come before the pool's matches
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "temporal_order", "id")
-    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return dealt.mapInArrow(lambda b: _run(b, keys, fast), f"{types}, id long, pre_a double, pre_b double, post_a double, post_b double, p_winner double")
+        known = {"a": F.col("player_id")} | {c: F.col(c) for c in (*pool, "rating", "first") if c in states.columns}
+        rows = rows.unionByName(states.select(*[(none | known)[c].alias(c) for c in rows.columns]))
+    # nulls sort first, so that known ratings come before matches
+    dealt = rows.repartition("pool") if pool else rows.repartition(1)
+    dealt = dealt.sortWithinPartitions("temporal_order", "id").drop(*pool)
+    lists = ", ".join(f"{c} array<double>" for c in (*_OUT, "rating", "first"))
+    return dealt.mapInArrow(lambda b: _run(b, width, fast, carry), f"id long, player_id long, {lists}")
+
 
+def fold(rows: DataFrame, states: DataFrame | None = None, fast: bool = False, width: int = 1, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``id`` and arrays over the candidates: ratings before and after each match of ``factors()``, and the chance that its winner had.
 
-def rebuild(star: DataFrame, params: Params | None = None, fast: bool = False, statuses: tuple[str, ...] | None = None) -> DataFrame:
-    """All finished matches of ``star()`` (with ``temporal_order``) folded from nothing."""
+    In the production flavour ratings decay to the match's baseline and are rounded to two places after each match; in the fast one
+    they decay to the baseline at which a player was first seen, unrounded. ``states`` (``player_id``, ``rating`` as an array) start the players.
+    Rows may bring ``old``, the five values that are known: they hold unless a player's rating has changed since.
+    """
+    rows = durable(rows)
+    count = rows.count()
+    if count <= window_rows:
+        return _dealt(rows, states, width, fast, False).select("id", *_OUT)
+    steps = -(-count // window_rows)
+    bounds = sorted(set(rows.approxQuantile("temporal_order", [i / steps for i in range(1, steps)], 0.1 / steps)))
+    out = []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = rows
+        if low is not None:
+            part = part.where(F.col("temporal_order") > int(low))
+        if high is not None:
+            part = part.where(F.col("temporal_order") <= int(high))
+        pools = durable(connected_components(part).withColumnRenamed("component", "pool"))
+        part = part.join(pools.withColumnRenamed("node", "a"), "a")
+        known = states.join(pools.withColumnRenamed("node", "player_id"), "player_id") if states is not None else None
+        done = durable(_dealt(part, known, width, fast, True))
+        out.append(done.where(F.col("id").isNotNull()).select("id", *_OUT))
+        after = done.where(F.col("id").isNull()).select("player_id", "rating", "first")
+        states = durable(upsert(states.select("player_id", "rating", F.col("first") if "first" in states.columns else F.lit(None).cast("array<double>").alias("first")), after, "player_id")) if states is not None else after
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _single(folded: DataFrame) -> DataFrame:
+    return folded.select("id", *[F.col(c)[0].alias(c) for c in _OUT])
+
+
+def rebuild(star: DataFrame, params: Params | None = None, fast: bool = False, statuses: tuple[str, ...] | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """All finished matches of ``star()`` (with ``temporal_order``) folded from nothing: ratings before and after, and the winner's chance."""
     rows = levels(star.where(F.col("status").isin(*(statuses or (RATED_FAST if fast else RATED)))))
-    return fold(factors(history(rows), params or Params(), fast), fast=fast)
+    return _single(fold(factors(history(rows), [params or Params()], fast), fast=fast, window_rows=window_rows))
 
 
 def states_after(rated: DataFrame, matches: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -251,25 +380,28 @@ def rating_as_of(rated: DataFrame, matches: DataFrame, points: DataFrame) -> Dat
     return each.unionByName(asked).withColumn("rating", F.last("post", ignorenulls=True).over(order)).where(F.col("kind") == 0).select("player_id", F.col("at").alias("as_of"), "rating")
 
 
-def update_ratings(star: DataFrame, rated: DataFrame, states: DataFrame, params: Params | None = None, repair: bool = True) -> tuple[DataFrame, DataFrame]:
+def update_ratings(star: DataFrame, rated: DataFrame, states: DataFrame, params: Params | None = None, repair: bool = True, window_rows: int = WINDOW_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rate the finished matches of ``star()`` that ``rated`` lacks; returns the next versions of ``rated`` and ``states``.
 
-    With ``repair``, a match that comes before what its players have been rated for sends all later matches back to be rated again,
-    and every player's state back to before it.
+    With ``repair``, a match that comes before what its players have been rated for sends the fold back to its place. Later matches
+    are rated again only where it can reach them: those of its players, of their later opponents, and so on; the others keep
+    their values.
     """
     done = star.where(F.col("status").isin(*RATED))
     fresh = done.join(rated.select("id"), "id", "left_anti")
     point = late_point(fresh, states).first().point if repair else None
+    old: list[str] = []
     if point is not None:
-        # what is kept is read three times below
-        kept = rated.join(done.where(F.col("temporal_order") < point).select("id"), "id", "left_semi")
-        rated = durable(kept)
+        later = done.where(F.col("temporal_order") >= point)
         states = durable(states_before(rated, done, point))
-        fresh = done.join(rated.select("id"), "id", "left_anti")
-    rows = levels(fresh)
-    pools = sides(rows, "pool").select("player_id", "pool").distinct()
-    known = states.select("player_id", "rating").join(pools, "player_id")
-    new = durable(fold(factors(history(rows, states), params or Params()), known))
+        known = rated.select("id", F.array(*_OUT).alias("old"))
+        fresh, old = later.join(known, "id", "left"), ["old"]
+        # what is kept is read twice
+        rated = durable(rated.join(later.select("id"), "id", "left_anti"))
+    rows = factors(history(levels(fresh), states), [params or Params()], keep=old)
+    players = sides(fresh, "id").select("player_id").distinct()
+    start = states.join(players, "player_id", "left_semi").select("player_id", F.array(F.col("rating").cast("double")).alias("rating"))
+    new = durable(_single(fold(rows, start, window_rows=window_rows)))
     return rated.unionByName(new.select(*rated.columns)), states_after(new, done, states)
 
 
@@ -294,7 +426,8 @@ def chronological_split(matches: DataFrame, train: float = 0.7, validation: floa
     Only ids and orders are sorted to number the rows, by ranges over all tasks: a row's place is the rows of the ranges before it,
     plus its place in its own.
     """
-    ranged = matches.select("id", "temporal_order").repartitionByRange("temporal_order", "id").withColumn("range", F.spark_partition_id())
+    # written, so that a task that is run again can't put its rows into other ranges than those counted
+    ranged = durable(matches.select("id", "temporal_order").repartitionByRange("temporal_order", "id").withColumn("range", F.spark_partition_id()))
     sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -305,12 +438,11 @@ def chronological_split(matches: DataFrame, train: float = 0.7, validation: floa
 
 
 def evaluate(star: DataFrame, candidates: list[Params], parts: DataFrame) -> DataFrame:
-    """Log loss of each candidate on each part (``id``, ``part``). History is worked out once; candidates fold side by side."""
-    spark = star.sparkSession
+    """Log loss of each candidate on each part (``id``, ``part``). One pass over the matches rates them for all candidates."""
     rows = history(levels(star.where(F.col("status").isin(*RATED_FAST))))
-    options = spark.createDataFrame([p.row(i) for i, p in enumerate(candidates)], CANDIDATE)
-    folded = fold(factors(rows.crossJoin(F.broadcast(options)), fast=True), fast=True)
-    return folded.join(parts.select("id", "part"), "id").groupBy("candidate", "part").agg(log_loss(F.col("p_winner")).alias("log_loss"), F.count("*").alias("n"))
+    folded = fold(factors(rows, candidates, fast=True), fast=True, width=len(candidates))
+    chances = folded.join(parts.select("id", "part"), "id").select("part", F.posexplode("p_winner").alias("candidate", "p"))
+    return chances.groupBy("candidate", "part").agg(log_loss(F.col("p")).alias("log_loss"), F.count("*").alias("n"))
 
 
 #: Bounds and steps of the search. Fixed values.

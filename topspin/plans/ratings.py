@@ -27,12 +27,11 @@ def parsed_scores(spark, sf_dir):
     return rows.select("id", F.size("p.sets").alias("n_sets"), scores.games(F.col("p.sets"), True).alias("games_a"), scores.games(F.col("p.sets"), False).alias("games_b"), "p.winner", "p.status")
 
 
-@query(_SETS + " SELECT id, CASE WHEN score = 'W/O' OR ta + tb = 0 THEN 1.0 ELSE round(0.85 + 0.3 * ((CASE WHEN winner_id = player_a_id THEN ta - tb ELSE tb - ta END) / CAST(ta + tb AS DOUBLE)), 3) END AS margin FROM gw")
+@query(_SETS + " SELECT id, CASE WHEN score = 'W/O' OR ta + tb = 0 THEN 1.0 ELSE CAST(round_even(CAST(0.85 + 0.3 * ((CASE WHEN winner_id = player_a_id THEN ta - tb ELSE tb - ta END) / CAST(ta + tb AS DOUBLE)) AS DECIMAL(20, 12)), 4) AS DOUBLE) END AS margin FROM gw")
 def margin_multipliers(spark, sf_dir):
     parsed = scores.parse_score(F.col("score"))
     rows = store.matches(spark, sf_dir).where("score IS NOT NULL").select("id", scores.to_structured(parsed).alias("s"), (F.col("winner_id") == F.col("player_a_id")).alias("won"))
-    exact = 0.85 + 0.3 * scores.dominance(F.col("s"), F.col("won"))
-    return rows.select("id", F.when(F.size("s") <= 0, 1.0).otherwise(F.round(exact, 3)).alias("margin"))
+    return rows.select("id", rating.margin(F.col("s"), F.coalesce("won", F.lit(False))).alias("margin"))
 
 
 @query(_SETS + f" SELECT id, CASE WHEN {_TOLD} = 'A' THEN player_a_id ELSE player_b_id END AS winner_id FROM gw WHERE winner_id IS NOT NULL AND score <> 'W/O' AND {_TOLD} IS NOT NULL AND CASE WHEN {_TOLD} = 'A' THEN player_a_id ELSE player_b_id END <> winner_id")
@@ -87,7 +86,7 @@ def refreshed_snapshots(spark, sf_dir):
 @query()
 def rating_rebuild(spark, sf_dir):
     """The production fold over all finished matches."""
-    return rating.rebuild(star(spark, sf_dir)).select("pool", "id", "pre_a", "pre_b", "post_a", "post_b", F.round("p_winner", 6).alias("p_winner"))
+    return rating.rebuild(star(spark, sf_dir)).select("id", "pre_a", "pre_b", "post_a", "post_b", F.round("p_winner", 6).alias("p_winner"))
 
 
 @query()
@@ -99,11 +98,11 @@ def rating_states(spark, sf_dir):
 @query()
 def rating_incremental(spark, sf_dir):
     """Everything but the last hundredth in time as a first run, the rest and some late matches as a second."""
-    rows = star(spark, sf_dir).where("match_date IS NOT NULL")
+    rows = star(spark, sf_dir)
     early = (F.col("id") % 100 != 0) & (F.col("match_date") < F.lit("2001-06-01").cast("date"))
     first = durable(rating.rebuild(rows.where(early)))
     rated, _ = rating.update_ratings(rows, first, durable(rating.states_after(first, rows)))
-    return rated.select("pool", "id", "pre_a", "pre_b", "post_a", "post_b")
+    return rated.select("id", "pre_a", "pre_b", "post_a", "post_b")
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that the cluster shares (``spark.checkpoint.dir``) and read back, so that no job computes it again.
 
-    Only in local mode, where the setting is missing, a temporary folder takes its place.
+    Only in local mode, where the setting is missing, a temporary folder takes its place. What an application has written goes when it ends.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,8 +21,11 @@ def durable(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="topspin-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/topspin/{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/topspin/{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
