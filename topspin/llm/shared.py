@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from topspin.sources.sinks import durable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,12 +35,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks that it was running, and what
-    several later jobs read is computed once.
+    several later jobs read is computed once. The folder goes when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/topspin/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    shared_dir(df.sparkSession)
+    return durable(df)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
