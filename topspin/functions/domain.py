@@ -195,3 +195,41 @@ def title(name: Column) -> Column:
     """Words with a capital letter, but particles behind the first."""
     small = F.array(*[F.lit(p) for p in ("de", "del", "van", "von", "da", "di", "la", "le")])
     return F.array_join(F.transform(F.split(F.trim(F.lower(name)), r"\s+"), lambda w, i: F.when((i > 0) & F.array_contains(small, w), w).otherwise(F.initcap(w))), " ")
+
+
+#: Parts of banners, addresses and classes that tell a level, and well-known tournaments by level. Fixed values.
+LEVEL_MARKS = {"grandslam": "Grand Slam", "1000": "Masters 1000", "500": "ATP 500", "250": "ATP 250", "challenger": "Challenger", "nextgen": "ATP Finals", "finals": "ATP Finals"}
+GRAND_SLAMS = ("australian-open", "roland-garros", "wimbledon", "us-open")
+MASTERS = ("indian-wells", "miami", "monte-carlo", "madrid", "rome", "canada", "cincinnati", "shanghai", "paris")
+ATP_500 = ("rotterdam", "rio-de-janeiro", "acapulco", "dubai", "barcelona", "washington", "hamburg", "tokyo", "beijing", "vienna", "basel", "queen-s-club", "halle")
+#: Tours in the order in which they are gone through. Fixed values.
+TOUR_ORDER = ("ATP", "CHALLENGER", "WTA", "WTA_125", "ITF_MEN", "ITF_WOMEN")
+
+
+def level_mark(*texts: Column) -> Column:
+    """The level of the first mark, in their order, that any of the texts holds."""
+    return F.coalesce(*[F.when(F.array_contains(F.array(*[F.coalesce(F.lower(t).contains(mark), F.lit(False)) for t in texts]), True), level) for mark, level in LEVEL_MARKS.items()])
+
+
+def known_level(code: Column) -> Column:
+    low = F.lower(code)
+    return chain((low.isin(*GRAND_SLAMS), "Grand Slam"), (low.isin(*MASTERS), "Masters 1000"), (low.isin(*ATP_500), "ATP 500"))
+
+
+def detected_level(banner: Column, code: Column, address: Column, classes: Column, challenger: Column) -> Column:
+    """Level by the banner, else by the tournament's code, else by address or classes, else the tour's default."""
+    return F.coalesce(level_mark(banner), known_level(code), level_mark(address, classes), F.when(challenger, "Challenger").otherwise("ATP 250"))
+
+
+def years_of(text: Column) -> Column:
+    """Years of ``2024`` or ``2020-2024``, newest first; null for anything else, none for a range that runs backwards."""
+    parts = F.regexp_extract(text, r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$", 1).try_cast("int"), F.regexp_extract(text, r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$", 2).try_cast("int")
+    last = F.coalesce(parts[1], parts[0])
+    return F.when(parts[0].isNull(), None).when(last < parts[0], F.array().cast("array<int>")).otherwise(F.sequence(last, F.least(parts[0], last), F.lit(-1)))
+
+
+def tours_of(text: Column) -> Column:
+    """Known tours among those listed, in the order in which they are gone through; all of them without a list."""
+    wanted = F.transform(F.split(F.upper(text), ","), F.trim)
+    every = F.array(*[F.lit(t) for t in TOUR_ORDER])
+    return F.when(F.coalesce(text, F.lit("")) == "", every).otherwise(F.filter(every, lambda t: F.array_contains(wanted, t)))

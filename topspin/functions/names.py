@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topspin.schema import LIKELY_MATCH
+
 PARTICLES = ("de", "del", "van", "von", "da", "di", "la", "le")
 #: Name suffixes in the order in which they are taken off, each at most once. Fixed values.
 SUFFIXES = (" jr.", " jr", " sr.", " sr", " iii", " ii", " iv")
@@ -157,3 +159,17 @@ def name_similarity(a: str, b: str) -> float:
 def compare_names(a: pd.Series, b: pd.Series) -> pd.Series:
     """``name_similarity`` of normalised names; null counts as empty."""
     return pd.Series([name_similarity(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
+def same_person(a: Column, b: Column, threshold: float = LIKELY_MATCH) -> Column:
+    """Whether two normalised names are that similar."""
+    return compare_names(a, b) >= threshold
+
+
+def first_name(normalized: Column) -> Column:
+    return F.regexp_replace(F.coalesce(F.try_element_at(tokens(normalized), F.lit(1)), F.lit("")), r"\.+$", "")
+
+
+def fuller(short: Column, full: Column) -> Column:
+    """Whether ``full`` is what ``short`` abbreviates: the same last name, and a first name that starts with its initial."""
+    return is_abbreviated(short) & ~is_abbreviated(full) & (last_name(short) == last_name(full)) & first_name(full).startswith(first_name(short))

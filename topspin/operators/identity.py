@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topspin.functions.names import compare_names, is_abbreviated, last_name, search_variants, tokens, trigrams
+from topspin.functions.names import compare_names, fuller, is_abbreviated, last_name, search_variants, tokens, trigrams
 from topspin.operators.matches import sides
-from topspin.operators.tables import first_by, insert_missing, remap
-from topspin.schema import AUTO_MATCH, LIKELY_MATCH, STRONG_MATCH
+from topspin.operators.tables import fill_null, first_by, insert_missing, remap
+from topspin.schema import AUTO_MATCH, LIKELY_MATCH, STRONG_MATCH, SUGGEST
 from topspin.sources.sinks import durable
 
 
@@ -38,6 +38,32 @@ def trigram_matches(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return pairs.join(a, "left_id").join(b, "right_id").select("left_id", "right_id", share.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def fuzzy_matches(incoming: DataFrame, players: DataFrame, least: float = SUGGEST) -> DataFrame:
+    """``(id, other, score)``: names with similar trigrams, whatever the last name; for names without a sure one among those, also the ones with the same last name."""
+    near = durable(trigram_matches(incoming, players, least))
+    sure = near.where(F.col("similarity") >= AUTO_MATCH).select(F.col("left_id").alias("id")).distinct()
+    rest = incoming.select("id", "name", last_name(F.col("name")).alias("block")).where(F.col("block") != "").join(sure, "id", "left_anti")
+    named = players.select(F.col("id").alias("other"), F.col("name").alias("other_name"), last_name(F.col("name")).alias("block"))
+    same = rest.join(named, "block").select("id", "other", compare_names("name", "other_name").alias("score")).where(F.col("score") >= least)
+    both = near.select(F.col("left_id").alias("id"), F.col("right_id").alias("other"), F.col("similarity").alias("score")).unionByName(same)
+    return both.groupBy("id", "other").agg(F.max("score").alias("score"))
+
+
+#: Names of a block that one cell compares with those of another.
+BLOCK = 256
+
+
+def _within_blocks(spelt: DataFrame) -> DataFrame:
+    """All pairs of different names of a block (``block``, ``name``, ``id``); large blocks are dealt over a triangle of cells."""
+    chunks = durable(spelt.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"), F.count("*").alias("_n")).where("_n > 1")).drop("_n")
+    own = F.pmod(F.xxhash64("name"), F.col("chunks")).cast("int")
+    cell = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, own).alias("low"), F.greatest(c, own).alias("high")))
+    dealt = durable(spelt.join(chunks, "block").select("block", F.explode(cell).alias("cell"), "name", "id", own.alias("chunk")))
+    a, b = (dealt.select("block", "cell", F.col("name").alias(f"name_{s}"), F.col("id").alias(f"id_{s}"), F.col("chunk").alias(f"chunk_{s}")) for s in "ab")
+    # a cell of two chunks compares across them; those within a chunk meet in its own cell
+    return a.join(b, ["block", "cell"]).where((F.col("name_a") < F.col("name_b")) & ((F.col("cell.low") == F.col("cell.high")) | (F.col("chunk_a") != F.col("chunk_b"))))
+
+
 def duplicate_pairs(names: DataFrame, threshold: float = STRONG_MATCH) -> DataFrame:
     """``(id_a, id_b, score)`` of different players with the same last name whose names (``id``, ``name`` normalised) are that similar.
 
@@ -46,8 +72,7 @@ def duplicate_pairs(names: DataFrame, threshold: float = STRONG_MATCH) -> DataFr
     """
     own = names.select("id", "name", last_name(F.col("name")).alias("block")).where(F.col("block") != "")
     spelt = own.groupBy("block", "name").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    a, b = (spelt.select("block", F.col("name").alias(f"name_{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")
-    close = a.join(b, "block").where(F.col("name_a") < F.col("name_b"))
+    close = _within_blocks(spelt)
     close = close.withColumn("score", compare_names("name_a", "name_b")).where(F.col("score") >= threshold)
     apart = close.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "score")
     first = Window.partitionBy("block", "name").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -72,7 +97,7 @@ def resolve(incoming: DataFrame, players: DataFrame, aliases: DataFrame, genders
 
     ``incoming`` has ``id``, ``name`` (normalised), ``source_key`` and ``external_id``, ``gender`` (expected, or null); ``players`` has ``id``, ``name`` and ``atp_id``,
     ``wta_id``. Stages: external id; alias (but for a player of another gender); abbreviation (one candidate matches, several
-    queue); similar names with the same last name (one of 0.98 and more matches, several of 0.95 and more queue); else create.
+    queue); similar names by ``fuzzy_matches()`` (one of 0.98 and more matches, several of 0.95 and more queue); else create.
     Records are resolved against the players as they were, and records with the same name and source are created once.
     """
     linked = players.select(F.col("id").alias("by_id"), F.explode(F.array(F.struct(F.lit("atp").alias("source_key"), F.col("atp_id").alias("external_id")), F.struct(F.lit("wta").alias("source_key"), F.col("wta_id").alias("external_id")))).alias("x")).select("by_id", "x.*").where(F.col("external_id").isNotNull())
@@ -85,8 +110,7 @@ def resolve(incoming: DataFrame, players: DataFrame, aliases: DataFrame, genders
     rows = rows.join(known, "name", "left").withColumn("by_alias", F.when(F.col("gender").isNull() | F.col("own").isNull() | (F.col("gender") == F.col("own")), F.col("by_alias")))
     left = rows.where(F.col("by_id").isNull() & F.col("by_alias").isNull()).select("id", "name")
     short = abbreviated_matches(left, players).groupBy(F.col("in_id").alias("id")).agg(F.min("player_id").alias("by_short"), F.count("*").alias("n_short"))
-    blocks = left.select("id", "name", last_name(F.col("name")).alias("block")).join(players.select(F.col("id").alias("other"), F.col("name").alias("other_name"), last_name(F.col("name")).alias("block")), "block")
-    scored = blocks.withColumn("score", compare_names("name", "other_name")).where(F.col("score") >= STRONG_MATCH)
+    scored = fuzzy_matches(left, players, STRONG_MATCH)
     close = scored.groupBy("id").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("by_close"), F.max("score").alias("best"), F.count("*").alias("n_close"))
     rows = rows.join(short, "id", "left").join(close, "id", "left")
     sole = (F.col("n_short") == 1) & F.col("by_short").isNotNull()
@@ -148,6 +172,74 @@ def merge_players(redirects: DataFrame, matches: DataFrame, aliases: DataFrame,
     return matches, aliases, states.join(to.select(F.col("from_id").alias("player_id")), "player_id", "left_anti")
 
 
+def merge_profiles(redirects: DataFrame, players: DataFrame, columns: tuple[str, ...] = ("atp_id", "wta_id")) -> tuple[DataFrame, DataFrame]:
+    """Players after all merges, and the audit records (``keep_id``, ``merge_id``, ``merged_name``).
+
+    A player that stays takes the external ids it lacks (of several merged players, the one with the smallest id gives), and the full name that its own
+    one abbreviates if they are similar; ``needs_recompute`` is set, since its matches have changed.
+    """
+    to = durable(merge_targets(redirects))
+    gone = players.join(to, players["id"] == to["from_id"])
+    audit = gone.select(F.col("to_id").alias("keep_id"), F.col("from_id").alias("merge_id"), F.col("name").alias("merged_name"))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("from_id"))).alias(c)
+    given = gone.groupBy(F.col("to_id").alias("id")).agg(*[first(c) for c in columns])
+    kept = players.join(to.select(F.col("from_id").alias("id")), "id", "left_anti")
+    names = audit.join(kept.select(F.col("id").alias("keep_id"), "name"), "keep_id").where(fuller(F.col("name"), F.col("merged_name")))
+    names = names.where(compare_names("name", "merged_name") >= LIKELY_MATCH)
+    names = names.groupBy(F.col("keep_id").alias("id")).agg(F.max_by("merged_name", F.struct(F.length("merged_name"), "merged_name")).alias("name"))
+    kept = fill_null(fill_null(kept, given, "id", columns), names, "id", ["name"], overwrite=True)
+    touched = given.select("id", F.lit(True).alias("_hit"))
+    return kept.join(touched, "id", "left").select(*players.columns, F.coalesce("_hit", F.lit(False)).alias("needs_recompute")), audit
+
+
+def merge_queue(redirects: DataFrame, queue: DataFrame) -> DataFrame:
+    """The review queue with merged players replaced, as resolved and as suggested ones; a player is suggested once."""
+    to = durable(merge_targets(redirects))
+    out = remap(queue, to, ["resolved_player_id"])
+    each = queue.select("id", F.posexplode("suggested").alias("at", "player_id"))
+    each = remap(each, to, ["player_id"]).groupBy("id", "player_id").agg(F.min("at").alias("at"))
+    lists = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "player_id"))), lambda x: x["player_id"]).alias("_suggested"))
+    return out.join(lists, "id", "left").withColumn("suggested", F.coalesce("_suggested", "suggested")).select(*queue.columns)
+
+
+def resolve_review(queue: DataFrame, decisions: DataFrame, players: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Next versions of queue, players and aliases after ``decisions`` (``id``, ``action``, ``player_id``).
+
+    ``match`` links name and external id to a player, ``create`` makes one (its id is a hash of name and source), ``ignore`` only closes the item. Other
+    actions, and a match without a player, change nothing. ``queue`` has ``id``, ``name``, ``source``, ``external_id``, ``status``, ``resolved_player_id``.
+    """
+    action = F.col("action")
+    valid = action.isin("create", "ignore") | ((action == "match") & F.col("_to").isNotNull())
+    taken = queue.join(first_by(decisions, ["id"], [F.col("action"), F.col("player_id")]).select("id", "action", F.col("player_id").alias("_to")), "id").where(valid)
+    target = F.when(action == "match", F.col("_to")).when(action == "create", F.xxhash64("name", "source"))
+    taken = durable(taken.withColumn("_player", target))
+    status = F.when(action == "match", "matched").when(action == "create", "new_player").otherwise("ignored")
+    change = taken.select("id", F.struct(status.alias("status"), F.col("_player").alias("player")).alias("_new"))
+    rows = queue.join(change, "id", "left")
+    new = {"status": F.coalesce("_new.status", "status"), "resolved_player_id": F.coalesce("_new.player", "resolved_player_id")}
+    queue = rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in queue.columns])
+    own = {f"{s}_id": F.min(F.when(F.col("source") == s, F.col("external_id"))).alias(f"{s}_id") for s in ("atp", "wta") if f"{s}_id" in players.columns}
+    links = taken.where(F.col("_player").isNotNull()).groupBy(F.col("_player").alias("id")).agg(F.min("name").alias("name"), F.max(action == "create").alias("_new"), *own.values())
+    made = links.where("_new").drop("_new").join(players.select("id"), "id", "left_anti")
+    players = fill_null(players, links, "id", list(own)).unionByName(made, allowMissingColumns=True)
+    known = taken.where(F.col("_player").isNotNull()).select(F.col("_player").alias("player_id"), F.col("name").alias("alias"), "source")
+    return queue, players, ensure_aliases(aliases, known)
+
+
+def link_ids(players: DataFrame, found: DataFrame, columns: tuple[str, ...] = ("atp_id", "wta_id")) -> DataFrame:
+    """``players`` with external ids of other tours (``id`` and ``columns``, any number of rows a player) where they have none yet."""
+    return fill_null(players, found.groupBy("id").agg(*[F.min(c).alias(c) for c in columns]), "id", columns)
+
+
+def full_names_of_others(players: DataFrame, threshold: float = LIKELY_MATCH) -> DataFrame:
+    """``(id, name)``: for abbreviated names the full one of another player, if there is exactly one that fits."""
+    keyed = players.select("id", "name", F.concat_ws(" ", F.substring("name", 1, 1), last_name(F.col("name"))).alias("block"))
+    others = keyed.where(~is_abbreviated(F.col("name"))).select("block", F.col("id").alias("other"), F.col("name").alias("full"))
+    pairs = keyed.where(is_abbreviated(F.col("name"))).join(others, "block").where((F.col("id") != F.col("other")) & fuller(F.col("name"), F.col("full")))
+    pairs = pairs.where(compare_names("name", "full") >= threshold)
+    return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min("full").alias("name")).where("n = 1").select("id", "name")
+
+
 def ensure_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
     """``aliases`` with the new ones that no player has yet for that source."""
     return insert_missing(aliases, new.select(*aliases.columns), ["alias", "source"])

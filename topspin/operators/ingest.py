@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topspin.functions.domain import expected_matches, next_position, next_round, round_date, round_order
+from topspin.functions.domain import edition_end, expected_matches, next_position, next_round, round_date, round_order
 from topspin.functions.scores import parse_score
 from topspin.operators.tables import first_by
 from topspin.schema import STATUS_GROUPS
+from topspin.sources.sinks import durable
 
 PENDING, TERMINAL = STATUS_GROUPS["pending"], STATUS_GROUPS["terminal"]
 
@@ -57,6 +58,21 @@ def apply_results(matches: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.select(*[change[c].alias(c) if c in change else F.col(c) for c in matches.columns])
 
 
+def ingest_results(matches: DataFrame, results: DataFrame, order: Column, update_existing: bool = True) -> DataFrame:
+    """``matches`` after a batch of results: each once, stored ones updated by ``apply_results()``, the others made. Ids of new matches are hashes of what identifies them.
+
+    ``results`` has ``external_id``, ``edition_id``, ``round``, the players, ``match_date``, ``winner_id`` and ``score``; those without both players are left out. Without
+    ``update_existing`` (history that is read again) stored matches stay as they are.
+    """
+    known = results.where(F.col("player_a_id").isNotNull() & F.col("player_b_id").isNotNull() & (F.col("player_a_id") != F.col("player_b_id")))
+    matched = durable(match_results(dedupe_results(known, order), matches))
+    key = F.xxhash64(F.lit("result"), F.coalesce("external_id", F.lit("")), "edition_id", "round", F.least("player_a_id", "player_b_id"), F.greatest("player_a_id", "player_b_id"), F.coalesce(F.col("match_date").cast("string"), F.lit("")))
+    status = F.coalesce(parse_score(F.col("score"))["status"], F.when(F.col("winner_id").isNotNull(), "completed").otherwise("upcoming"))
+    made = matched.where(F.col("match_id").isNull()).select(key.alias("id"), "external_id", "edition_id", "round", "player_a_id", "player_b_id", "match_date", "winner_id", "score", status.alias("status"))
+    kept = apply_results(matches, matched) if update_existing else matches
+    return kept.unionByName(made, allowMissingColumns=True)
+
+
 def stale_pending(matches: DataFrame, step: int = 2, skip_round_robin: bool = False) -> DataFrame:
     """Pending matches of rounds that lie more than ``step`` rounds behind the furthest finished one of their edition."""
     order = {r: i for i, r in enumerate(x for x in ("Q1", "Q2", "Q3", "R128", "R64", "R32", "RR", "R16", "QF", "SF", "F") if not (skip_round_robin and x == "RR"))}
@@ -81,10 +97,51 @@ def draw_actions(entries: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.select(*slot, "match_id", action.alias("action"))
 
 
-def propagate(matches: DataFrame) -> DataFrame:
-    """Next-round matches whose two feeders have winners and which aren't there yet: one level. Odd slots feed the first player."""
-    won = matches.where(F.col("winner_id").isNotNull() & F.col("draw_position").isNotNull() & next_round(F.col("round")).isNotNull())
+def bye_winners(entries: DataFrame) -> DataFrame:
+    """``(edition_id, round, draw_position, winner_id)`` of byes: the player who is there."""
+    there = F.coalesce("player_a_id", "player_b_id")
+    return entries.where(F.col("is_bye") & there.isNotNull()).select("edition_id", "round", "draw_position", there.alias("winner_id"))
+
+
+def apply_draw(matches: DataFrame, entries: DataFrame) -> DataFrame:
+    """``matches`` after a scraped draw, by ``draw_actions()``: a pending match of other players is cancelled and made anew, finished ones stay as they are.
+
+    ``entries`` also has ``winner_id``, ``score`` and ``external_id``. An external id is only given once. New ids are hashes of slot and players. Byes make
+    no match; ``propagate()`` advances their players.
+    """
+    slot = ["edition_id", "round", "draw_position"]
+    told = durable(draw_actions(entries, matches))
+    one = first_by(entries, slot, [F.col("player_a_id"), F.col("player_b_id")])
+    used = matches.where(F.col("external_id").isNotNull()).select("external_id").distinct()
+    ids = first_by(one.where(F.col("external_id").isNotNull()).join(used, "external_id", "left_anti"), ["external_id"], [F.col(c) for c in slot]).select(*slot, F.col("external_id").alias("_external"))
+    rows = durable(told.where(F.col("action").isin("create", "replace", "fill")).select(*slot, "match_id", "action").distinct().join(one.drop("external_id"), slot).join(ids, slot, "left"))
+    change = rows.where(F.col("match_id").isNotNull()).select(F.col("match_id").alias("id"), F.struct("action", "_external").alias("_c"))
+    old = matches.join(change, "id", "left")
+    new = {
+        "status": F.when(F.col("_c.action") == "replace", "cancelled").otherwise(F.col("status")),
+        "external_id": F.when(F.col("_c.action") == "fill", F.coalesce("external_id", "_c._external")).otherwise(F.col("external_id")),
+    }
+    old = old.select(*[new[c].alias(c) if c in new else F.col(c) for c in matches.columns])
+    done = F.col("winner_id").isNotNull() & (F.trim(F.coalesce("score", F.lit(""))) != "")
+    made = rows.where(F.col("action").isin("create", "replace")).select(
+        F.xxhash64(*slot, "player_a_id", "player_b_id").alias("id"), *slot, "player_a_id", "player_b_id", F.when(done, "completed").otherwise("upcoming").alias("status"),
+        F.when(done, F.col("winner_id")).alias("winner_id"), "score", F.col("_external").alias("external_id"),
+    )
+    return old.unionByName(made, allowMissingColumns=True)
+
+
+def propagate(matches: DataFrame, byes: DataFrame | None = None, decided: DataFrame | None = None) -> DataFrame:
+    """Next-round matches whose two feeders have winners (or a bye) and which aren't there yet: one level. Odd slots feed the first player.
+
+    With ``decided`` (``id``), only what those matches feed.
+    """
+    slots = matches.where(F.col("winner_id").isNotNull() & F.col("draw_position").isNotNull()).select("edition_id", "round", "draw_position", "winner_id", "id")
+    if byes is not None:
+        slots = slots.unionByName(bye_winners(byes).withColumn("id", F.lit(0).cast(slots.schema["id"].dataType)))
+    won = slots.where(next_round(F.col("round")).isNotNull())
     won = won.select("edition_id", next_round(F.col("round")).alias("round"), next_position(F.col("draw_position")).alias("position"), (F.col("draw_position") % 2 == 1).alias("odd"), "winner_id", "id")
+    if decided is not None:
+        won = won.join(won.join(decided.select("id"), "id", "left_semi").select("edition_id", "round", "position").distinct(), ["edition_id", "round", "position"], "left_semi")
     of = lambda odd: F.max_by(F.when(F.col("odd") == F.lit(odd), F.col("winner_id")), F.when(F.col("odd") == F.lit(odd), F.col("id")))
     pairs = won.groupBy("edition_id", "round", "position").agg(of(True).alias("player_a_id"), of(False).alias("player_b_id")).where("player_a_id IS NOT NULL AND player_b_id IS NOT NULL AND player_a_id <> player_b_id")
     there = matches.select("edition_id", "round", F.col("draw_position").alias("position")).distinct()
@@ -103,14 +160,38 @@ def validate_draw(matches: DataFrame) -> DataFrame:
 def schedule_updates(matches: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Matches with their fixture's date and court; upcoming becomes scheduled only where something changed.
 
-    ``fixtures`` has ``external_id``, ``scheduled_date`` and ``court``; ids are compared in upper case.
+    ``fixtures`` has ``external_id``, ``scheduled_date`` and ``court``; ids are compared in upper case. A fixture whose id no match has is looked up by
+    edition, round and pair in either order, if it has those columns.
     """
-    new = first_by(fixtures, ["external_id"], [F.col("scheduled_date").desc_nulls_last()]).select(F.upper("external_id").alias("_id"), F.struct(F.col("scheduled_date").alias("date"), "court").alias("_f"))
-    rows = matches.where(F.col("status").isin(*PENDING)).join(new, F.upper("external_id") == F.col("_id"))
+    pending = matches.where(F.col("status").isin(*PENDING))
+    late = F.col("scheduled_date").desc_nulls_last()
+    fixture = F.struct(F.col("scheduled_date").alias("date"), "court").alias("_f")
+    new = first_by(fixtures.withColumn("_id", F.upper("external_id")), ["_id"], [late]).where(F.col("_id").isNotNull()).select("_id", fixture)
+    rows = pending.join(new, F.upper("external_id") == F.col("_id")).drop("_id")
+    by_pair = ["edition_id", "round", "_low", "_high"]
+    if {"edition_id", "round", "player_a_id", "player_b_id"} <= set(fixtures.columns):
+        pair = {"_low": F.least("player_a_id", "player_b_id"), "_high": F.greatest("player_a_id", "player_b_id")}
+        ids = matches.select(F.upper("external_id").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+        rest = fixtures.withColumns(pair | {"_id": F.upper("external_id")}).join(ids, "_id", "left_anti")
+        rest = first_by(rest, by_pair, [late]).select(*by_pair, fixture)
+        first = first_by(matches.withColumns(pair), by_pair, [F.col("id")]).select("id", *by_pair)
+        found = first.join(rest, by_pair).select("id", "_f")
+        rows = rows.unionByName(pending.join(found, "id").join(rows.select("id"), "id", "left_anti").select(*rows.columns))
     changed = ~F.coalesce("_f.date", "scheduled_date").eqNullSafe(F.col("scheduled_date"))
     return rows.select("id", F.coalesce("_f.date", "scheduled_date").alias("scheduled_date"), F.col("_f.court").alias("court"), F.when(changed & (F.col("status") == "upcoming"), "scheduled").otherwise(F.col("status")).alias("status"))
 
 
+def with_player_ids(fixtures: DataFrame, aliases: DataFrame, ids: DataFrame) -> DataFrame:
+    """``fixtures`` with the external ids they lack, found by the players' names (``player_a``, ``player_b``, normalised).
+
+    ``aliases`` has ``alias``, ``player_id``; ``ids`` has ``player_id``, ``external_id`` of the fixtures' source.
+    """
+    known = first_by(aliases, ["alias"], [F.col("player_id")]).join(ids, "player_id").select("alias", F.col("external_id").alias("_id"))
+    for s in "ab":
+        fixtures = fixtures.join(known, F.col(f"player_{s}") == F.col("alias"), "left").withColumn(f"player_{s}_external_id", F.coalesce(f"player_{s}_external_id", "_id")).drop("alias", "_id")
+    return fixtures
+
+
 def followed_by(rows: DataFrame, group: str, order: str, start: str, hours: int = 2) -> DataFrame:
     """``rows`` with ``estimated``: a known start, else the last known one before it plus two hours for each row since."""
     window = Window.partitionBy(group).orderBy(order)
@@ -152,6 +233,32 @@ def failed(queue: DataFrame, ids: DataFrame, now: Column, most: int = 3) -> Data
     return rows.select(*[{"attempts": attempts, "status": status, "next_retry_at": F.when(F.col("_hit") & (attempts < most), now + wait).otherwise(F.col("next_retry_at"))}.get(c, F.col(c)).alias(c) for c in queue.columns])
 
 
+def started(queue: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """``queue`` with the tasks of ``ids`` in progress, one attempt more."""
+    return _changed(queue, ids, {"status": F.lit("in_progress"), "started_at": now, "attempts": F.col("attempts") + 1})
+
+
+def completed(queue: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    return _changed(queue, ids, {"status": F.lit("completed"), "completed_at": now})
+
+
+def reset(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    """``queue`` with the tasks of ``ids`` as if they had never been tried."""
+    return _changed(queue, ids, {"status": F.lit("pending"), "attempts": F.lit(0)} | dict.fromkeys(("last_error", "next_retry_at", "started_at", "completed_at"), F.lit(None)))
+
+
+def cancelled(queue: DataFrame, ids: DataFrame) -> DataFrame:
+    """``queue`` without those of ``ids`` that wait for a first or another try; others can't be cancelled."""
+    hit = queue.join(ids.select("id").distinct(), "id", "left_semi").where(F.col("status").isin("pending", "retry")).select("id")
+    return queue.join(hit, "id", "left_anti")
+
+
+def _changed(queue: DataFrame, ids: DataFrame, new: dict[str, Column]) -> DataFrame:
+    rows = queue.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    return rows.select(*[F.when(hit, new[c].cast(queue.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in queue.columns])
+
+
 def queue_report(queue: DataFrame, now: Column) -> DataFrame:
     """Tasks, mean attempts and ready ones of each status."""
     ready = F.col("status").isin("pending", "retry") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
@@ -166,3 +273,27 @@ def get_or_create_editions(editions: DataFrame, seen: DataFrame) -> DataFrame:
     """Editions with those of ``seen`` (``tournament_id``, ``year``) that are missing; new ids are hashes of the key."""
     new = seen.select("tournament_id", "year").distinct().join(editions.select("tournament_id", "year"), ["tournament_id", "year"], "left_anti")
     return editions.select("id", "tournament_id", "year").unionByName(new.select(F.xxhash64("tournament_id", "year").alias("id"), "tournament_id", "year"))
+
+
+def claimed_tournaments(tournaments: DataFrame, seen: DataFrame) -> DataFrame:
+    """``tournaments`` (``id``, ``code``, ``tour``, ``gender``) with those of ``seen`` (``code``, ``tour``, ``gender``) that are missing.
+
+    A row without a gender is claimed by a seen gender that has no row of its own (by the first, if there are two); what is then still missing is made, with a
+    hash of the key as its id.
+    """
+    key = ["code", "tour", "gender"]
+    missing = durable(seen.select(*key).distinct().join(tournaments.select(*key), key, "left_anti"))
+    open_ = first_by(tournaments.where(F.col("gender").isNull()), ["code", "tour"], [F.col("id")]).select("id", "code", "tour")
+    claims = durable(first_by(missing.join(open_, ["code", "tour"]), ["id"], [F.col("gender")]).select("id", *key))
+    old = tournaments.join(claims.select("id", F.col("gender").alias("_gender")), "id", "left").withColumn("gender", F.coalesce("gender", "_gender")).select(*tournaments.columns)
+    made = missing.join(claims.select(*key), key, "left_anti").select(F.xxhash64(*key).alias("id"), *key)
+    return old.unionByName(made, allowMissingColumns=True)
+
+
+def dated_editions(editions: DataFrame, seen: DataFrame) -> DataFrame:
+    """``editions`` with missing dates from ``seen`` (``tournament_id``, ``year``, ``start_date``, ``end_date``, ``level``); an end that nobody knows is estimated by level."""
+    new = first_by(seen, ["tournament_id", "year"], [F.col("start_date").asc_nulls_last(), F.col("end_date").asc_nulls_last(), F.col("level")]).select("tournament_id", "year", F.struct("start_date", "end_date", "level").alias("_s"))
+    rows = editions.join(new, ["tournament_id", "year"], "left")
+    start = F.coalesce("start_date", "_s.start_date")
+    end = F.coalesce("end_date", "_s.end_date", F.when(F.col("_s").isNotNull(), edition_end(start, F.coalesce("_s.level", F.lit("ATP 250")))))
+    return rows.withColumns({"start_date": start, "end_date": end}).select(*editions.columns)

@@ -23,7 +23,7 @@ from topspin.functions.domain import base_code, level_code
 from topspin.functions.scores import dominance, parse_score, to_structured
 from topspin.operators.graph import connected_components
 from topspin.operators.matches import sides
-from topspin.operators.tables import upsert
+from topspin.operators.tables import activate, upsert
 from topspin.schema import RATED, RATED_FAST, RATING_K, RATING_S
 from topspin.sources.sinks import durable
 
@@ -420,23 +420,64 @@ def log_loss(p: Column) -> Column:
     return F.coalesce(-F.avg(F.ln(F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p)))), F.lit(float("inf")))
 
 
-def chronological_split(matches: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """``matches`` with ``part``: train, validation or test, by their place in time.
+def _places(matches: DataFrame) -> tuple[DataFrame, int]:
+    """``(id, match_date, place)`` by time, from 1, and how many there are.
 
     Only ids and orders are sorted to number the rows, by ranges over all tasks: a row's place is the rows of the ranges before it,
     plus its place in its own.
     """
     # written, so that a task that is run again can't put its rows into other ranges than those counted
-    ranged = durable(matches.select("id", "temporal_order").repartitionByRange("temporal_order", "id").withColumn("range", F.spark_partition_id()))
+    ranged = durable(matches.select("id", "temporal_order", "match_date").repartitionByRange("temporal_order", "id").withColumn("range", F.spark_partition_id()))
     sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("range").orderBy("temporal_order", "id")) + F.col("before")
-    rows = ranged.join(F.broadcast(before), "range").withColumn("place", place)
+    return ranged.join(F.broadcast(before), "range").select("id", "match_date", place.alias("place")), total
+
+
+def chronological_split(matches: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
+    """``matches`` with ``part``: train, validation or test, by their place in time."""
+    rows, total = _places(matches)
     part = F.when(F.col("place") <= int(total * train), "train").when(F.col("place") <= int(total * (train + validation)), "validation").otherwise("test")
     return matches.join(rows.select("id", part.alias("part")), "id")
 
 
+def evaluation_split(matches: DataFrame, mode: str = "temporal_order", test_months: int = 12, eval_years: int = 5, validation: float = 0.15, test: float = 0.15) -> DataFrame:
+    """``matches`` with ``part``: warm-up, train, validation or test.
+
+    What is evaluated starts with the first match (``temporal_order``), or with the first one dated in the last ``test_months`` months of 30 days (``match_date``) or
+    ``eval_years`` years of 365 days (``recent_years_ratio``). Refused are fewer than ten matches, fewer than a hundred to evaluate, shares out of bounds, and parts
+    that would be empty; each part has at least twenty.
+    """
+    if mode not in ("temporal_order", "match_date", "recent_years_ratio"):
+        raise ValueError(f"unknown mode: {mode}")
+    if validation <= 0 or test <= 0 or validation + test >= 0.9:
+        raise ValueError("the shares of validation and test must be above 0 and below 0.9 together")
+    rows, total = _places(matches)
+    if total < 10:
+        raise ValueError("at least ten matches are needed")
+    rows, start = durable(rows), 0
+    if mode != "temporal_order":
+        last = rows.agg(F.max("match_date")).first()[0]
+        days = test_months * 30 if mode == "match_date" else eval_years * 365
+        start = (rows.where(F.col("match_date") >= F.date_sub(F.lit(last), days)).agg(F.min("place")).first()[0] or total + 1) - 1
+    count = total - start
+    if count < 100:
+        raise ValueError(f"only {count} matches to evaluate")
+    first = max(start + 20, min(start + int(count * (1 - (validation + test))), total - 40))
+    second = max(start + 40, min(start + int(count * (1 - test)), total - 20))
+    if not start < first < second < total:
+        raise ValueError("a part would be empty")
+    place = F.col("place")
+    part = F.when(place <= start, "warm-up").when(place <= first, "train").when(place <= second, "validation").otherwise("test")
+    return matches.join(rows.select("id", part.alias("part")), "id")
+
+
+def since(matches: DataFrame, start: Column) -> DataFrame:
+    """Matches from that day on; those without a date don't count."""
+    return matches.where(F.col("match_date") >= start)
+
+
 def evaluate(star: DataFrame, candidates: list[Params], parts: DataFrame) -> DataFrame:
     """Log loss of each candidate on each part (``id``, ``part``). One pass over the matches rates them for all candidates."""
     rows = history(levels(star.where(F.col("status").isin(*RATED_FAST))))
@@ -480,18 +521,43 @@ def search(star: DataFrame, parts: DataFrame, rounds: tuple[tuple[int, float], .
     """Staged random search by validation loss: each stage draws around the best so far, which stays in the running."""
     best, losses = start or Params(), None
     for stage, (count, width) in enumerate(rounds):
-        candidates = [best, *propose(count, seed + stage, best if stage else None, width)]
-        losses = evaluate(star, candidates, parts)
+        candidates = different([best, *propose(count, seed + stage, best if stage else None, width)])
+        losses = durable(evaluate(star, candidates, parts))
         found = losses.where(F.col("part") == "validation").orderBy("log_loss", "candidate").first()
         best = candidates[found.candidate] if found else best
     return best, losses
 
 
+def different(candidates: Sequence[Params]) -> list[Params]:
+    """Each parameter set once, in the order given."""
+    return [p for i, p in enumerate(candidates) if p not in candidates[:i]]
+
+
+def best_on(star: DataFrame, candidates: Sequence[Params], parts: DataFrame) -> tuple[Params, dict[str, float]]:
+    """Of different candidates the one with the least validation loss (of equals the first), and its loss by part."""
+    candidates = different(candidates)
+    losses = durable(evaluate(star, candidates, parts))
+    found = losses.where(F.col("part") == "validation").orderBy("log_loss", "candidate").first()
+    if found is None:
+        raise ValueError("there is nothing to validate on")
+    return candidates[found.candidate], {r.part: r.log_loss for r in losses.where(F.col("candidate") == found.candidate).collect()}
+
+
 def worth_activating(current: float, best: float, least: float = 0.002) -> bool:
     """Whether the test loss has fallen by enough."""
     return current - best >= least
 
 
+def activated(sets: DataFrame, name: str, best: Params, current_loss: float, best_loss: float, created_at: Column, least: float = 0.002) -> DataFrame:
+    """Parameter sets after a search: the new one as the only active set, if its test loss is enough below the current one's; else as they were."""
+    if not worth_activating(current_loss, best_loss, least):
+        return sets
+    import json
+
+    row = sets.sparkSession.range(1).select(F.lit(name).alias("name"), F.lit(json.dumps(asdict(best))).alias("params"), F.lit(True).alias("is_active"), created_at.alias("created_at"))
+    return activate(sets, row)
+
+
 def active_params(sets: DataFrame) -> Params:
     """The latest active parameter set (``name``, ``params`` as JSON, ``is_active``, ``created_at``); the defaults without a readable one."""
     import json

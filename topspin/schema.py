@@ -31,7 +31,7 @@ LEVEL_CODES = {
     "Challenger": "C", "ATP Challenger": "C", "WTA 125": "C",
     "ITF": "F", "Future": "F", "ITF M25": "F", "ITF M15": "F", "ITF W25": "F", "ITF W15": "F",
 }
-#: Other spellings of tours in filters.
+#: Other spellings of tours in filters. Fixed values.
 TOUR_ALIASES = {"CHALLENGER": ("CHALLENGER", "ATP_CHALLENGER", "Challenger"), "ATP_CHALLENGER": ("CHALLENGER", "ATP_CHALLENGER", "Challenger"), "WTA_125": ("WTA_125", "WTA 125")}
 #: Matching thresholds. Fixed values.
 AUTO_MATCH, STRONG_MATCH, LIKELY_MATCH, SUGGEST = 0.98, 0.95, 0.90, 0.85
