@@ -39,7 +39,8 @@ def repaired_winners(spark, sf_dir):
     return identity.repaired_winners(store.matches(spark, sf_dir), scores.parse_score(F.col("score"))["winner"])
 
 
-@query(WITH + " SELECT id, score, CASE WHEN score LIKE '%(0)%' OR score LIKE '%(1)%' OR score LIKE '%(2)%' OR score LIKE '%(3)%' OR score LIKE '%(4)%' OR score LIKE '%(5)%' THEN score ELSE score END AS shown FROM m WHERE score IS NOT NULL")
+@query(_SETS + r""" SELECT id, score, CASE WHEN score = 'W/O' THEN 'W/O' ELSE array_to_string(list_transform(toks, lambda t: regexp_extract(t, '^([0-9]+)-', 1) || '-' || regexp_extract(t, '-([0-9]+)', 1) || coalesce(nullif(regexp_extract(t, '(\([0-9]+\))', 1), ''), '')), ' ')
+    || CASE WHEN score LIKE '%RET' THEN ' RET' ELSE '' END END AS shown FROM sc WHERE score IS NOT NULL""")
 def displayed_scores(spark, sf_dir):
     return store.matches(spark, sf_dir).where("score IS NOT NULL").select("id", "score", scores.display(scores.parse_score(F.col("score"))).alias("shown"))
 

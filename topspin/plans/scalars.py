@@ -136,7 +136,7 @@ def slugs_and_waits(spark, sf_dir):
     return store.raw(spark, sf_dir, "region").select("r_regionkey", domain.slug(F.col("r_name")).alias("slug"), domain.retry_minutes(F.col("r_regionkey") + 1).alias("wait"))
 
 
-@query()
+@query("WITH h AS (SELECT r_name, CAST('0x' || substr(sha256(r_name), 1, 16) AS UBIGINT) AS u FROM region) SELECT r_name, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE u END AS BIGINT) AS key FROM h")
 def lock_keys(spark, sf_dir):
     return store.raw(spark, sf_dir, "region").select("r_name", domain.lock_key(F.col("r_name")).alias("key"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topspin.plans.registry import query
-from topspin.sources import pages, store
+from topspin.sources import layouts, pages, store
 from topspin.streaming import jobs
 
 
@@ -39,3 +39,40 @@ def event_windows(spark, sf_dir):
 def repeated_events(spark, sf_dir):
     rows = store.raw(spark, sf_dir, "events").where("value IS NOT NULL")
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts")).where("n > 1")
+
+
+# Page layouts: pages built out of the driver's rows, read back by the extractors
+
+
+@query("SELECT n_nationkey AS page_id, 'city-' || CAST(n_nationkey AS VARCHAR) AS code, CAST(100 + n_nationkey AS VARCHAR) AS number, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'Masters 1000' ELSE 'ATP 250' END AS level, DATE '2024-01-01' + CAST(n_nationkey AS INTEGER) AS start_date, DATE '2024-01-06' + CAST(n_nationkey AS INTEGER) AS end_date FROM nation")
+def archive_tournaments(spark, sf_dir):
+    key, start = F.col("n_nationkey"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey").cast("int"))
+    day = lambda d: F.date_format(d, "d MMMM, yyyy")
+    html = F.concat(
+        F.lit('<div class="tournament-list"><ul class="events"><li><a class="results" href="/en/scores/archive/city-'), key, F.lit("/"), 100 + key, F.lit('/2024/results"></a><img class="events_banner" src="b'),
+        F.when(key % 2 == 0, "1000").otherwise("x"), F.lit('.png"><span class="name">'), F.col("n_name"), F.lit('</span><span class="Date">'), day(start), F.lit(" - "), day(F.date_add(start, 5)), F.lit("</span></li></ul></div>"),
+    )
+    rows = store.raw(spark, sf_dir, "nation").select(key.alias("page_id"), html.alias("html"))
+    return layouts.archive_tournaments(rows).select("page_id", "code", "number", "name", "level", "start_date", "end_date")
+
+
+@query("SELECT o_orderkey AS page_id, o_orderdate::DATE AS match_date, CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'SF' ELSE 'QF' END AS round, 'C' || CAST(o_custkey AS VARCHAR) AS player_a_id, CASE WHEN o_orderkey % 4 = 0 THEN 'W/O' ELSE '6-4 7-' || CAST(o_orderkey % 6 AS VARCHAR) END AS score, CASE WHEN o_orderkey % 4 = 0 THEN 'walkover' WHEN o_orderkey % 4 = 1 THEN 'retired' ELSE 'completed' END AS status FROM orders")
+def results_by_day(spark, sf_dir):
+    key = F.col("o_orderkey")
+    item = lambda x: F.concat(F.lit('<div class="score-item"><span>'), x, F.lit("</span></div>"))
+    score = F.when(key % 4 == 0, "").otherwise(F.concat(item(F.lit("6")), item(F.lit("7")), item(F.lit("4")), item((key % 6).cast("string"))))
+    html = F.concat(
+        F.lit('<div><div class="atp_accordion-header"><h4 class="tournament-day">'), F.date_format("o_orderdate", "EEE, d MMMM, yyyy"), F.lit('Day (1)</h4></div><div class="atp_accordion-content"><div class="match"><div class="match-header"><span>'),
+        F.when(key % 3 == 0, "Final - ").when(key % 3 == 1, "Semifinals").otherwise("Quarterfinals"), F.lit('</span></div><div class="name"><a href="/en/players/x/c'), F.col("o_custkey"), F.lit('/overview">A B</a></div><div class="name"><a>C D</a></div>'),
+        score, F.lit('<div class="match-cta">'), F.when(key % 4 == 1, "Ret.").otherwise("Stats"), F.lit("</div></div></div></div>"),
+    )
+    rows = store.raw(spark, sf_dir, "orders").select(key.alias("page_id"), html.alias("html"))
+    return layouts.results_by_day(rows).select("page_id", "match_date", "round", "player_a_id", "score", "status")
+
+
+@query("SELECT n_nationkey AS page_id, 'Court' AS court, CAST(x.k AS VARCHAR) AS player_a, CAST(11 + 2 * x.k AS DOUBLE) AS start FROM nation, (VALUES (0), (2)) AS x(k)")
+def order_of_play(spark, sf_dir):
+    match = lambda kind, time, name: F.lit(f'<div class="tennis-match x-{kind}"><i class="time">{time}</i><p class="player">{name}</p><p class="player">Z</p></div>')
+    html = F.concat(F.lit('<div class="court"><h3 class="court-name">Court</h3>'), match("LS", "11:00", 0), match("LD", "Followed by", 1), match("LS", "Followed by", 2))
+    rows = store.raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), html.alias("html"))
+    return layouts.order_of_play(rows).select("page_id", "court", "player_a", "start")
