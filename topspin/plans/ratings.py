@@ -84,19 +84,37 @@ def refreshed_snapshots(spark, sf_dir):
     return rating.refresh_snapshots(store.matches(spark, sf_dir), states, touched)
 
 
-@query()
+#: The fold as a recursion over the players' histories: ``r`` holds each player's rating after so many matches, and a match is rated once both
+#: players' ratings before it are there. ``format`` rounds the exact binary value, as the fold does.
+_DECAY = "CASE WHEN {0}.days > 60 THEN exp(-0.05 * ({0}.days - 60) / 365) ELSE 1.0 END"
+_BOOST = "greatest(1.0, least(3.0, CASE WHEN {0}.n < 30 THEN 1 + 0.5 * (1 - {0}.n / 30.0::DOUBLE) ELSE 1.0 END * CASE WHEN {0}.days > 180 THEN 1.3 ELSE 1.0 END))"
+_FOLD = _SETS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", s AS (SELECT mt.*, tn.tour AS t_tour, tn.level AS t_level FROM mt LEFT JOIN ed ON mt.edition_id = ed.id LEFT JOIN tn ON ed.tournament_id = tn.id),
+    mg AS (SELECT id, CASE WHEN score = 'W/O' OR ta + tb = 0 THEN 1.0 ELSE CAST(round_even(CAST(0.85 + 0.3 * ((CASE WHEN winner_id = player_a_id THEN ta - tb ELSE tb - ta END) / CAST(ta + tb AS DOUBLE)) AS DECIMAL(20, 12)), 4) AS DOUBLE) END AS margin FROM gw),
+    f AS (SELECT s.id, t, player_a_id AS a, player_b_id AS b, match_date, coalesce(winner_id = player_a_id, false) AS won, coalesce(margin, 1.0) * CASE {_CODES} WHEN 'F' THEN 183.0 WHEN 'C' THEN 137.0 WHEN 'M' THEN 107.0 ELSE 116.0 END::DOUBLE AS k,
+    CASE {_CODES} WHEN 'F' THEN 1241.0 WHEN 'C' THEN 1441.0 WHEN 'M' THEN 1809.0 ELSE 1428.0 END::DOUBLE AS s FROM s LEFT JOIN mg ON mg.id = s.id WHERE status IN ('completed', 'retired')),
+    e AS (SELECT id, t, match_date, a AS pl, 0 AS side FROM f UNION ALL SELECT id, t, match_date, b, 1 FROM f),
+    w AS (SELECT id, side, pl, row_number() OVER (PARTITION BY pl ORDER BY t, id) - 1 AS n, date_diff('day', last_value(match_date IGNORE NULLS) OVER (PARTITION BY pl ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), match_date) AS days FROM e),
+    x AS (SELECT f.id, t, a, b, match_date, won::INTEGER AS won, s, wa.n AS na, wb.n AS nb, {_DECAY.format("wa")} AS da, {_DECAY.format("wb")} AS db, k * {_BOOST.format("wa")} AS ka, k * {_BOOST.format("wb")} AS kb FROM f JOIN w AS wa ON wa.id = f.id AND wa.side = 0 JOIN w AS wb ON wb.id = f.id AND wb.side = 1),
+    r(pl, n, pre, post, p) USING KEY (pl, n) AS (SELECT DISTINCT pl, 0::BIGINT, NULL::DOUBLE, 1500.0::DOUBLE, NULL::DOUBLE FROM e UNION SELECT u.pl, u.n, format('{{:.2f}}', u.pre)::DOUBLE, format('{{:.2f}}', u.post)::DOUBLE, u.p FROM (
+    SELECT unnest([{{'pl': a, 'n': na + 1, 'pre': ea, 'post': ea + ka * (won - p), 'p': p}}, {{'pl': b, 'n': nb + 1, 'pre': eb, 'post': eb + kb * (p - won), 'p': p}}]) AS u FROM (SELECT *, 1 / (1 + pow(10.0, (eb - ea) / s)) AS p FROM (
+    SELECT x.*, 1500 + (ra.post - 1500) * da AS ea, 1500 + (rb.post - 1500) * db AS eb FROM x JOIN recurring.r AS ra ON ra.pl = x.a AND ra.n = x.na JOIN recurring.r AS rb ON rb.pl = x.b AND rb.n = x.nb LEFT JOIN recurring.r AS q ON q.pl = x.a AND q.n = x.na + 1 WHERE q.pl IS NULL)))),
+    o AS (SELECT x.id, t, match_date, a, b, ra.pre AS pre_a, rb.pre AS pre_b, ra.post AS post_a, rb.post AS post_b, round(CASE WHEN won = 1 THEN ra.p ELSE 1 - ra.p END, 6) AS p_winner FROM x JOIN r AS ra ON ra.pl = a AND ra.n = na + 1 JOIN r AS rb ON rb.pl = b AND rb.n = nb + 1),
+    h AS (SELECT a AS player_id, id, t, match_date, post_a AS post FROM o UNION ALL SELECT b, id, t, match_date, post_b FROM o)"""
+
+
+@query(_FOLD + " SELECT id, pre_a, pre_b, post_a, post_b, p_winner FROM o")
 def rating_rebuild(spark, sf_dir):
     """The production fold over all finished matches."""
     return rating.rebuild(star(spark, sf_dir)).select("id", "pre_a", "pre_b", "post_a", "post_b", F.round("p_winner", 6).alias("p_winner"))
 
 
-@query()
+@query(_FOLD + " SELECT player_id, arg_max(post, (t, id)) AS rating, count(*) AS match_count, arg_max(match_date, (t, id)) FILTER (match_date IS NOT NULL) AS last_match_date, max(t) AS last_temporal_order, max(post) AS career_peak FROM h GROUP BY player_id")
 def rating_states(spark, sf_dir):
     rows = star(spark, sf_dir)
     return rating.states_after(rating.rebuild(rows), rows)
 
 
-@query()
+@query(_FOLD + " SELECT id, pre_a, pre_b, post_a, post_b FROM o")
 def rating_incremental(spark, sf_dir):
     """Everything but the last hundredth in time as a first run, the rest and some late matches as a second."""
     rows = star(spark, sf_dir)
@@ -106,7 +124,7 @@ def rating_incremental(spark, sf_dir):
     return rated.select("id", "pre_a", "pre_b", "post_a", "post_b")
 
 
-@query()
+@query(_FOLD + " SELECT p.id AS player_id, 199801010000000 AS as_of, arg_max(post, (t, h.id)) AS rating FROM p LEFT JOIN h ON h.player_id = p.id AND t < 199801010000000 GROUP BY p.id")
 def rating_as_of(spark, sf_dir):
     rows = star(spark, sf_dir)
     points = store.players(spark, sf_dir).select(F.col("id").alias("player_id"), F.lit(199801010000000).alias("as_of"))
