@@ -48,6 +48,29 @@ def test_held_out_labels_and_other_columns_play_no_part(spark):
     assert quality.train(d, l, fit_rows=50) != quality.train(d, l)
 
 
+def test_ratios_come_from_all_labelled_rows(spark):
+    docs, labels = corpus(300)
+    texts = {i: t for i, t, _, _ in docs}
+
+    def feature(trigram):
+        h = sum(ord(c) * m for c, m in zip(trigram, (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35), strict=True)) % (1 << 32)
+        return ((h ^ (h >> 15)) * 0x2C1B3C6D % (1 << 32)) >> (32 - quality.BITS)
+
+    plain = np.zeros((2, quality.FEATURES), np.int64)
+    for i, good, _ in labels:
+        padded = f"\0{texts[i]}\0"
+        for at in {feature(padded[k : k + 3]) for k in range(len(padded) - 2)}:
+            plain[good, at] += 1
+    found = quality.class_counts(spark.createDataFrame([(texts[i], good) for i, good, _ in labels] + [(None, 1)], "text string, good int").repartition(7))
+    assert (found == plain).all()
+    # a row that isn't fitted still counts
+    d, l = frames(spark, docs, labels)
+    last = spark.range(5000, 5400).where(~quality.held_out("id")).orderBy(F.xxhash64("id").desc()).first().id
+    more = frames(spark, docs + [(last, "zq zq", "x", 0.0)], labels + [(last, 0, 0)])
+    assert quality.train(*more, fit_rows=40) != quality.train(d, l, fit_rows=40)
+    assert quality.train(d.repartition(5), l, fit_rows=40) == quality.train(d, l, fit_rows=40)
+
+
 def test_without_labels_or_with_one_class(spark):
     docs, labels = corpus(30)
     d, l = frames(spark, docs, labels)

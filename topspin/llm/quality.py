@@ -41,12 +41,31 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(present).astype(np.uint32)
 
 
-def log_count_ratio(rows: list[np.ndarray], good: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+def class_counts(labelled: DataFrame) -> np.ndarray:
+    """In how many texts of each class a feature is, over all rows ``(text, good)``: row 0 for class 0, row 1 for class 1.
+
+    A task sends one row for each feature that it met; what comes back has at most ``FEATURES`` rows at any size.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, FEATURES), np.int64)
+        for batch in by_bytes(batches, "text"):
+            for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
+                held[good, features(text)] += 1
+        met = np.flatnonzero(held.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(held[0, met]), pa.array(held[1, met])], names=["feature", "bad", "good"])
+
+    found = labelled.select("text", "good").mapInArrow(count, "feature int, bad long, good long")
+    found = found.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    counts = np.zeros((2, FEATURES), np.int64)
+    counts[:, found.column("feature").to_numpy()] = [found.column("bad").to_numpy(), found.column("good").to_numpy()]
+    return counts
+
+
+def log_count_ratio(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     """Logarithm of the ratio of the smoothed and normed feature counts of both classes."""
-    counts = [np.full(FEATURES, smoothing), np.full(FEATURES, smoothing)]
-    for row, y in zip(rows, good, strict=True):
-        counts[int(y)][row] += 1
-    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    bad, good = counts + smoothing
+    return np.log(good / good.sum()) - np.log(bad / bad.sum())
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, costs: np.ndarray, size: int, rounds: int = 20, seed: int = 1) -> np.ndarray:
@@ -101,13 +120,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.array(margins) + self.offset, -700, 700)))
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray) -> Model:
-    """A model of the rows; with fewer than two classes it gives the share of good rows (a half if there are none)."""
+def fit(rows: list[np.ndarray], good: np.ndarray, ratio: np.ndarray) -> Model:
+    """A model of the rows, scaled by ``ratio``; with fewer than two classes it gives the share of good rows (a half if there are none)."""
     size = FEATURES + 1
     share = (good.sum() + 1) / (len(good) + 2)
     if len(set(good.tolist())) < 2:
         return Model(np.zeros(size, np.float32).tobytes(), 1.0, float(np.log(share / (1 - share))))
-    ratio = log_count_ratio(rows, good)
     last = np.array([size - 1])
     indexes = [np.concatenate([r, last]) for r in rows]
     values = [np.append(ratio[r] / math.sqrt(len(r) or 1), 1.0) for r in rows]
@@ -132,11 +150,12 @@ def held_out(id_column: str | Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit to the labelled documents outside the held-out fold, ``fit_rows`` at most.
+    """Fit to the labelled documents outside the held-out fold.
 
-    The sample's ids (and nothing else) are broadcast; its features are computed where the documents are, and one task
-    fits. Labels other than 0 and 1 and null ids are left out; of several labels for an id, and of several documents with
-    one id, the least counts.
+    The class counts behind the ratios are taken over all of them; the descent runs over ``fit_rows`` at most. The sample's
+    ids (and nothing else) are broadcast; its features are computed where the documents are, and one task fits. Labels other
+    than 0 and 1 and null ids are left out; of several labels for an id the least counts. Of several documents with one id
+    all count for the ratios, and the one with the least features is fitted.
     """
     rows = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
     rows = rows.groupBy(F.col(id_column).alias("key")).agg(F.min(label_column).cast("int").alias("good"))
@@ -149,10 +168,11 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame = pd.concat([pd.DataFrame({"key": [], "good": [], "present": []}), *(b.to_pandas() for b in batches)]).sort_values("key")
-        model = fit([np.frombuffer(x, np.uint32) for x in frame["present"]], frame["good"].to_numpy(np.int64))
+        model = fit([np.frombuffer(x, np.uint32) for x in frame["present"]], frame["good"].to_numpy(np.int64), ratio)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights]), pa.array([model.slope]), pa.array([model.offset])], names=["weights", "slope", "offset"])
 
     texts = docs.select(F.col(id_column).alias("key"), F.col(text_column).cast("string").alias("text"))
+    ratio = log_count_ratio(class_counts(texts.where(~held_out("key")).join(rows, "key")))
     kind = texts.schema["key"].dataType.simpleString()
     found = texts.join(F.broadcast(sample), "key").select("key", "good", "text").mapInArrow(extract, f"key {kind}, good int, present binary")
     found = found.groupBy("key", "good").agg(F.min("present").alias("present"))
