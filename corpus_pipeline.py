@@ -16,6 +16,8 @@ from topspin.llm.shared import materialise, table
 
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
+#: A name that no column of documents has.
+ROW = "near_dedup_row"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +27,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Different texts under one id are documents of their own: rows are told apart by the id and a 64-bit hash of the text.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    keyed = docs.withColumn(ROW, row)
+    found = simhash.near_duplicates(keyed, id_column=ROW)
+    gone = materialise(found.where(F.col(ROW) != F.col("component_id")).select(ROW).distinct())
+    kept = keyed.where(F.col("doc_id").isNotNull()).join(gone, ROW, "left_anti").dropDuplicates([ROW])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
