@@ -71,6 +71,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in five.collect()} == clean
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, None), (8, ""), (None, a), (None, c), (9, c + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(str, map(tuple, corpus_pipeline.near_dedup(spark, docs, ROOT).collect())))
+    near = (simhash.fingerprint(c) ^ simhash.fingerprint(c + " more")).bit_count() <= 3
+    wanted = [(1, a), (5, b), (7, c), (7, None), (None, a), (None, c)] + [(9, c + " more")] * (not near)
+    assert left == sorted(map(str, wanted))
+
+
 def test_run_is_its_stages(spark):
     docs = table(spark, ROOT, "documents")
     for _, stage in corpus_pipeline.STAGES:
