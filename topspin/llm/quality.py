@@ -172,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array([model.weights]), pa.array([model.slope]), pa.array([model.offset])], names=["weights", "slope", "offset"])
 
     texts = docs.select(F.col(id_column).alias("key"), F.col(text_column).cast("string").alias("text"))
-    ratio = log_count_ratio(class_counts(texts.where(~held_out("key")).join(rows, "key")))
+    # shuffled at any size: labels grow with the corpus, and their side of a partition is the small one to hold
+    labelled = texts.where(~held_out("key")).join(rows.hint("shuffle_hash"), "key")
+    ratio = log_count_ratio(class_counts(labelled))
     kind = texts.schema["key"].dataType.simpleString()
     found = texts.join(F.broadcast(sample), "key").select("key", "good", "text").mapInArrow(extract, f"key {kind}, good int, present binary")
     found = found.groupBy("key", "good").agg(F.min("present").alias("present"))
