@@ -67,11 +67,11 @@ def test_draw_with_byes_results_and_history(spark):
     ddl = "id long, edition_id long, round string, draw_position int, player_a_id long, player_b_id long, status string, winner_id long, score string, external_id string, match_date date, scheduled_date date"
     stored = spark.createDataFrame([(1, 5, "QF", 1, 10, 11, "completed", 10, "6-0 6-0", "E1", None, None), (2, 5, "QF", 2, 12, 13, "upcoming", None, None, None, None, None), (3, 5, "QF", 3, 14, 15, "scheduled", None, None, "E3", None, None)], ddl)
     entry = "edition_id long, round string, draw_position int, player_a_id long, player_b_id long, is_bye boolean, winner_id long, score string, external_id string"
-    entries = spark.createDataFrame([(5, "QF", 1, 10, 99, False, None, None, "X1"), (5, "QF", 2, 13, 12, False, None, None, "X2"), (5, "QF", 3, 14, 16, False, 16, "6-1 6-1", "E1"), (5, "QF", 4, None, 17, True, None, None, None)], entry)
+    entries = spark.createDataFrame([(5, "QF", 1, 10, 99, False, None, None, "X1"), (5, "QF", 2, 13, 12, False, None, None, "X2"), (5, "QF", 3, 14, 16, False, 16, "6-1 6-1", "E9"), (5, "QF", 4, None, 17, True, None, None, None)], entry)
     rows = ingest.apply_draw(stored, entries).collect()
     old, made = {r.id: r for r in rows if r.id in (1, 2, 3)}, [r for r in rows if r.id not in (1, 2, 3)]
     assert (old[1].status, old[1].player_b_id) == ("completed", 11) and old[2].external_id == "X2" and old[3].status == "cancelled"
-    assert [(r.player_a_id, r.player_b_id, r.status, r.winner_id, r.external_id) for r in made] == [(14, 16, "completed", 16, None)]
+    assert [(r.player_a_id, r.player_b_id, r.status, r.winner_id, r.external_id) for r in made] == [(14, 16, "completed", 16, "E9")]
     after = ingest.apply_draw(stored, entries)
     assert {(r.round, r.draw_position, r.player_a_id, r.player_b_id) for r in ingest.propagate(after, entries).collect()} == {("SF", 2, 16, 17)}
     assert ingest.propagate(after, entries, spark.createDataFrame([(1,)], "id long")).count() == 0

@@ -28,7 +28,8 @@ def fill_dates(matches: DataFrame) -> DataFrame:
 
 def dedupe_results(results: DataFrame, order: Column) -> DataFrame:
     """The first record of each external id, or of each pair, round and date without one."""
-    key = F.coalesce("external_id", F.concat_ws("|", "edition_id", "round", F.least("player_a_id", "player_b_id"), F.greatest("player_a_id", "player_b_id"), F.coalesce(F.col("match_date").cast("string"), F.lit(""))))
+    rest = F.struct("edition_id", "round", F.least("player_a_id", "player_b_id").alias("low"), F.greatest("player_a_id", "player_b_id").alias("high"), "match_date")
+    key = F.struct("external_id", F.when(F.col("external_id").isNull(), rest).alias("rest"))
     return first_by(results.withColumn("_key", key), ["_key"], [order]).drop("_key")
 
 
@@ -81,20 +82,32 @@ def stale_pending(matches: DataFrame, step: int = 2, skip_round_robin: bool = Fa
     return matches.where(F.col("status").isin(*PENDING)).join(furthest, "edition_id").where(F.col("furthest") - place > step).select("id", "edition_id", "round")
 
 
+SLOT = ("edition_id", "round", "draw_position")
+
+
+def slot_rows(stored: DataFrame) -> DataFrame:
+    """The match that stands for each slot: a pending one, else a finished one, else a cancelled one; of several the one with the greatest id."""
+    rank = F.when(F.col("status").isin(*PENDING), 0).when(F.col("status") == "cancelled", 2).otherwise(1)
+    return first_by(stored.where(F.col("draw_position").isNotNull()), SLOT, [rank, F.col("id").desc()])
+
+
+def _pair(a: str = "player_a_id", b: str = "player_b_id") -> Column:
+    return F.array_sort(F.array(a, b))
+
+
 def draw_actions(entries: DataFrame, stored: DataFrame) -> DataFrame:
     """What a scraped draw does to the stored one, slot by slot: create, keep, fill, replace (cancel and create) or preserve; byes and undecided slots are skipped.
 
     ``entries`` has ``edition_id``, ``round``, ``draw_position``, ``player_a_id``, ``player_b_id``, ``is_bye``; ``stored`` the same and ``status``, ``id``.
     """
-    slot = ["edition_id", "round", "draw_position"]
-    held = first_by(stored, slot, [F.col("id").desc()]).select(*slot, F.col("id").alias("match_id"), F.col("status").alias("held_status"), F.array_sort(F.array("player_a_id", "player_b_id")).alias("held_pair"), F.col("external_id").alias("held_external_id"))
-    rows = entries.join(held, slot, "left")
-    same = F.array_sort(F.array("player_a_id", "player_b_id")) == F.col("held_pair")
+    held = slot_rows(stored).select(*SLOT, F.col("id").alias("match_id"), F.col("status").alias("held_status"), _pair().alias("held_pair"), F.col("external_id").alias("held_external_id"))
+    rows = entries.join(held, list(SLOT), "left")
+    same = _pair() == F.col("held_pair")
     action = (
         F.when(F.coalesce("is_bye", F.lit(False)), "bye").when(F.col("player_a_id").isNull() | F.col("player_b_id").isNull(), "undecided").when(F.col("match_id").isNull(), "create")
         .when(F.col("held_status").isin(*TERMINAL), "preserve").when(same & F.col("held_external_id").isNull(), "fill").when(same, "keep").otherwise("replace")
     )
-    return rows.select(*slot, "match_id", action.alias("action"))
+    return rows.select(*SLOT, "match_id", action.alias("action"))
 
 
 def bye_winners(entries: DataFrame) -> DataFrame:
@@ -103,31 +116,56 @@ def bye_winners(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("is_bye") & there.isNotNull()).select("edition_id", "round", "draw_position", there.alias("winner_id"))
 
 
-def apply_draw(matches: DataFrame, entries: DataFrame) -> DataFrame:
-    """``matches`` after a scraped draw, by ``draw_actions()``: a pending match of other players is cancelled and made anew, finished ones stay as they are.
+def draw_targets(matches: DataFrame, entries: DataFrame) -> DataFrame:
+    """``entries`` with what they do to stored matches: ``cancel`` (the id of one that goes), ``target`` (of one that is updated), ``how`` and ``held`` (the slot's matches so far).
 
-    ``entries`` also has ``winner_id``, ``score`` and ``external_id``. An external id is only given once. New ids are hashes of slot and players. Byes make
-    no match; ``propagate()`` advances their players.
+    A slot's finished match keeps its entry out. A pending one of other players is cancelled. What is updated is the edition's match with the entry's external id, else the
+    slot's match of the same players; else a match is made. Of entries with one external id the first (by round and position) holds, and a stored match is
+    updated once: by the entry that has its external id, before one that has its slot.
     """
-    slot = ["edition_id", "round", "draw_position"]
-    told = durable(draw_actions(entries, matches))
-    one = first_by(entries, slot, [F.col("player_a_id"), F.col("player_b_id")])
-    used = matches.where(F.col("external_id").isNotNull()).select("external_id").distinct()
-    ids = first_by(one.where(F.col("external_id").isNotNull()).join(used, "external_id", "left_anti"), ["external_id"], [F.col(c) for c in slot]).select(*slot, F.col("external_id").alias("_external"))
-    rows = durable(told.where(F.col("action").isin("create", "replace", "fill")).select(*slot, "match_id", "action").distinct().join(one.drop("external_id"), slot).join(ids, slot, "left"))
-    change = rows.where(F.col("match_id").isNotNull()).select(F.col("match_id").alias("id"), F.struct("action", "_external").alias("_c"))
-    old = matches.join(change, "id", "left")
-    new = {
-        "status": F.when(F.col("_c.action") == "replace", "cancelled").otherwise(F.col("status")),
-        "external_id": F.when(F.col("_c.action") == "fill", F.coalesce("external_id", "_c._external")).otherwise(F.col("external_id")),
-    }
-    old = old.select(*[new[c].alias(c) if c in new else F.col(c) for c in matches.columns])
+    one = first_by(entries.where(~F.coalesce("is_bye", F.lit(False)) & F.col("player_a_id").isNotNull() & F.col("player_b_id").isNotNull()), SLOT, [F.col("player_a_id"), F.col("player_b_id")])
+    sizes = matches.groupBy(*SLOT).agg(F.count("*").alias("held"))
+    slots = slot_rows(matches).select(*SLOT, F.col("id").alias("_slot"), F.col("status").isin(*PENDING).alias("_pending"), _pair().alias("_pair")).join(sizes, list(SLOT))
+    named = matches.where(F.col("external_id").isNotNull()).groupBy("edition_id", "external_id").agg(F.min("id").alias("_named"))
+    rows = one.join(slots, list(SLOT), "left").where(F.coalesce("_pending", F.lit(True))).join(named, ["edition_id", "external_id"], "left")
+    same = F.coalesce(_pair() == F.col("_pair"), F.lit(False))
+    rows = rows.withColumns({"cancel": F.when(~same, F.col("_slot")), "target": F.coalesce("_named", F.when(same, F.col("_slot")))})
+    place = [round_order(F.col("round")), F.col("draw_position"), F.col("round")]
+    # entries without an external id, and those without a target, are groups of their own
+    own = F.struct(*SLOT)
+    again = F.row_number().over(Window.partitionBy("edition_id", "external_id", F.when(F.col("external_id").isNull(), own)).orderBy(*place)) > 1
+    rows = rows.withColumn("_again", again)
+    taken = F.row_number().over(Window.partitionBy("target", F.when(F.col("target").isNull() | F.col("_again"), own)).orderBy(F.col("_named").isNull(), *place)) > 1
+    how = F.when(F.col("_again"), "repeated").when(F.col("target").isNull(), "create").when(taken, "taken").otherwise("update")
+    return rows.withColumn("how", how).withColumn("held", F.coalesce("held", F.lit(0))).drop("_slot", "_pending", "_pair", "_named", "_again")
+
+
+def apply_draw(matches: DataFrame, entries: DataFrame, editions: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
+    """``matches`` after a scraped draw, by ``draw_targets()``.
+
+    ``entries`` has the slot, ``player_a_id``, ``player_b_id``, ``is_bye``, ``winner_id``, ``score`` and ``external_id``, and may have the players' seeds. An updated match only
+    gets what it lacks: position, seeds and external id. With ``overwrite`` it gets all that the entry tells, but for the slot of another position. A match is finished if
+    the entry has winner and score. ``editions`` (``id``, ``start_date``, ``end_date``) gives made and overwritten matches the date that their round is expected at. New ids are hashes of
+    slot, players and the number of matches that the slot had. Byes make no match; ``propagate()`` advances their players.
+    """
+    seeds = [c for c in ("player_a_seed", "player_b_seed") if c in entries.columns]
+    rows = draw_targets(matches, entries)
     done = F.col("winner_id").isNotNull() & (F.trim(F.coalesce("score", F.lit(""))) != "")
-    made = rows.where(F.col("action").isin("create", "replace")).select(
-        F.xxhash64(*slot, "player_a_id", "player_b_id").alias("id"), *slot, "player_a_id", "player_b_id", F.when(done, "completed").otherwise("upcoming").alias("status"),
-        F.when(done, F.col("winner_id")).alias("winner_id"), "score", F.col("_external").alias("external_id"),
-    )
-    return old.unionByName(made, allowMissingColumns=True)
+    given = {"status": F.when(done, "completed").otherwise("upcoming"), "winner_id": F.when(done, F.col("winner_id"))}
+    if editions is not None:
+        rows = rows.join(editions.select(F.col("id").alias("edition_id"), "start_date", "end_date"), "edition_id", "left")
+        given["match_date"] = round_date(F.col("start_date"), F.col("end_date"), F.col("round"))
+    rows = durable(rows.withColumns(given))
+    told = ["player_a_id", "player_b_id", *seeds, "score", *given]
+    updates = rows.where("how = 'update'").select(F.col("target").alias("id"), F.struct("draw_position", "external_id", *told).alias("_new"))
+    gone = rows.where(F.col("cancel").isNotNull()).select(F.col("cancel").alias("id"), F.lit(True).alias("_gone"))
+    old = matches.join(gone, "id", "left").join(updates, "id", "left").withColumn("status", F.when(F.col("_gone"), "cancelled").otherwise(F.col("status")))
+    filled = {c: F.coalesce(c, F.col(f"_new.{c}")) for c in ("draw_position", "external_id", *seeds)}
+    if overwrite:
+        filled |= {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in told} | {"external_id": F.coalesce("_new.external_id", "external_id")}
+    old = old.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in matches.columns])
+    made = rows.where("how = 'create'").select(F.xxhash64(*SLOT, "player_a_id", "player_b_id", "held").alias("id"), *SLOT, *told, "external_id")
+    return old.unionByName(made.select(*[c for c in made.columns if c in matches.columns]), allowMissingColumns=True)
 
 
 def propagate(matches: DataFrame, byes: DataFrame | None = None, decided: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topspin.functions import domain
 from topspin.operators import geo, identity, ingest, matches, rating, tables
 from topspin.plans.registry import query
 from topspin.plans.relational import _QUEUE, _now, queue
+from topspin.schema import ROUND_ORDER
 from topspin.sources import store
 from topspin.sources.store import WITH
 
@@ -76,36 +78,74 @@ def merged_queue(spark, sf_dir):
 
 # Ingestion
 
-_SLOTS = ", h AS (SELECT * FROM m WHERE id IN (SELECT max(id) FROM m GROUP BY edition_id, round, draw_position))"
+_RANK = "CASE WHEN status IN ('upcoming', 'scheduled') THEN 0 WHEN status = 'cancelled' THEN 2 ELSE 1 END"
+_SLOTS = f", h AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY edition_id, round, draw_position ORDER BY {_RANK}, id DESC) = 1)"
+#: For each slot an entry: its players turned, others, a bye, with the external id of a later match, others with its own external id, with a result; and a slot that isn't stored.
+_ENTRIES = _SLOTS + """, l AS (SELECT *, lead(external_id, 3) OVER (PARTITION BY edition_id ORDER BY id) AS later FROM m),
+    e AS (SELECT h.edition_id, h.round, h.draw_position, CASE h.id % 6 WHEN 0 THEN h.player_b_id WHEN 1 THEN h.player_a_id + 1 WHEN 4 THEN h.player_a_id + 1 ELSE h.player_a_id END AS a,
+            CASE h.id % 6 WHEN 0 THEN h.player_a_id WHEN 2 THEN NULL ELSE h.player_b_id END AS b, h.id % 6 = 2 AS bye,
+            CASE h.id % 6 WHEN 3 THEN later WHEN 4 THEN h.external_id WHEN 1 THEN 'dup_' || CAST(h.id % 40 AS VARCHAR) ELSE 'new_' || CAST(h.id AS VARCHAR) END AS ext,
+            CASE WHEN h.id % 6 = 5 THEN h.player_b_id END AS w, CASE WHEN h.id % 6 = 5 THEN '6-1 6-1' WHEN h.id % 6 = 4 THEN ' ' END AS score, h.id % 33 AS seed
+          FROM h JOIN l ON l.id = h.id
+          UNION ALL SELECT edition_id, round, draw_position + 1000, player_a_id, player_b_id, false, 'more_' || CAST(id AS VARCHAR), NULL, NULL, NULL FROM h)"""
+_ROUND = "CASE round " + " ".join(f"WHEN '{r}' THEN {n}" for r, n in ROUND_ORDER.items()) + " END"
+_APPLIED = f"""{_ENTRIES}, x AS (SELECT edition_id, external_id AS ext, min(id) AS id FROM m WHERE external_id IS NOT NULL GROUP BY ALL),
+    j AS (SELECT e.*, h.id AS sid, least(a, b) = least(h.player_a_id, h.player_b_id) AND greatest(a, b) = greatest(h.player_a_id, h.player_b_id) AS same, x.id AS xid, {_ROUND.replace('CASE round', 'CASE e.round')} AS place
+          FROM e LEFT JOIN h ON h.edition_id = e.edition_id AND h.round = e.round AND h.draw_position = e.draw_position LEFT JOIN x ON x.edition_id = e.edition_id AND x.ext = e.ext
+          WHERE NOT bye AND b IS NOT NULL AND (h.id IS NULL OR h.status IN ('upcoming', 'scheduled'))),
+    r AS (SELECT *, CASE WHEN NOT same THEN sid END AS gone, coalesce(xid, CASE WHEN same THEN sid END) AS target, ext IS NOT NULL AND row_number() OVER (PARTITION BY edition_id, ext ORDER BY place, draw_position) > 1 AS again FROM j),
+    u AS (SELECT * FROM r WHERE NOT again AND target IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target ORDER BY CASE WHEN xid IS NULL THEN 1 ELSE 0 END, place, draw_position) = 1),
+    n AS (SELECT * FROM r WHERE NOT again AND target IS NULL)"""
+_MADE = "SELECT edition_id, round, draw_position, a AS player_a_id, b AS player_b_id, CASE WHEN w IS NULL THEN 'upcoming' ELSE 'completed' END AS status, w AS winner_id, score, ext AS external_id, seed AS player_a_seed FROM n"
 
 
 def _draw(spark, sf_dir):
-    """For each stored slot the same pair, another one or a bye, and a slot that isn't stored."""
-    held = tables.first_by(store.matches(spark, sf_dir), ["edition_id", "round", "draw_position"], [F.col("id").desc()])
-    i = F.col("id") % 3
-    same = held.select("edition_id", "round", "draw_position", F.when(i == 1, F.col("player_a_id") + 1).otherwise(F.col("player_a_id")).alias("player_a_id"), F.when(i == 2, F.lit(None)).otherwise(F.col("player_b_id")).alias("player_b_id"), (i == 2).alias("is_bye"), F.concat(F.lit("new_"), F.col("id")).alias("external_id"))
-    more = held.select("edition_id", "round", (F.col("draw_position") + 1000).alias("draw_position"), "player_a_id", "player_b_id", F.lit(False).alias("is_bye"), F.concat(F.lit("more_"), F.col("id")).alias("external_id"))
-    return same.unionByName(more).withColumns({"winner_id": F.lit(None).cast("long"), "score": F.lit(None).cast("string")})
-
-
-@query(WITH + _SLOTS + """, o AS (SELECT m.edition_id, CASE WHEN h.id IS NOT NULL AND m.id % 3 = 1 AND m.status IN ('upcoming', 'scheduled') THEN 'cancelled' ELSE m.status END AS status,
-    coalesce(m.external_id, CASE WHEN h.id IS NOT NULL AND m.id % 3 = 0 AND m.status IN ('upcoming', 'scheduled') THEN 'new_' END) AS ext FROM m LEFT JOIN h ON h.id = m.id),
-    x AS (SELECT * FROM o UNION ALL SELECT edition_id, 'upcoming', 'new_' FROM h WHERE id % 3 = 1 AND status IN ('upcoming', 'scheduled') UNION ALL SELECT edition_id, 'upcoming', 'more_' FROM h)
-    SELECT edition_id, status, count(*) AS n, count(*) FILTER (ext LIKE 'new_%') AS named, count(*) FILTER (ext LIKE 'more_%') AS made FROM x GROUP BY edition_id, status""")
+    rows = store.matches(spark, sf_dir)
+    later = rows.select("id", F.lead("external_id", 3).over(Window.partitionBy("edition_id").orderBy("id")).alias("later"))
+    held = ingest.slot_rows(rows).join(later, "id")
+    i, id_ = F.col("id") % 6, F.col("id").cast("string")
+    a = F.when(i == 0, F.col("player_b_id")).when(i.isin(1, 4), F.col("player_a_id") + 1).otherwise(F.col("player_a_id"))
+    b = F.when(i == 0, F.col("player_a_id")).when(i == 2, F.lit(None)).otherwise(F.col("player_b_id"))
+    ext = F.when(i == 3, F.col("later")).when(i == 4, F.col("external_id")).when(i == 1, F.concat(F.lit("dup_"), (F.col("id") % 40).cast("string"))).otherwise(F.concat(F.lit("new_"), id_))
+    own = held.select(
+        *ingest.SLOT, a.alias("player_a_id"), b.alias("player_b_id"), (i == 2).alias("is_bye"), ext.alias("external_id"), F.when(i == 5, F.col("player_b_id")).alias("winner_id"),
+        F.when(i == 5, "6-1 6-1").when(i == 4, " ").alias("score"), (F.col("id") % 33).alias("player_a_seed"),
+    )
+    more = held.select("edition_id", "round", (F.col("draw_position") + 1000).alias("draw_position"), "player_a_id", "player_b_id", F.lit(False).alias("is_bye"), F.concat(F.lit("more_"), id_).alias("external_id"))
+    return own.unionByName(more, allowMissingColumns=True)
+
+
+def _applied(spark, sf_dir, overwrite):
+    rows = store.matches(spark, sf_dir).withColumn("player_a_seed", F.when(F.col("id") % 5 == 0, F.col("id")))
+    done = ingest.apply_draw(rows, _draw(spark, sf_dir), overwrite=overwrite)
+    return done.select(*ingest.SLOT, "player_a_id", "player_b_id", "status", "winner_id", "score", "external_id", "player_a_seed")
+
+
+@query(WITH + f"""{_APPLIED} SELECT m.edition_id, m.round, m.draw_position, m.player_a_id, m.player_b_id, CASE WHEN m.id IN (SELECT gone FROM r WHERE gone IS NOT NULL) THEN 'cancelled' ELSE m.status END AS status, m.winner_id, m.score,
+    coalesce(m.external_id, u.ext) AS external_id, coalesce(CASE WHEN m.id % 5 = 0 THEN m.id END, u.seed) AS player_a_seed FROM m LEFT JOIN u ON u.target = m.id UNION ALL {_MADE}""")
 def applied_draw(spark, sf_dir):
-    rows = ingest.apply_draw(store.matches(spark, sf_dir), _draw(spark, sf_dir))
-    return rows.groupBy("edition_id", "status").agg(F.count("*").alias("n"), F.count_if(F.col("external_id").like("new%")).alias("named"), F.count_if(F.col("external_id").like("more%")).alias("made"))
+    """Every match after a draw that only fills what is missing."""
+    return _applied(spark, sf_dir, overwrite=False)
+
+
+@query(WITH + f"""{_APPLIED} SELECT m.edition_id, m.round, m.draw_position, coalesce(u.a, m.player_a_id) AS player_a_id, coalesce(u.b, m.player_b_id) AS player_b_id,
+    CASE WHEN u.target IS NOT NULL THEN CASE WHEN u.w IS NULL THEN 'upcoming' ELSE 'completed' END WHEN m.id IN (SELECT gone FROM r WHERE gone IS NOT NULL) THEN 'cancelled' ELSE m.status END AS status,
+    CASE WHEN u.target IS NULL THEN m.winner_id ELSE u.w END AS winner_id, CASE WHEN u.target IS NULL THEN m.score ELSE u.score END AS score,
+    coalesce(u.ext, m.external_id) AS external_id, CASE WHEN u.target IS NOT NULL THEN u.seed WHEN m.id % 5 = 0 THEN m.id END AS player_a_seed FROM m LEFT JOIN u ON u.target = m.id UNION ALL {_MADE}""")
+def overwritten_draw(spark, sf_dir):
+    """Every match after a draw whose entries hold."""
+    return _applied(spark, sf_dir, overwrite=True)
 
 
 _NEXT = "CASE round WHEN 'R128' THEN 'R64' WHEN 'R64' THEN 'R32' WHEN 'R32' THEN 'R16' WHEN 'R16' THEN 'QF' WHEN 'QF' THEN 'SF' WHEN 'SF' THEN 'F' END"
 
 
-@query(WITH + _SLOTS + f""", b AS (SELECT edition_id, round, draw_position, player_a_id AS w, 0 AS id FROM h WHERE id % 3 = 2), w AS (SELECT edition_id, round, draw_position, winner_id AS w, id FROM m WHERE winner_id IS NOT NULL UNION ALL SELECT * FROM b),
+@query(WITH + _SLOTS + f""", b AS (SELECT edition_id, round, draw_position, player_a_id AS w, 0 AS id FROM h WHERE id % 6 = 2), w AS (SELECT edition_id, round, draw_position, winner_id AS w, id FROM m WHERE winner_id IS NOT NULL UNION ALL SELECT * FROM b),
     f AS (SELECT edition_id, {_NEXT} AS round, CAST(ceil(draw_position / 2) AS INTEGER) + 0 AS draw_position, draw_position % 2 AS odd, w, id FROM w),
     g AS (SELECT edition_id, round, draw_position, arg_max(w, id) FILTER (odd = 1) AS player_a_id, arg_max(w, id) FILTER (odd = 0) AS player_b_id FROM f WHERE round IS NOT NULL GROUP BY edition_id, round, draw_position)
     SELECT * FROM g WHERE player_a_id <> player_b_id AND NOT EXISTS (SELECT 1 FROM m WHERE m.edition_id = g.edition_id AND m.round = g.round AND m.draw_position = g.draw_position)""")
 def advanced_byes(spark, sf_dir):
-    return ingest.propagate(store.matches(spark, sf_dir), _draw(spark, sf_dir).where("draw_position <= 64"))
+    return ingest.propagate(store.matches(spark, sf_dir), _draw(spark, sf_dir))
 
 
 @query(WITH + """, r AS (SELECT *, edition_id + 1000 AS e, edition_id || '|' || round || '|' || least(player_a_id, player_b_id) || '|' || greatest(player_a_id, player_b_id) || '|' || coalesce(CAST(match_date AS VARCHAR), '') AS key FROM m WHERE status IN ('completed', 'retired')),

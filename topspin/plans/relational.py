@@ -304,7 +304,7 @@ def validate_draws(spark, sf_dir):
 
 
 @query(WITH + """, e AS (SELECT id, edition_id, round, draw_position, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 6 < 3 THEN player_b_id ELSE player_a_id + 1 END AS a, CASE WHEN id % 6 < 3 THEN player_a_id ELSE player_b_id END AS b, id % 8 = 1 AS bye FROM m WHERE id % 4 <> 2),
-    h AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY edition_id, round, draw_position ORDER BY id DESC) = 1)
+    h AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY edition_id, round, draw_position ORDER BY CASE WHEN status IN ('upcoming', 'scheduled') THEN 0 WHEN status = 'cancelled' THEN 2 ELSE 1 END, id DESC) = 1)
     SELECT e.edition_id, e.round, e.draw_position, h.id AS match_id, CASE WHEN bye THEN 'bye' WHEN a IS NULL OR b IS NULL THEN 'undecided' WHEN h.id IS NULL THEN 'create'
     WHEN h.status IN ('completed', 'retired', 'walkover', 'default', 'cancelled') THEN 'preserve'
     WHEN (a = h.player_a_id AND b = h.player_b_id) OR (b = h.player_a_id AND a = h.player_b_id) THEN CASE WHEN h.external_id IS NULL THEN 'fill' ELSE 'keep' END ELSE 'replace' END AS action
