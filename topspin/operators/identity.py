@@ -6,10 +6,14 @@ worked out for candidates.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topspin.functions.names import compare_names, fuller, is_abbreviated, last_name, search_variants, tokens, trigrams
+from topspin.functions.names import compare_names, first_name, fuller, is_abbreviated, last_name, search_variants, tokens, trigrams
+from topspin.operators.graph import connected_components
 from topspin.operators.matches import sides
 from topspin.operators.tables import fill_null, first_by, insert_missing, remap
 from topspin.schema import AUTO_MATCH, LIKELY_MATCH, STRONG_MATCH, SUGGEST
@@ -92,32 +96,178 @@ def abbreviated_matches(incoming: DataFrame, players: DataFrame) -> DataFrame:
     return pairs.where((F.col("in_id_short") & full("player_id")) | (F.col("player_id_short") & full("in_id"))).select("in_id", "player_id")
 
 
+def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(a, b)``: names of ``left`` with other names of ``right`` (``name``, ``block``) in the same block; large blocks are dealt over a grid of cells."""
+    sizes = [df.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for df, n in ((left, "_l"), (right, "_r"))]
+    grid = durable(sizes[0].join(sizes[1], "block"))
+
+    def dealt(df: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        rows = df.join(grid, "block").withColumn(own, F.pmod(F.xxhash64("name"), F.col(own)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("block", "_l", "_r", F.col("name").alias(name))
+
+    return dealt(left, "_l", "_r", "a").join(dealt(right, "_r", "_l", "b"), ["block", "_l", "_r"]).where("a <> b").select("a", "b")
+
+
+def similar_names(asked: DataFrame, known: DataFrame, least: float = STRONG_MATCH) -> DataFrame:
+    """``(a, b, trigram, score, short)``: how names of ``asked`` and other ones of ``known`` (``name``, each once) resemble each other.
+
+    ``trigram`` is their trigram similarity from ``least`` on, ``score`` that of names with the same last name, ``short`` tells that one abbreviates the other
+    (``j. pegula``; the full first name has three letters or more).
+    """
+    number = lambda df: df.select(F.col("name").alias("id"), "name")
+    near = trigram_matches(number(asked), number(known), least).where("left_id <> right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.col("similarity").alias("trigram"))
+    blocked = lambda df: df.select("name", last_name(F.col("name")).alias("block")).where("block <> ''")
+    alike = _block_pairs(blocked(asked), blocked(known)).withColumn("score", compare_names("a", "b")).where(F.col("score") >= least)
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        name, first = F.col("name"), first_name(F.col("name"))
+        two = df.where(F.size(tokens(name)) >= 2)
+        return two.select(name.alias(side), is_abbreviated(name).alias(f"{side}_short"), first.alias(f"{side}_first"), F.struct(F.substring(first, 1, 1), last_name(name)).alias("block"))
+
+    plain = lambda s: F.col(s).rlike(r"^\S\.? \S") & (F.regexp_replace(s, r"^\S\.? ", "") == F.col("block.col2"))
+    ends = F.endswith(F.col("b"), F.concat(F.lit(" "), F.col("block.col2"))) & (F.length("b_first") >= 3)
+    pairs = keyed(asked, "a").join(keyed(known, "b"), "block")
+    short = pairs.where((F.col("a_short") & ~F.col("b_short") & ends) | (~F.col("a_short") & F.col("b_short") & plain("b"))).select("a", "b", compare_names("a", "b").alias("score"), F.lit(True).alias("short"))
+    every = near.unionByName(alike, allowMissingColumns=True).unionByName(short, allowMissingColumns=True)
+    return every.groupBy("a", "b").agg(F.max("trigram").alias("trigram"), F.max("score").alias("score"), F.coalesce(F.bool_or("short"), F.lit(False)).alias("short"))
+
+
+class _Cascade:
+    """The players that records can meet, and what a record makes of them."""
+
+    def __init__(self, people: list, aliases: list, pairs: list):
+        self.gender, self.ids, self.has = {}, {}, set()
+        for player, gender, source, external in people:
+            self.gender[player] = gender
+            if external is not None:
+                self.ids[source, external] = player
+                self.has.add((player, source))
+        self.owners: dict[str, list] = {}
+        for alias, player in sorted(aliases):
+            self.owners.setdefault(alias, []).append(player)
+        self.near: dict[str, list] = {}
+        for a, *rest in pairs:
+            self.near.setdefault(a, []).append(rest)
+
+    def fits(self, player: object, expected: str | None) -> bool:
+        own = self.gender.get(player)
+        return expected is None or own is None or own == expected
+
+    def learn(self, player: object, name: str, source: str | None = None, external: str | None = None) -> None:
+        owners = self.owners.setdefault(name, [])
+        if player not in owners:
+            owners.append(player)
+        if source and external and (player, source) not in self.has:
+            self.ids[source, external] = player
+            self.has.add((player, source))
+
+    def best(self, scored: list) -> dict:
+        """The best score of each player who has one of the names."""
+        found: dict = {}
+        for name, score in scored:
+            for player in self.owners.get(name, ()):
+                found[player] = max(score, found.get(player, 0.0))
+        return found
+
+    def resolve(self, record: object, name: str, source: str | None, external: str | None, expected: str | None) -> tuple[object, str]:
+        known = self.ids.get((source, external)) if external else None
+        if known is not None:
+            self.learn(known, name)
+            return known, "matched"
+        owner = self.owners.get(name, [None])[0]
+        if owner is not None and self.fits(owner, expected):
+            return owner, "matched"
+        near = self.near.get(name, [])
+        short = {p: s for p, s in self.best([(b, score) for b, _, score, short in near if short]).items() if self.fits(p, expected)}
+        if len(short) == 1:
+            (player,) = short
+            self.learn(player, name, source, external)
+            return player, "matched"
+        if sum(s >= STRONG_MATCH for s in short.values()) > 1:
+            return None, "queued"
+        close = self.best([(name, 1.0)] * bool(name) + [(b, t) for b, t, _, _ in near if t is not None])
+        if max(close.values(), default=0.0) < AUTO_MATCH:
+            for player, score in self.best([(b, s) for b, _, s, _ in near if s is not None and s >= STRONG_MATCH]).items():
+                close[player] = max(score, close.get(player, 0.0))
+        top = sorted(close.items(), key=lambda c: (-c[1], str(type(c[0])), c[0]))[:5]
+        strong = [(p, s) for p, s in top if self.fits(p, expected)]
+        if strong and strong[0][1] >= AUTO_MATCH:
+            self.learn(strong[0][0], name, source, external)
+            return strong[0][0], "matched"
+        if len(strong) > 1:
+            return None, "queued"
+        made = ("made", record)
+        self.learn(made, name, source, external)
+        return made, "created"
+
+
+def _fold(group: pd.DataFrame) -> pd.DataFrame:
+    of = {kind: part for kind, part in group.groupby("kind")}
+    rows = lambda kind, *columns: [tuple(None if pd.isna(v) else v for v in r) for r in of[kind][list(columns)].itertuples(index=False)] if kind in of else []
+    cascade = _Cascade(rows("player", "id", "gender", "source", "external"), rows("alias", "name", "id"), rows("pair", "name", "other", "trigram", "score", "short"))
+    out = []
+    for _, run, record, name, source, external, expected in sorted(rows("record", "place", "run", "id", "name", "source", "external", "gender"), key=lambda r: r[1]):
+        player, status = cascade.resolve(int(record), name, source, external, expected)
+        made = player[1] if isinstance(player, tuple) else None
+        out.append((group["component"].iloc[0], run, None if made is not None or player is None else player, made, status))
+    return pd.DataFrame(out, columns=["component", "run", "player_id", "made_by", "status"]).astype({"run": "Int64", "player_id": "Int64", "made_by": "Int64"})
+
+
 def resolve(incoming: DataFrame, players: DataFrame, aliases: DataFrame, genders: DataFrame | None = None) -> DataFrame:
-    """``(in_id, player_id, status)`` of incoming names by a cascade; the first stage that decides holds.
+    """``(in_id, player_id, made_by, status)`` of incoming names by a cascade, record by record in the order of their ids, each seeing what those before it have led to.
+
+    ``incoming`` has ``id``, ``name`` (normalised), ``source_key``, ``external_id`` and ``gender`` (expected, or null); ``players`` has ``id``, ``name`` and an external id
+    for each source (``atp_id``, ``wta_id``); ``aliases`` has ``alias`` and ``player_id``. A player's own name is an alias. Stages: external id; alias; abbreviation (one
+    candidate matches, several with 0.95 and more queue); similar names of aliases (the best with 0.98 and more matches, several with 0.95 and more queue); else
+    a player is created. But for the first stage, a player of another gender is no candidate; players without one are. ``made_by`` is the record that created the player, whose id
+    is a hash of it. A match by external id teaches the player the name, one by similarity also the external id, if there is none of that source.
 
-    ``incoming`` has ``id``, ``name`` (normalised), ``source_key`` and ``external_id``, ``gender`` (expected, or null); ``players`` has ``id``, ``name`` and ``atp_id``,
-    ``wta_id``. Stages: external id; alias (but for a player of another gender); abbreviation (one candidate matches, several
-    queue); similar names by ``fuzzy_matches()`` (one of 0.98 and more matches, several of 0.95 and more queue); else create.
-    Records are resolved against the players as they were, and records with the same name and source are created once.
+    Only records that share a player, a name, an external id or similar names can depend on each other. These are components of a graph of names, ids and players;
+    the records of a component are folded in one task, equal ones in a row as one.
     """
-    linked = players.select(F.col("id").alias("by_id"), F.explode(F.array(F.struct(F.lit("atp").alias("source_key"), F.col("atp_id").alias("external_id")), F.struct(F.lit("wta").alias("source_key"), F.col("wta_id").alias("external_id")))).alias("x")).select("by_id", "x.*").where(F.col("external_id").isNotNull())
-    rows = incoming.join(linked, ["source_key", "external_id"], "left")
-    known = first_by(aliases.select(F.col("alias").alias("name"), F.col("player_id").alias("by_alias")), ["name"], [F.col("by_alias")])
-    if genders is not None:
-        known = known.join(genders.select(F.col("player_id").alias("by_alias"), F.col("gender").alias("own")), "by_alias", "left")
-    else:
-        known = known.withColumn("own", F.lit(None).cast("string"))
-    rows = rows.join(known, "name", "left").withColumn("by_alias", F.when(F.col("gender").isNull() | F.col("own").isNull() | (F.col("gender") == F.col("own")), F.col("by_alias")))
-    left = rows.where(F.col("by_id").isNull() & F.col("by_alias").isNull()).select("id", "name")
-    short = abbreviated_matches(left, players).groupBy(F.col("in_id").alias("id")).agg(F.min("player_id").alias("by_short"), F.count("*").alias("n_short"))
-    scored = fuzzy_matches(left, players, STRONG_MATCH)
-    close = scored.groupBy("id").agg(F.max_by("other", F.struct("score", -F.col("other"))).alias("by_close"), F.max("score").alias("best"), F.count("*").alias("n_close"))
-    rows = rows.join(short, "id", "left").join(close, "id", "left")
-    sole = (F.col("n_short") == 1) & F.col("by_short").isNotNull()
-    sure = (F.col("best") >= AUTO_MATCH) & (F.col("n_close") == 1)
-    found = F.coalesce("by_id", "by_alias", F.when(sole, F.col("by_short")), F.when(F.col("n_short").isNull() & sure, F.col("by_close")))
-    status = F.when(found.isNotNull(), "matched").when((F.col("n_short") > 1) | (F.col("n_close") > 1), "queued").otherwise("created")
-    return rows.select(F.col("id").alias("in_id"), found.alias("player_id"), status.alias("status"))
+    key = ["name", "source_key", "external_id", "gender"]
+    rows = durable(incoming.select("id", F.coalesce("name", F.lit("")).alias("name"), "source_key", F.nullif("external_id", F.lit("")).alias("external_id"), "gender"))
+    sources = [c for c in players.columns if c.endswith("_id")]
+    asked = durable(rows.select("name").distinct())
+    known = players.select(F.coalesce("name", F.lit("")).alias("name"), "id").unionByName(aliases.select(F.col("alias").alias("name"), F.col("player_id").alias("id"))).where("name <> ''").distinct()
+    pairs = durable(similar_names(asked, known.select("name").unionByName(asked).distinct()))
+    near = asked.unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+    owned = known.join(near, "name", "left_semi")
+    ids = players.select("id", F.explode(F.array(*[F.struct(F.lit(c.removesuffix("_id")).alias("source"), F.col(c).alias("external")) for c in sources])).alias("x")).select("id", "x.*").where("external IS NOT NULL")
+    wanted = rows.where("external_id IS NOT NULL").select(F.col("source_key").alias("source"), F.col("external_id").alias("external")).distinct()
+    there = durable(owned.select("id").unionByName(ids.join(wanted, ["source", "external"], "left_semi").select("id")).distinct())
+    people = there.join(ids, "id", "left")
+    gender = genders.select(F.col("player_id").alias("id"), "gender") if genders is not None else there.select("id", F.lit(None).cast("string").alias("gender")).limit(0)
+    people = people.join(gender, "id", "left")
+
+    node = lambda kind, *columns: F.concat_ws("\x00", F.lit(kind), *columns)
+    name_node, id_node = node("n", F.col("name")), node("x", F.col("source"), F.col("external"))
+    links = [
+        pairs.select(node("n", F.col("a")).alias("a"), node("n", F.col("b")).alias("b")), owned.select(node("p", F.col("id")).alias("a"), name_node.alias("b")), people.where("external IS NOT NULL").select(node("p", F.col("id")).alias("a"), id_node.alias("b")),
+        rows.where("external_id IS NOT NULL").select(name_node.alias("a"), node("x", F.col("source_key"), F.col("external_id")).alias("b")).distinct(),
+    ]
+    found = durable(connected_components(reduce(DataFrame.unionByName, links)))
+
+    def placed(df: DataFrame, own: Column) -> DataFrame:
+        return df.withColumn("node", own).join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+
+    # equal records in a row have one outcome, but for the first that creates
+    order = Window.partitionBy("component").orderBy("id")
+    told = F.struct(*key)
+    runs = placed(rows, name_node).withColumn("head", F.row_number().over(order) == 1).withColumn("head", F.col("head") | ~F.lag(told).over(order).eqNullSafe(told))
+    runs = durable(runs.withColumn("run", F.sum(F.col("head").cast("long")).over(order)))
+    kinds = [
+        placed(people, node("p", F.col("id"))).select("component", F.lit("player").alias("kind"), "id", "gender", "source", "external"),
+        placed(owned, name_node).select("component", F.lit("alias").alias("kind"), "id", "name"),
+        placed(pairs.withColumnRenamed("a", "name"), name_node).select("component", F.lit("pair").alias("kind"), "name", F.col("b").alias("other"), "trigram", "score", "short"),
+        runs.where("head").select("component", F.lit("record").alias("kind"), "run", "id", F.col("id").alias("place"), "name", F.col("source_key").alias("source"), F.col("external_id").alias("external"), "gender"),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    asking = runs.select("component").distinct()
+    done = every.join(asking, "component", "left_semi").groupBy("component").applyInPandas(_fold, "component string, run long, player_id long, made_by long, status string")
+    status = F.when(~F.col("head") & (F.col("status") == "created"), "matched").otherwise(F.col("status"))
+    player = F.coalesce("player_id", F.when(F.col("made_by").isNotNull(), F.xxhash64(F.lit("player"), "made_by")))
+    return runs.join(done, ["component", "run"]).select(F.col("id").alias("in_id"), player.alias("player_id"), "made_by", status.alias("status"))
 
 
 def suggestions(pairs: DataFrame, keep: int = 3, least: int = 2) -> DataFrame:

@@ -48,6 +48,20 @@ def cross_tour_ids(spark, sf_dir):
     return identity.link_ids(store.players(spark, sf_dir), found.unionByName(found)).select("id", "atp_id", "wta_id")
 
 
+@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS c, CASE o_orderkey % 2 WHEN 0 THEN 'men' ELSE 'women' END AS gender FROM orders),
+    k AS (SELECT c_custkey AS c, CASE c_custkey % 6 WHEN 0 THEN 'men' WHEN 2 THEN 'women' END AS own FROM customer WHERE c_custkey % 2 = 0),
+    f AS (SELECT r.*, k.c IS NOT NULL AND (own IS NULL OR own = gender) AS stored FROM r LEFT JOIN k ON k.c = r.c)
+    SELECT id AS in_id, CASE WHEN stored THEN c END AS player_id, CASE WHEN NOT stored THEN min(id) FILTER (NOT stored) OVER (PARTITION BY c) END AS made_by,
+           CASE WHEN NOT stored AND id = min(id) FILTER (NOT stored) OVER (PARTITION BY c) THEN 'created' ELSE 'matched' END AS status FROM f""")
+def resolved_in_order(spark, sf_dir):
+    """Records of players without similar names, half of whom are stored: who isn't, or is of another gender, is created by the first record and met by the others."""
+    gender = F.when(F.col("id") % 6 == 0, "men").when(F.col("id") % 6 == 2, "women")
+    known = store.players(spark, sf_dir).where("id % 2 = 0").select("id", F.concat(F.lit("x "), F.md5(F.col("id").cast("string"))).alias("name"), F.lit(None).cast("string").alias("atp_id"), F.lit(None).cast("string").alias("wta_id"))
+    incoming = store.raw(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("x "), F.md5(F.col("o_custkey").cast("string"))).alias("name"), F.lit("atp").alias("source_key"), F.lit(None).cast("string").alias("external_id"), F.when(F.col("o_orderkey") % 2 == 0, "men").otherwise("women").alias("gender"))
+    done = identity.resolve(incoming, known, identity.empty_aliases(spark), known.select(F.col("id").alias("player_id"), gender.alias("gender")))
+    return done.withColumn("player_id", F.when(F.col("made_by").isNull(), F.col("player_id")))
+
+
 _MERGED = ", d AS (SELECT id AS merge_id, id - id % 10 AS keep_id FROM p WHERE id % 10 > 6 AND id - id % 10 IN (SELECT id FROM p))"
 
 
