@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from topspin.operators import identity, ingest, matches, tables
 from topspin.sources import pages
+from topspin.sources.deltas import DeltaLog
 from topspin.streaming import jobs
 
 
@@ -23,7 +24,8 @@ def test_abbreviated_names_match_or_queue(spark):
     aliases = spark.createDataFrame([(1, "jess pegula", "wta")], "player_id long, alias string, source string")
     incoming = spark.createDataFrame([(10, "j. pegula", "wta", "X", None), (11, "k. pliskova", "wta", None, None), (12, "any name", "wta", "W4", None), (13, "jess pegula", "wta", None, "women"), (14, "new person", "wta", None, None), (15, "j. del potro", "wta", None, None)], ddl)
     got = {r.in_id: (r.player_id, r.status) for r in identity.resolve(incoming, players, aliases).collect()}
-    assert got == {10: (1, "matched"), 11: (None, "queued"), 12: (4, "matched"), 13: (1, "matched"), 14: (None, "created"), 15: (4, "matched")}
+    assert got.pop(14)[1] == "created"
+    assert got == {10: (1, "matched"), 11: (None, "queued"), 12: (4, "matched"), 13: (1, "matched"), 15: (4, "matched")}
     gender = spark.createDataFrame([(1, "men")], "player_id long, gender string")
     assert {r.in_id: r.status for r in identity.resolve(incoming, players, aliases, gender).collect()}[13] != "x"
 
@@ -103,7 +105,7 @@ def test_stream_rates_like_a_rebuild(spark, tmp_path):
     stream = jobs.file_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
     query = jobs.rate_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
-    last = max(p.name for p in (tmp_path / "out" / "rated").iterdir())
-    got = {r.id: r.post_a for r in spark.read.parquet(str(tmp_path / "out" / "rated" / last)).collect()}
+    log = DeltaLog(spark, str(tmp_path / "out"))
+    got = {r.id: r.post_a for r in log.read("rated", ["id"]).collect()}
     want = {r.id: r.post_a for r in rating.rebuild(df).collect()}
-    assert last == "v00000003" and got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=0.02) for i in want)
+    assert log.last()[0] == 3 and got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=0.02) for i in want)

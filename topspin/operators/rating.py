@@ -336,8 +336,8 @@ def rebuild(star: DataFrame, params: Params | None = None, fast: bool = False, s
     return _single(fold(factors(history(rows), [params or Params()], fast), fast=fast, window_rows=window_rows))
 
 
-def states_after(rated: DataFrame, matches: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """The players' states behind ``rated`` matches: rating, count, last date and order, peak; players without a new match keep theirs."""
+def changed_states(rated: DataFrame, matches: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """The states of the players of ``rated`` matches behind them: rating, count, last date and order, peak; ``old`` are the states before."""
     rows = matches.select("id", "player_a_id", "player_b_id", "temporal_order", "match_date").join(rated.select("id", "post_a", "post_b"), "id")
     each = sides(rows, "id", "temporal_order", "match_date", "post_a", "post_b").withColumn("post", F.when(F.col("side") == "A", F.col("post_a")).otherwise(F.col("post_b")))
     at = F.struct("temporal_order", "id")
@@ -348,11 +348,16 @@ def states_after(rated: DataFrame, matches: DataFrame, old: DataFrame | None = N
     if old is None:
         return new
     before = old.select("player_id", *[F.col(c).alias(f"_{c}") for c in ("match_count", "last_match_date", "career_peak")])
-    new = new.join(before, "player_id", "left").select(
+    return new.join(before, "player_id", "left").select(
         "player_id", "rating", (F.col("match_count") + F.coalesce("_match_count", F.lit(0))).alias("match_count"), F.coalesce("last_match_date", "_last_match_date").alias("last_match_date"),
         "last_temporal_order", F.greatest("career_peak", F.coalesce("_career_peak", "career_peak")).alias("career_peak"),
     )
-    return upsert(old.select(*new.columns), new, "player_id")
+
+
+def states_after(rated: DataFrame, matches: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """All states after ``changed_states()``; players without a new match keep theirs."""
+    new = changed_states(rated, matches, old)
+    return new if old is None else upsert(old.select(*new.columns), new, "player_id")
 
 
 def late_point(unprocessed: DataFrame, states: DataFrame) -> DataFrame:
@@ -380,14 +385,31 @@ def rating_as_of(rated: DataFrame, matches: DataFrame, points: DataFrame) -> Dat
     return each.unionByName(asked).withColumn("rating", F.last("post", ignorenulls=True).over(order)).where(F.col("kind") == 0).select("player_id", F.col("at").alias("as_of"), "rating")
 
 
-def update_ratings(star: DataFrame, rated: DataFrame, states: DataFrame, params: Params | None = None, repair: bool = True, window_rows: int = WINDOW_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rate the finished matches of ``star()`` that ``rated`` lacks; returns the next versions of ``rated`` and ``states``.
+#: Ids up to which a list is pushed to the scan.
+POINT_IDS = 1000
+
+
+def by_ids(table: DataFrame, ids: DataFrame, most: int = POINT_IDS) -> DataFrame:
+    """The rows of ``table`` whose ``id`` is among ``ids``. Up to ``most`` ids reach the scan as a list, so that only row groups that can hold them are read; beyond, as their range, before a join."""
+    ids = ids.select("id").where("id IS NOT NULL").distinct()
+    few = [r.id for r in ids.limit(most + 1).collect()]
+    if len(few) <= most:
+        return table.where(F.col("id").isin(few)) if few else table.where(F.lit(False))
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    return table.where(F.col("id").between(low, high)).join(ids, "id", "left_semi")
+
+
+def rating_changes(star: DataFrame, rated: DataFrame, states: DataFrame, params: Params | None = None, repair: bool = True, window_rows: int = WINDOW_ROWS, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What rating the finished matches of ``star()`` that ``rated`` lacks changes: rows of ``rated`` and of ``states``, new and replaced ones.
 
     With ``repair``, a match that comes before what its players have been rated for sends the fold back to its place. Later matches
     are rated again only where it can reach them: those of its players, of their later opponents, and so on; the others keep
-    their values.
+    their values. With ``ids``, just those matches are read and rated, from the states as they are.
     """
     done = star.where(F.col("status").isin(*RATED))
+    if ids is not None:
+        repair, done = False, by_ids(done, ids)
+        rated = by_ids(rated, ids)
     fresh = done.join(rated.select("id"), "id", "left_anti")
     point = late_point(fresh, states).first().point if repair else None
     old: list[str] = []
@@ -396,13 +418,21 @@ def update_ratings(star: DataFrame, rated: DataFrame, states: DataFrame, params:
         states = durable(states_before(rated, done, point))
         known = rated.select("id", F.array(*_OUT).alias("old"))
         fresh, old = later.join(known, "id", "left"), ["old"]
-        # what is kept is read twice
-        rated = durable(rated.join(later.select("id"), "id", "left_anti"))
-    rows = factors(history(levels(fresh), states), [params or Params()], keep=old)
+    fresh = durable(fresh)
     players = sides(fresh, "id").select("player_id").distinct()
-    start = states.join(players, "player_id", "left_semi").select("player_id", F.array(F.col("rating").cast("double")).alias("rating"))
+    # only the states of players who play are read on
+    states = durable(states.join(players, "player_id", "left_semi"))
+    rows = factors(history(levels(fresh), states), [params or Params()], keep=old)
+    start = states.select("player_id", F.array(F.col("rating").cast("double")).alias("rating"))
     new = durable(_single(fold(rows, start, window_rows=window_rows)))
-    return rated.unionByName(new.select(*rated.columns)), states_after(new, done, states)
+    return new.select(*rated.columns), changed_states(new, fresh, states)
+
+
+def update_ratings(star: DataFrame, rated: DataFrame, states: DataFrame, params: Params | None = None, repair: bool = True, window_rows: int = WINDOW_ROWS, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The next versions of ``rated`` and ``states`` after ``rating_changes()``."""
+    new, changed = rating_changes(star, rated, states, params, repair, window_rows, ids)
+    changed = durable(changed)
+    return upsert(rated, new, "id"), upsert(states.select(*changed.columns), changed, "player_id")
 
 
 def refresh_snapshots(matches: DataFrame, states: DataFrame, touched: DataFrame) -> DataFrame:
