@@ -96,8 +96,7 @@ class Node:
 
 
 def by_tree_walk(body):
-    """The method in plain words, over a tree of nodes in which only links are inline."""
-    root = Node("", [body])
+    """The method in plain words, over a tree of nodes without an article in which only links are inline."""
     c, lc, _, _ = body.count()
     share = lc / (c or 1)
 
@@ -107,30 +106,34 @@ def by_tree_walk(body):
             return 0.0
         return max(0.0, c / t * math.log(max(1.0, c / (lc or 1) * t / (lt or 1))) / math.log(c / ((c - lc) or 1) * lc + share * c + math.e))
 
+    nodes = lambda node: [x for x in node.children if not isinstance(x, str)]
+    full = lambda node: [x for x in nodes(node) if x.count()[0]]
     # from the last child to the first, as sums of floating point numbers depend on their order
-    total = lambda node: sum(density(x) for x in reversed([x for x in node.children if not isinstance(x, str)]))
-    best = max(root.walk(), key=total)
-    if not total(best):
+    total = lambda node: sum(density(x) for x in reversed(nodes(node)))
+    core = max(body.walk(), key=total)
+    if not total(core):
         return body.text()
-    path = []
 
     def find(node, above):
-        if node is best:
-            path.extend([*above, node])
-        for x in node.children:
-            if not isinstance(x, str):
-                find(x, [*above, node])
-
-    find(root, [])
-    if best is root:
-        return body.text()
-    threshold = min(density(x) for x in path[1:])
-    top = best
-    for x in reversed(path[1:-1]):
-        if density(x) < threshold:
-            break
-        top = x
-    return max(top.walk(), key=total).text()
+        if node is core:
+            return [*above, node]
+        return next((p for x in nodes(node) if (p := find(x, [*above, node]))), None)
+
+    way = find(body, [])
+    threshold, usual = min(map(density, way)), total(core) / (len(full(core)) or 1) / 2
+    linked = lambda node: 2 * node.count()[1] > node.count()[0]
+    quotes = lambda node: any(x.tag == "blockquote" and x.count()[0] for x in node.walk())
+    dense = lambda node: density(node) >= (threshold if quotes(node) else max(threshold, usual)) and not linked(node)
+    beside = lambda node: [x for x in full(node) if not any(x is w for w in way)]
+    top = next((w for w in way if w is not core and any(map(dense, beside(w)))), core)
+
+    def text(node):
+        if not any(node is w for w in way) or node is core:
+            return node.text()
+        belongs = lambda x: any(x is w for w in way) or dense(x) or x.tag in ("blockquote", "a") and not linked(x)
+        return " ".join(c if isinstance(c, str) else text(c) for c in node.children if isinstance(c, str) or belongs(c))
+
+    return text(top)
 
 
 def test_density_against_a_walk_over_the_tree():
@@ -151,3 +154,69 @@ def test_density_against_a_walk_over_the_tree():
     for _ in range(300):
         body = Node("body", [tree(3) for _ in range(rng.randint(1, 4))])
         assert main_text(body.html()).replace(" ", "") == by_tree_walk(body).replace(" ", "")
+
+
+def sentences(name, n):
+    return [f"{name}{i} {SENTENCE.strip()}" for i in range(n)]
+
+
+def paragraphs(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_nothing_of_an_article_is_lost():
+    parts = {x: sentences(x, n) for x, n in zip("abcd", (4, 6, 4, 4), strict=True)}
+    sections = "".join(f"<section><h2>Part {x}</h2>{paragraphs(p)}</section>" for x, p in parts.items())
+    assert main_text(f"<body><article>{sections}</article></body>") == " ".join(f"Part {x} {' '.join(p)}" for x, p in parts.items())
+    quote = SENTENCE * 30
+    assert main_text(f"<body><article>{paragraphs(parts['a'])}<blockquote>{quote}</blockquote></article></body>") == " ".join([*parts["a"], quote.strip()])
+    page = f"<body><h1>Head</h1><p>{parts['a'][0]}</p><div class=body>{paragraphs(parts['b'])}</div><p>{parts['c'][0]}</p><div>Imprint <a href=x>legal</a></div></body>"
+    assert main_text(page) == " ".join(["Head", parts["a"][0], *parts["b"], parts["c"][0]])
+
+
+def test_marks_lower_but_dont_remove_what_is_dense():
+    story, plain = sentences("s", 9), sentences("p", 6)
+    assert main_text(f"<body><div class=social-story>{paragraphs(story)}</div><div>{paragraphs(plain)}</div></body>") == " ".join(story + plain)
+    assert main_text(f"<body><div class=promo><p>{story[0]}</p></div><div>{paragraphs(plain)}</div></body>") == " ".join(plain)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main><article>{own}</article><section id=comments>{comments}</section></main>",
+        "<article>{own}<section id=comments>{comments}</section></article>",
+        "<aside>{comments}</aside><article>{own}</article><footer>{comments}</footer>",
+        "<div id=page class=comments-open><h1></h1><div>{own}</div><ol class=commentlist>{comments}</ol></div>",
+        "<div class='comments open'><article>{own}</article></div>",
+    ],
+)
+def test_readers_comments_go_whatever_their_number(page):
+    own = sentences("own", 1)
+    comments = "".join(f"<article class=comment-body>{paragraphs(sentences('their', 3))}</article>" for _ in range(20))
+    assert main_text("<body>" + page.format(own=paragraphs(own), comments=comments) + "</body>") == own[0]
+    assert main_text("<body>" + page.format(own=paragraphs(own), comments=comments.replace(" class=comment-body", "")) + "</body>") == own[0]
+
+
+def test_random_articles_among_surroundings():
+    rng = random.Random(6)
+    for _ in range(200):
+        lines, count = [], 0
+
+        def grow(depth):
+            nonlocal count
+            out = ""
+            for _ in range(rng.randint(1, 4)):
+                if depth and rng.random() < 0.5:
+                    out += f"<{(t := rng.choice(['section', 'div', 'blockquote']))}>{grow(depth - 1)}</{t}>"  # noqa: B023
+                else:
+                    tag = rng.choice(["p", "p", "p", "h2", "li", "pre"])
+                    count += 1  # noqa: B023
+                    lines.append(f"n{count} " + " ".join(rng.choices(["rain", "fell", "hills"], k=3 if tag == "h2" else rng.randint(5, 80))))  # noqa: B023
+                    out += f"<{tag}>{lines[-1]}</{tag}>"  # noqa: B023
+            return out
+
+        article = grow(3)
+        junk = ["<nav><a href=/>Home</a></nav>", "<div class=ad>Buy now, buy cheap!</div>", f"<section class=comments>{paragraphs(sentences('x', 8))}</section>", "<aside><p>Most read today</p></aside>", f"<div class='cookie-notice'><p>{SENTENCE}</p></div>"]
+        before, after = (" ".join(rng.sample(junk, rng.randint(0, 4))) for _ in range(2))
+        page = f"<body>{before}<div class=wrap><article>{rng.choice(['', junk[1]])}{article}</article>{after}</div></body>"
+        assert main_text(page) == " ".join(lines)

@@ -2,13 +2,15 @@
 
 After Sun, Song and Liao ("DOM based content extraction via text density", 2011). For every element, characters per
 tag are adjusted for the share of links in it (``density``); the densities of an element's children add up to
-its sum. The element with the greatest sum holds the article. The least density on the way from it up to the body is the
-threshold: going down from the body, the first element that reaches it is searched for the greatest sum, and that
-subtree is the text.
+its sum. The element with the greatest sum is the core of the article, and the least density on the way from it up to the body is the threshold.
 
-Elements of another purpose by their tag (menus, forms, footers and so on) are taken out first. Names in class, id and role only
-weigh: an element that they mark is taken out unless it holds ``SHARE`` of the unlinked text of its article (of the page, if it has none), or
-nothing would be left.
+The text is that of the article (or else main) element around the core. On a page without one it is that of the smallest element which holds
+the core and all that stands beside the way up to it and reaches the threshold; of what else stands beside that way, paragraphs, headings, lists and the like belong to it if they
+aren't mostly links.
+
+Elements of another purpose by their tag (menus, forms, footers and so on) and readers' comments are taken out first, together with articles inside of them,
+unless that is the page's only article. Other names in class, id and role only lower an element's sum, by ``LOWERED``: one that doesn't hold the core and whose lowered sum is
+below the threshold is left out.
 Inline elements other than links count as part of the element that they are in.
 """
 
@@ -46,8 +48,11 @@ MARKS = frozenset(
 )
 READERS = frozenset("comment comments commentlist disqus reply replies".split())
 ELSEWHERE = frozenset("has with without no is hide show js layout".split())
-#: The share of the page's unlinked text from which a marked element is taken for a wrapper.
-SHARE = 2 / 3
+#: By how much a mark lowers the densities of an element.
+LOWERED = 4
+#: Elements that hold an article's words, those of them that hold sentences, and others that stand between them.
+SENTENCES = frozenset("p blockquote pre".split())
+PROSE = SENTENCES | frozenset("h1 h2 h3 h4 h5 h6 ul ol dl dt dd li table figure figcaption details summary hgroup math address".split())
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 ALSO_CLOSES = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",), "tbody": ("thead",), "tfoot": ("tbody",), "tr": ("td", "th")}
 
@@ -161,7 +166,7 @@ class Page:
             foreign = -1
         if tag not in INLINE:
             self.pieces.append((-1, ""))
-        mark = _mark(attributes) if attributes and tag not in ("html", "body", "article", "main") else 0
+        mark = _mark(attributes) if attributes and tag not in ("html", "body", "main") else 0
         if tag in INLINE and tag != "a" and not mark and self._last(tag) < 0:
             return at
         self._imply_ends(tag)
@@ -211,46 +216,59 @@ class Page:
                 own[self.parents[k]] += own[k]
         return own
 
-    def _inherit(self) -> None:
-        for k in range(1, len(self.tags)):
-            self.out[k] = self.out[k] or self.out[self.parents[k]]
+    def _below(self, own: list[bool]) -> list[bool]:
+        """What holds for an element or for one that it is in."""
+        for k in range(1, len(own)):
+            own[k] = own[k] or own[self.parents[k]]
+        return own
+
+    def _unlinked(self, out: list[bool]) -> list[int]:
+        """Characters outside of links in each subtree, without what is out."""
+        own = [0] * len(self.tags)
+        for k, text in self.pieces:
+            if k >= 0 and not out[k] and not self.link[k]:
+                own[k] += len(text.strip())
+        for k in range(len(own) - 1, 0, -1):
+            own[self.parents[k]] += own[k]
+        return own
 
-    def _weigh(self) -> None:
-        """Leave out the marked elements, but for those that hold an article or most of the text."""
+    def _leave_out(self) -> None:
+        """Take out what isn't the article by its tag, and readers' comments."""
         n, tags, parents = len(self.tags), self.tags, self.parents
-        spared = [False] * n
-        for k in range(n - 1, 0, -1):
-            if spared[k] or tags[k] in ("article", "main"):
-                spared[k] = spared[parents[k]] = True
-        for k in range(n):
-            self.out[k] = self.out[k] and not (spared[k] and tags[k] != "head")
-        self._inherit()
-        link, plain = [False] * n, [0] * n
+        self.link = [False] * n
         for k in range(1, n):
-            link[k] = link[parents[k]] or tags[k] == "a"
-        for k, text in self.pieces:
-            if k >= 0 and not self.out[k] and not link[k]:
-                plain[k] += len(text.strip())
-        self._up(plain)
-        whole = [0] * n  # the text of which a marked element may hold most: that of its article, or of a page without one
-        articles = any(t in ("article", "main") and p and not o for t, p, o in zip(tags, plain, self.out, strict=True))
-        unmarked = [True] * n
-        for k in range(n):
-            up = parents[k]
-            whole[k] = plain[k] if tags[k] in ("article", "main") else whole[up] if k else 0 if articles else plain[0]
-            wrapper = self.marks[k] == 1 and 0 < SHARE * whole[k] <= plain[k]
-            unmarked[k] = (self.marks[k] == 0 or spared[k] or wrapper) and (not k or unmarked[up])
-        if any(unmarked[k] and not self.out[k] and text.strip() for k, text in self.pieces if k >= 0):
-            self.out = [o or not u for o, u in zip(self.out, unmarked, strict=True)]
+            self.link[k] = self.link[parents[k]] or tags[k] == "a"
+        never = self._below([tags[k] == "head" or self.marks[k] == 3 for k in range(n)])
+        by_tag = self._below(list(self.out))
+        holds = [False] * n  # a heading of the page, which no comment has
+        for k in range(n - 1, 0, -1):
+            holds[k] = holds[k] or tags[k] in ("h1", "main")
+            holds[parents[k]] = holds[parents[k]] or holds[k]
+        readers = self._below([self.marks[k] == 2 and not holds[k] for k in range(n)])
+        out = [t or r for t, r in zip(by_tag, readers, strict=True)]
+        left, size = self._unlinked(out), self._unlinked(never)
+        # articles that aren't in others; comments may be articles, too
+        articles = [k for k in range(n) if tags[k] in ("article", "main") and self.marks[k] != 2 and size[k] and not never[k]]
+        known = set(articles)
+        within = self._below([k in known for k in range(n)])
+        outer = [k for k in articles if not within[parents[k]]]
+        if outer and not any(left[k] for k in articles) and (not left[0] or len(outer) == 1 and size[outer[0]] > left[0]):
+            # the only article is inside of what went: it stays, with what is around it
+            best = max(outer, key=lambda k: (size[k], -k))
+            inside = set(self._subtree(best))
+            while best > 0:
+                best = parents[best]
+                inside.add(best)
+            out = self._below([never[k] or (k not in inside and (self.out[k] or self.marks[k] == 2)) for k in range(n)])
+        elif not left[0]:
+            out = by_tag
+        self.out = out
 
     def text(self) -> str:
         """The article's text: blocks in page order, with single blanks between words."""
-        self._weigh()
-        tags, parents, out, n = self.tags, self.parents, self.out, len(self.tags)
-        link = [False] * n
+        self._leave_out()
+        tags, parents, out, link, n = self.tags, self.parents, self.out, self.link, len(self.tags)
         chars, link_chars = [0] * n, [0] * n
-        for k in range(1, n):
-            link[k] = link[parents[k]] or tags[k] == "a"
         for k, text in self.pieces:
             if k >= 0 and not out[k]:
                 size = len(text.strip())
@@ -260,8 +278,11 @@ class Page:
         self._up(chars), self._up(link_chars)
         count, link_count = self._up([1] * n), self._up([int(t == "a") for t in tags])
         body = next((k for k in range(n) if tags[k] == "body"), 0)
-        density, total = [0.0] * n, [0.0] * n
+        density, total, children = [0.0] * n, [0.0] * n, [0] * n
         share = link_chars[body] / (chars[body] or 1)
+        lowered, sentences = [False] * n, [t in SENTENCES for t in tags]
+        for k in range(1, n):
+            lowered[k] = lowered[parents[k]] or self.marks[k] == 1
         for k in range(n - 1, -1, -1):
             if out[k] or not chars[k]:
                 continue
@@ -270,20 +291,48 @@ class Page:
             density[k] = max(0.0, c / t * log(max(1.0, c / (lc or 1) * t / (lt or 1))) / base)
             if k:
                 total[parents[k]] += density[k]
-        best = max((k for k in range(n) if not out[k]), key=lambda k: (total[k], -k), default=0)
-        if not total[best]:
-            best = body
-        threshold, up = density[best], best
-        while up not in (-1, body):
-            threshold = min(threshold, density[up])
+                children[parents[k]] += 1
+                sentences[parents[k]] = sentences[parents[k]] or sentences[k]
+        core = max((k for k in range(n) if not out[k]), key=lambda k: (total[k] / (LOWERED if lowered[k] else 1), -k), default=0)
+        if not total[core]:
+            core = body
+        way, up = [core], core
+        while up not in (0, body):
             up = parents[up]
-        top = best
-        while top and parents[top] >= 0 and top != body and density[parents[top]] >= threshold:
-            top = parents[top]
-        under = self._subtree(top)
-        chosen = max((k for k in under if not out[k]), key=lambda k: (total[k], -k), default=top) if top != best else best
-        inside = self._subtree(chosen)
-        return " ".join("".join([" " if k < 0 else text for k, text in self.pieces if k < 0 or k in inside and not out[k]]).split())
+            way.append(up)
+        on_way, threshold = set(way), min(density[k] for k in way)
+        around = [k for k in way if tags[k] == "article"] or [k for k in way if tags[k] == "main"]
+        mostly_links = lambda k: 2 * link_chars[k] > chars[k]
+        # what stands beside the way and reaches the threshold, by the element of the way that it is in
+        dense = {}
+        usual = total[core] / (children[core] or 1) / 2
+        for k in range(1, n):
+            if parents[k] in on_way and k not in on_way and chars[k] and not out[k]:
+                own = total[k] / LOWERED if self.marks[k] == 1 else density[k]
+                dense[k] = own >= (threshold if sentences[k] else max(threshold, usual)) and not mostly_links(k)
+        if around:
+            top = around[-1]
+        else:
+            beside = {parents[k] for k, d in dense.items() if d}
+            top = next((k for k in reversed(way) if k in beside and k != core), core)
+        inside = self._subtree(top)
+        chosen = [False] * n
+        for k in inside:
+            if out[k]:
+                continue
+            if k == top or k in on_way:
+                chosen[k] = True
+            elif self.marks[k] == 1 and total[k] / LOWERED < threshold:
+                continue
+            elif not chosen[parents[k]]:
+                continue
+            elif around or parents[k] not in on_way or parents[k] == core:
+                chosen[k] = True
+            else:
+                chosen[k] = dense.get(k, False) or tags[k] in PROSE | INLINE and not mostly_links(k)
+        if not any(chosen[k] and text.strip() for k, text in self.pieces if k >= 0):
+            chosen = [k in inside and not o for k, o in enumerate(out)]  # nothing but marked elements
+        return " ".join("".join([" " if k < 0 else text for k, text in self.pieces if k < 0 or chosen[k]]).split())
 
     def _subtree(self, top: int) -> range:
         """The elements of a subtree, which stand one after another."""
