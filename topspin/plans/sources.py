@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topspin.plans.registry import query
-from topspin.sources import layouts, pages, store
+from topspin.operators import ingest
+from topspin.sources import draws, layouts, pages, store
 from topspin.streaming import jobs
 
 
@@ -76,3 +77,95 @@ def order_of_play(spark, sf_dir):
     html = F.concat(F.lit('<div class="court"><h3 class="court-name">Court</h3>'), match("LS", "11:00", 0), match("LD", "Followed by", 1), match("LS", "Followed by", 2))
     rows = store.raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), html.alias("html"))
     return layouts.order_of_play(rows).select("page_id", "court", "player_a", "start")
+
+
+# Brackets as pages
+
+_B = f"b AS ({store.BRACKETS.format(orders='orders')})"
+_NAMES = {"R16": "Round of 16", "QF": "Quarter-Finals", "SF": "Semi-Finals", "F": "Final"}
+
+
+def _text(*parts):
+    return F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+
+
+def _draw_pages(spark, sf_dir):
+    """A page of nested boxes for each bracket. The last match of every fourth bracket isn't decided, and in every seventh a quarter-final shows another player."""
+    rows = store.brackets(spark, sf_dir)
+    decided = (F.col("round") != "F") | (F.col("d") % 4 != 3)
+
+    def side(name, own, first):
+        shown = F.when((F.col("round") == "QF") & (F.col("p") == 1) & (F.col("d") % 7 == 0) & F.lit(first), F.lit(99)).otherwise(F.col(name))
+        here = F.col("bye") & (F.col("won") != F.col(name))
+        link = _text('<a href="/en/players/x/p', shown.cast("string"), '/overview">player ', shown.cast("string"), "</a>", F.when(shown % 4 == 0, _text(" <span>(", (shown + 1).cast("string"), ")</span>")).otherwise(""))
+        won = F.when(decided & (F.col("won") == F.col(name)) & ~F.col("bye"), '<div class="winner"></div>').otherwise("")
+        games = lambda g, t: f'<div class="score-item"><span>{g}</span><span>{t}</span></div>'
+        up = F.when(F.col("won") == F.col(name), games(6, "") + games(7, 7)).otherwise(games(3, "") + games(6, 4))
+        scores = F.when(decided & ~F.col("bye"), up).otherwise("")
+        return _text('<div class="stats-item"><div class="player-info"><div class="name">', F.when(here, "Bye").otherwise(link), "</div>", won, '</div><div class="scores">', scores, "</div></div>")
+
+    box = _text('<div class="draw-item"><div class="draw-stats">', side("a", "a", True), side("b", "b", False), "</div></div>")
+    boxes = rows.select("d", "round", F.struct("p", box.alias("box")).alias("box")).groupBy("d", "round").agg(F.array_join(F.transform(F.array_sort(F.collect_list("box")), lambda x: x["box"]), "\n").alias("boxes"))
+    name = F.coalesce(*[F.when(F.col("round") == r, n) for r, n in _NAMES.items()])
+    column = _text('<div class="draw"><div class="draw-header">', name, '</div><div class="draw-content">', F.col("boxes"), "</div></div>")
+    return boxes.groupBy(F.col("d").alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(column)), "").alias("html"))
+
+
+_SHOWN = """v AS (SELECT *, CASE WHEN round = 'QF' AND p = 1 AND d % 7 = 0 THEN 99 ELSE a END AS sa, CASE WHEN round = 'F' AND d % 4 = 3 THEN NULL WHEN bye THEN NULL ELSE won END AS w FROM b),
+    e AS (SELECT d AS page_id, round, p AS draw_position, CASE WHEN bye THEN won ELSE sa END AS x, CASE WHEN NOT bye THEN b END AS y, bye AS is_bye,
+            CASE WHEN w IS NULL THEN NULL WHEN w = a AND sa = a THEN a WHEN w = a THEN sa ELSE b END AS win, CASE WHEN w = a THEN '6-3 7-6(4)' WHEN w = b THEN '3-6 6-7(4)' END AS score FROM v)"""
+
+
+@query(f"WITH {_B}, {_SHOWN} SELECT page_id, round, draw_position, 'Player ' || CAST(x AS VARCHAR) AS player_a, 'P' || CAST(x AS VARCHAR) AS player_a_external_id, CASE WHEN x % 4 = 0 THEN x + 1 END AS player_a_seed, 'Player ' || CAST(y AS VARCHAR) AS player_b, 'P' || CAST(y AS VARCHAR) AS player_b_external_id, CASE WHEN y % 4 = 0 THEN y + 1 END AS player_b_seed, 'Player ' || CAST(win AS VARCHAR) AS winner, score, is_bye FROM e")
+def draw_pages(spark, sf_dir):
+    return draws.draw_page(_draw_pages(spark, sf_dir))
+
+
+@query(f"""WITH {_B}, {_SHOWN}, n AS (SELECT e.*, CASE round WHEN 'R16' THEN 'QF' WHEN 'QF' THEN 'SF' WHEN 'SF' THEN 'F' END AS next_round, CASE WHEN round <> 'F' THEN CAST(ceil(draw_position / 2.0) AS INTEGER) END AS next_position FROM e)
+    SELECT n.page_id, n.round, n.draw_position, n.next_round, n.next_position, CASE WHEN n.draw_position % 2 = 1 THEN f.x ELSE f.y END = CASE WHEN n.is_bye THEN n.x ELSE n.win END AS fits
+    FROM n LEFT JOIN e AS f ON f.page_id = n.page_id AND f.round = n.next_round AND f.draw_position = n.next_position""")
+def draw_feeders(spark, sf_dir):
+    rows = draws.fed(draws.draw_page(_draw_pages(spark, sf_dir)))
+    return rows.select("page_id", "round", "draw_position", "next_round", F.when(F.col("round") != "F", F.col("next_position")).alias("next_position"), "fits")
+
+
+@query(f"WITH {_B} SELECT d AS page_id, round, CAST(p AS INTEGER) AS place, 'P' || CAST(a AS VARCHAR) AS player_a, 'P' || CAST(b AS VARCHAR) AS player_b, CAST(100 + a AS VARCHAR) AS player_a_external_id, CASE WHEN won = a THEN 'A' ELSE 'B' END AS winner, CASE WHEN won = a THEN '6-2 6-3' ELSE '2-6 3-6' END AS score FROM b")
+def round_tables(spark, sf_dir):
+    """Tables of matches whose rounds stand in headings between them, at another depth."""
+    row = lambda name, own, other: _text('<tr><td class="name"><a href="/players/', (100 + F.col(name)).cast("string"), '/x">P', F.col(name).cast("string"), "</a></td>", own, "</tr>")
+    sets = lambda a, b: f'<td class="set is-winner">{a}</td><td class="set is-winner">{b}</td>'
+    lost = lambda a, b: f'<td class="set">{a}</td><td class="set">{b}</td>'
+    up = lambda name: F.when(F.col("won") == F.col(name), sets(6, 6)).otherwise(lost(2, 3))
+    table = _text('<div><table class="match-table">', row("a", up("a"), "b"), row("b", up("b"), "a"), "</table></div>")
+    rows = store.brackets(spark, sf_dir).select("d", "round", F.struct("p", table.alias("table")).alias("table")).groupBy("d", "round").agg(F.array_join(F.transform(F.array_sort(F.collect_list("table")), lambda x: x["table"]), "").alias("tables"))
+    name = F.coalesce(*[F.when(F.col("round") == r, n) for r, n in _NAMES.items()])
+    part = _text('<section><header><h2 class="tournament-draw__round-title">', name, "</h2></header></section>", F.col("tables"))
+    html = rows.groupBy(F.col("d").alias("page_id")).agg(_text("<main>", F.array_join(F.sort_array(F.collect_list(part)), "<hr>"), "</main>").alias("html"))
+    return draws.round_tables(html).select("page_id", "round", "place", "player_a", "player_b", "player_a_external_id", "winner", "score")
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'atp' WHEN 1 THEN 'wta' WHEN 2 THEN 'itf' WHEN 3 THEN 'sportsbet' ELSE 'other' END AS source, CASE c_custkey % 5 WHEN 2 THEN 'Ana L' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
+    CASE WHEN c_custkey % 5 < 3 THEN CASE WHEN c_custkey % 5 = 0 THEN 'A' ELSE '' END || CAST(c_custkey AS VARCHAR) END AS external_id, CASE c_custkey % 5 WHEN 0 THEN 'FRA' WHEN 2 THEN 'ESP' END AS nationality, CASE c_custkey % 5 WHEN 0 THEN CAST(c_custkey % 32 + 1 AS INTEGER) WHEN 4 THEN 7 END AS seed,
+    CASE c_custkey % 5 WHEN 0 THEN 'https://www.atptour.com/en/players/x/A' || CAST(c_custkey AS VARCHAR) || '/overview' WHEN 1 THEN 'https://www.wtatennis.com/players/x/' || CAST(c_custkey AS VARCHAR) WHEN 2 THEN 'https://www.itftennis.com/en/player/' || CAST(c_custkey AS VARCHAR) || '/x' WHEN 4 THEN '/somewhere' END AS profile_url FROM customer""")
+def player_elements(spark, sf_dir):
+    """Elements of all sources in one table."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    text = key.cast("string")
+    kind = key % 5
+    html = (
+        F.when(kind == 0, _text('<td><img class="flag flag-fra"><a class="player-name" href="/en/players/x/A', text, '/overview">', name, '</a><span class="seed">[', (key % 32 + 1).cast("string"), "]</span></td>"))
+        .when(kind == 1, _text('<td><b><a href="/players/x/', text, '">', name, "</a></b></td>")).when(kind == 2, _text('<div><a href="/en/player/', text, '/x">L', text, ', Ana</a><i class="nationality">esp</i></div>'))
+        .when(kind == 3, _text("<span>", name, " 1.85</span>")).otherwise(_text('<p><a href="/somewhere">', name, " (7)</a></p>"))
+    )
+    source = F.when(kind == 0, "atp").when(kind == 1, "wta").when(kind == 2, "itf").when(kind == 3, "sportsbet").otherwise("other")
+    return draws.player_elements(store.raw(spark, sf_dir, "customer").select(key.alias("id"), source.alias("source"), html.alias("html")))
+
+
+@query(f"WITH {_B} SELECT d AS edition_id, round, CAST(p AS INTEGER) AS draw_position, a AS player_a_id, b AS player_b_id FROM b WHERE round IN ('QF', 'SF') AND p % 2 = 0")
+def propagated_brackets(spark, sf_dir):
+    """Brackets that lack the even slots of two rounds: their feeders' winners fill them. The feeders of a semi-final are those stored, so it stands on the quarter-finals of the odd slots and the even ones."""
+    rows = store.brackets(spark, sf_dir)
+    held = rows.select("id", F.col("d").alias("edition_id"), "round", F.col("p").cast("int").alias("draw_position"), F.col("won").alias("winner_id"))
+    quarter = ingest.propagate(held.where("round <> 'QF' OR draw_position % 2 = 1"))
+    semi = ingest.propagate(held.where("round <> 'SF' OR draw_position % 2 = 1"))
+    return quarter.unionByName(semi).select("edition_id", "round", "draw_position", "player_a_id", "player_b_id")

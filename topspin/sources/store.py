@@ -88,6 +88,30 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _first(q: str) -> str:
+    return f"(2 * (({q}) - 1) + (d + ({q})) % 2)"
+
+
+def _second(p: str) -> str:
+    return _first(f"2 * ({p}) - 1 + (d + 3 * ({p})) % 2")
+
+
+def _third(p: str) -> str:
+    return _second(f"2 * ({p}) - 1 + (d + 5 * ({p})) % 2")
+
+
+_SIDES = {s: f"CASE round WHEN 'R16' THEN 2 * (p - 1) + {k} WHEN 'QF' THEN {_first(f'2 * p - 1 + {k}')} WHEN 'SF' THEN {_second(f'2 * p - 1 + {k}')} ELSE {_third(f'1 + {k}')} END" for s, k in (("a", 0), ("b", 1))}
+_WON = f"CASE round WHEN 'R16' THEN {_first('p')} WHEN 'QF' THEN {_second('p')} WHEN 'SF' THEN {_third('p')} ELSE {_third('1 + d % 2')} END"
+#: Brackets of 16 players over the keys of orders: draw ``d``, ``round``, position ``p``, and the players and winner as numbers from 0. A fifth of the first round are byes.
+BRACKETS = f"""SELECT *, {_SIDES['a']} AS a, {_SIDES['b']} AS b, {_WON} AS won, round = 'R16' AND (d + p) % 5 = 0 AS bye FROM (
+    SELECT *, CASE WHEN j < 8 THEN 'R16' WHEN j < 12 THEN 'QF' WHEN j < 14 THEN 'SF' ELSE 'F' END AS round, CASE WHEN j < 8 THEN j + 1 WHEN j < 12 THEN j - 7 WHEN j < 14 THEN j - 11 ELSE 1 END AS p FROM (
+    SELECT o_orderkey AS id, CAST(floor(o_orderkey / 15) AS BIGINT) AS d, o_orderkey % 15 AS j FROM {{orders}}))"""
+
+
+def brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BRACKETS.format(orders="{orders}"), orders=raw(spark, sf_dir, "orders"))
+
+
 def _cte(name: str, table: str, columns: dict[str, str], n: str = "") -> str:
     return f"{name} AS (SELECT " + ", ".join(f"{text.format(n=n)} AS {column}" for column, text in columns.items()) + f" FROM {table})"
 
