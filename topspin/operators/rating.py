@@ -599,5 +599,11 @@ def active_params(sets: DataFrame) -> Params:
         return Params()
 
 
+def rebuilt_after_activation(star: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All ratings and states anew, by the active parameter set: what a change of it asks for, as no state of the old one holds any more."""
+    rated = durable(rebuild(star, active_params(sets)))
+    return rated, states_after(rated, star)
+
+
 def params_table(spark: SparkSession, named: dict[str, Params]) -> DataFrame:
     return spark.createDataFrame([{"name": n} | {k: v for k, v in p.row(0).items() if k != "candidate"} for n, p in named.items()], "name string, " + CANDIDATE.split(", ", 1)[1])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topspin.functions import names
-from topspin.operators import control, identity
+from topspin.operators import control, identity, metrics
 from topspin.plans.registry import query
 from topspin.sources import store
+from topspin.sources.sinks import durable
 from topspin.sources.store import WITH
 
 
@@ -66,6 +67,30 @@ def run_statuses(spark, sf_dir):
     return control.run_status(rows)
 
 
+@query("""WITH r AS (SELECT user_id % 20 AS run_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, value AS v FROM events),
+    f AS (SELECT run_id, 'k' AS metric, k AS x FROM r UNION ALL SELECT run_id, 'timings.total', v FROM r UNION ALL SELECT run_id, 'timings.half', v / 2 FROM r WHERE k > 50)
+    SELECT run_id, metric, round(sum(x), 6) AS total, count(*) AS workers FROM f WHERE x IS NOT NULL GROUP BY run_id, metric""")
+def run_metrics(spark, sf_dir):
+    """Payloads with a counter, a status and timings of their own."""
+    timings = F.struct(F.col("value").alias("total"), F.when(F.get_json_object("props", "$.k").cast("int") > 50, F.col("value") / 2).alias("half"))
+    payload = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.lit("ok").alias("status"), timings.alias("timings")))
+    rows = store.raw(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run_id"), payload.alias("payload"))
+    return metrics.run_metrics(rows).withColumn("total", F.round("total", 6))
+
+
+@query(WITH + " SELECT count(*) AS matches, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (winner_id IS NOT NULL AND match_date IS NULL) AS undated, count(DISTINCT edition_id) FILTER (status = 'completed') AS editions FROM m")
+def observed_counters(spark, sf_dir):
+    """Counters of the pass that writes the matches, and of the one that counts their editions."""
+    counters = metrics.Counters()
+    rows = store.matches(spark, sf_dir)
+    rows = counters.on(rows, matches=F.count("*"), completed=F.count_if(F.col("status") == "completed"), undated=F.count_if(F.col("winner_id").isNotNull() & F.col("match_date").isNull()))
+    written = durable(rows)
+    each = counters.on(written.where("status = 'completed'").groupBy("edition_id").count(), editions=F.count("*"))
+    durable(each)
+    found = counters.values()
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in found.items()])
+
+
 @query("SELECT c_custkey AS player_id, lower(c_name) AS alias FROM customer WHERE c_custkey % 4 = 1")
 def recovered_aliases(spark, sf_dir):
     players = store.players(spark, sf_dir).select("id", F.lower("name").alias("name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topspin.functions import domain, scores
-from topspin.operators import identity, matches, rating
+from topspin.operators import identity, matches, rating, search
 from topspin.plans.registry import query
 from topspin.plans.relational import star
 from topspin.sources import store
@@ -108,6 +108,15 @@ def rating_rebuild(spark, sf_dir):
     return rating.rebuild(star(spark, sf_dir)).select("id", "pre_a", "pre_b", "post_a", "post_b", F.round("p_winner", 6).alias("p_winner"))
 
 
+@query(_FOLD + " SELECT player_id, arg_max(post, (t, id)) AS rating, count(*) AS match_count, arg_max(match_date, (t, id)) FILTER (match_date IS NOT NULL) AS last_match_date, max(t) AS last_temporal_order, max(post) AS career_peak FROM h GROUP BY player_id")
+def rebuilt_states(spark, sf_dir):
+    """States after a search's parameter set has taken the place of another."""
+    at = lambda t: F.lit(t).cast("timestamp")
+    old = spark.range(1).select(F.lit("old").alias("name"), F.lit('{"margin_base": 0.6}').alias("params"), F.lit(True).alias("is_active"), at("2024-01-01").alias("created_at"))
+    sets = rating.activated(old, "found", rating.Params(), 0.66, 0.65, at("2024-02-01"))
+    return rating.rebuilt_after_activation(star(spark, sf_dir), sets)[1]
+
+
 @query(_FOLD + " SELECT player_id, arg_max(post, (t, id)) AS rating, count(*) AS match_count, arg_max(match_date, (t, id)) FILTER (match_date IS NOT NULL) AS last_match_date, max(t) AS last_temporal_order, max(post) AS career_peak FROM h GROUP BY player_id")
 def rating_states(spark, sf_dir):
     rows = star(spark, sf_dir)
@@ -154,6 +163,14 @@ def candidate_losses(spark, sf_dir):
     return rating.evaluate(rows, [rating.Params(), *rating.propose(3)], parts)
 
 
+@query()
+def parameter_search(spark, sf_dir):
+    """Trials of a short search by Parzen estimators, with their validation losses."""
+    rows = star(spark, sf_dir)
+    parts = rating.chronological_split(rows.where(F.col("status").isin("completed", "retired")))
+    return search.parzen_search(rows, durable(parts), trials=(8, 4, 4), batch=4, finalists=1)[2]
+
+
 @query(_RATED + " SELECT round(-avg(ln(greatest(1e-7, least(1 - 1e-7, CASE WHEN won THEN 1 / (1 + pow(10, (rb - ra) / 1670)) ELSE 1 - 1 / (1 + pow(10, (rb - ra) / 1670)) END)))), 8) AS log_loss FROM r")
 def log_loss(spark, sf_dir):
     p = rating.expected(F.col("ra"), F.col("rb"), 1670.0)
