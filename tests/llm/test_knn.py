@@ -65,8 +65,28 @@ def test_merge_prefers_smaller_ids():
     assert (q.tolist(), s.tolist(), i.tolist()) == ([1, 1, 2], [5, 5, 1], [3, 7, 4])
 
 
-def test_repeated_ids_count_once(spark):
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
     rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0]), (20, [3.0, 0.0]), (20, [2.0, 0.0])] + [(21, [0.5, 0.0])] * 30 + [(None, [9.0, 9.0]), (22, [0.1, 0.1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [tuple(r) for r in knn.top_k(df, df.where("vec_id = 10"), 3).collect()]
-    assert got == [(10, 1, 20, 2048 * 1024), (10, 2, 21, 512 * 1024), (10, 3, 22, 102 * 1024)]
+    got = sorted(tuple(r) for r in knn.top_k(df, df.where("vec_id = 10"), 5).collect())
+    one = [(10, 1, 20, 3072 * 1024), (10, 2, 20, 2048 * 1024), (10, 3, 10, 1024 * 1024), (10, 4, 21, 512 * 1024), (10, 5, 21, 512 * 1024)]
+    assert got == sorted(one * 2)  # the query is there twice, and its copy is a candidate
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in knn.top_k(df, df.where("vec_id = 0"), 2).collect()] == [(0, 1, 1, 943104 // 1024 * 1024), (0, 2, 1, 524288)]
+
+
+def test_repeated_ids_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), [rng.choice([0.25, 0.5, -1.0, 2.0]) for _ in range(3)]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 10 == 0:
+            scores = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(v, w, strict=True)), i) for n, (i, w) in enumerate(rows) if n != at)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:6])]
+    got = [tuple(r) for r in knn.top_k(df, df.where("vec_id % 10 = 0"), 6, pivots=5).collect()]
+    assert sorted(got) == sorted(want)
+    outside = spark.createDataFrame([(3, [7.0, 0.0, 0.0]), (3, [7.0, 0.0, 0.0])], df.schema)
+    scores = sorted((-7168 * int(1024 * w[0]), i) for i, w in rows)[:2]
+    assert sorted(tuple(r) for r in knn.top_k(df, outside, 2).collect()) == sorted([(3, r + 1, i, -s) for r, (s, i) in enumerate(scores)] * 2)

@@ -142,29 +142,42 @@ def _solve(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 10_000]) for c in best], names=["query_id", "score", "vec_id"])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int | None = None) -> DataFrame:
-    """``(query_id, rank int from 1, vec_id, score)``: for each query its ``k`` best of ``vectors``, but for those with its own id.
-
-    Vectors become integers by ``floor(1024 * x)``. Ties go to the smaller id. A query without another usable vector has
-    no row; fewer than ``k`` others give fewer rows. Vectors of different lengths are compared as if they ended in zeros. Ids
-    are whole numbers; of rows that share an id, the one with the least vector counts. ``ValueError`` if the largest squared length of the
-    integer vectors reaches 2^63, as their products might not be whole then.
-    """
-    spark = vectors.sparkSession
-    data = usable(vectors, id_column, vector_column)
-    asked = usable(queries, id_column, vector_column).groupBy("id").agg(F.min("v").alias("v"))
-    if not data.groupBy("id").count().where("count > 1").isEmpty():  # only ids are shuffled to find out
-        data = data.groupBy("id").agg(F.min("v").alias("v"))
+def _limits(cells: list, summary: list, centres: np.ndarray, k: int) -> pa.Table:
+    """``(cell, q_cell, groups, need)``: for each cell of queries and each cell of data the distance from its pivot that a block's farthest vector needs, at least, to matter."""
+    dim = centres.shape[1]
+    ends = centres[[r.cell for r in summary]].reshape(-1, dim)
+    near, lengths, norms = np.array([r.distance for r in summary], np.float64), np.linalg.norm(ends, axis=1), np.linalg.norm(centres, axis=1)
+    out = []
+    for s in range(0, len(cells), 64):
+        part = cells[s : s + 64]
+        # a query q of a cell has q.c >= p.c - radius * |c|, with p the cell's own pivot
+        own, radius, norm = centres[[r.cell for r in part]], np.array([r.radius for r in part])[:, None], np.array([r.norm for r in part])[:, None]
+        least = np.full((len(part), 1), -np.inf)
+        if len(near) > k:
+            sure = own @ ends.T - radius * lengths - norm * near
+            least = np.partition(sure, -(k + 1), axis=1)[:, -(k + 1)][:, None]
+        most = own @ centres.T + radius * norms
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.where(norm > 0, (least - most) / norm, np.where(least <= most, -1.0, np.inf))
+        need = need - 1e-6 * (1 + np.abs(need)) - 1e-3
+        i, j = np.nonzero(need < np.inf)
+        cell, groups = np.array([r.cell for r in part], np.int32), np.array([r.groups for r in part], np.int32)
+        out.append(pa.table({"cell": pa.array(j.astype(np.int32)), "q_cell": cell[i], "groups": groups[i], "need": need[i, j]}))
+    return pa.concat_tables(out)
+
+
+def _search(data: DataFrame, asked: DataFrame, k: int, pivots: int | None) -> DataFrame | None:
+    """``(query_id, rank, vec_id, score)`` for rows ``(id, v)`` whose ids are unique; a query with the id of a row isn't compared with it. None without a vector."""
+    spark = data.sparkSession
     square = lambda df: df.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x)), F.count("*")).first()
     (dim, largest, n), (own, longest, _) = square(data), square(asked)
     dim = max(dim or 0, own or 0)
     if (largest or 0.0) ** 0.5 * (longest or 0.0) ** 0.5 >= 2.0**63 * (1 - 1e-6):
         raise ValueError("inner products of these vectors may not fit into 64 bits")
     pivots = pivots or min(PIVOTS[1], max(PIVOTS[0], int(n**0.5 / 8)))
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
-    if not dim:
-        return spark.createDataFrame([], schema)
-    sample = data.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # bounded by ``pivots``
+    sample = data.orderBy(F.xxhash64("id"), "id").limit(pivots).collect() if dim else []  # bounded by ``pivots``
+    if not sample:
+        return None
     centres = np.unique(np.array([[*r.v, *[0] * (dim - len(r.v))] for r in sample], np.float64), axis=0)
     blocks, packs = materialise(_packed(data, centres, BLOCK)), materialise(_packed(asked, centres, PACK))
 
@@ -180,18 +193,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     summary = blocks.select("cell", "distances").mapInArrow(nearest, "cell int, distance double").withColumn("n", F.row_number().over(window)).where(F.col("n") <= k + 1).collect()
     groups = F.ceil(F.sum(F.octet_length("ids") / 8) / GROUP).cast("int").alias("groups")
     cells = packs.groupBy("cell").agg(F.max("farthest").alias("radius"), F.max("norm").alias("norm"), groups).collect()
-    limits = []
-    for row in cells:
-        # a query q of this cell has q.c >= p.c - radius * |c|, with p the cell's own pivot
-        p = centres[row.cell]
-        sure = sorted((p @ centres[s.cell] - row.radius * np.linalg.norm(centres[s.cell]) - row.norm * s.distance for s in summary), reverse=True)
-        least = sure[k] if len(sure) > k else -np.inf
-        most = centres @ p + row.radius * np.linalg.norm(centres, axis=1)
-        for c in range(len(centres)):
-            # the farthest that a block's farthest vector has to be, at least, to matter here
-            need = (least - most[c]) / row.norm if row.norm else (-1.0 if least <= most[c] else np.inf)
-            limits.append((int(c), int(row.cell), row.groups, float(need - 1e-6 * (1 + abs(need)) - 1e-3)))
-    limits = spark.createDataFrame(limits, "cell int, q_cell int, groups int, need double").where(F.col("need") < float("inf"))
+    if not cells:
+        return None
+    limits = spark.createDataFrame(_limits(cells, summary, centres, k))
     sent = blocks.join(F.broadcast(limits), "cell").where(F.col("farthest") >= F.col("need"))
     sent = sent.select("q_cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("q_group"), "ids", "rows")
     dealt = spark.createDataFrame([(int(r.cell), r.groups) for r in cells], "cell int, groups int")
@@ -199,3 +203,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     found = sent.join(asked, ["q_cell", "q_group"]).mapInArrow(lambda b: _solve(b, dim, k), "query_id long, score long, vec_id long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _numbered(data: DataFrame) -> DataFrame:
+    """``data`` with ``row``, a number of its own for each row, in the order of ids."""
+    ranged = materialise(data.repartitionByRange("id", F.xxhash64("v")).withColumn("part", F.spark_partition_id().cast("long")))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id", F.xxhash64("v"), "v"))
+    return materialise(ranged.select("id", "v", (F.col("part") * (1 << 33) + place).alias("row")))
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int | None = None) -> DataFrame:
+    """``(query_id, rank int from 1, vec_id, score)``: for each query its ``k`` best of the rows of ``vectors``, but for its own row.
+
+    Vectors become integers by ``floor(1024 * x)``. Ties go to the smaller id. A query without another usable vector has
+    no row; fewer than ``k`` others give fewer rows. Vectors of different lengths are compared as if they ended in zeros. Ids
+    are whole numbers. Rows that share an id are rows of their own: each is a candidate, and a query's own row is one with its id and (integer) vector; a query that is
+    there twice has its rows twice. ``ValueError`` if the largest squared length of the integer vectors reaches 2^63, as their products might not be whole then.
+    """
+    spark = vectors.sparkSession
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    none = spark.createDataFrame([], schema)
+    data, asked = usable(vectors, id_column, vector_column), usable(queries, id_column, vector_column)
+    once = lambda df: df.groupBy("id").count().where("count > 1").isEmpty()  # only ids are shuffled to find out
+    if once(data) and once(asked):
+        found = _search(data, asked, k, pivots)
+        return none if found is None else found
+    rows = _numbered(data)
+    own = rows.groupBy("id", "v").agg(F.min("row").alias("row"))
+    # queries that aren't rows of the data have numbers of their own, below all others
+    asked = asked.groupBy("id", "v").agg(F.count("*").cast("int").alias("copies")).join(own, ["id", "v"], "left")
+    asked = materialise(asked.withColumn("row", F.coalesce("row", -1 - F.monotonically_increasing_id())))
+    found = _search(rows.select(F.col("row").alias("id"), "v"), asked.select(F.col("row").alias("id"), "v"), k, pivots)
+    if found is None:
+        return none
+    named = found.join(rows.select(F.col("row").alias("vec_id"), F.col("id").alias("own_id")), "vec_id").drop("vec_id")
+    named = named.join(asked.select(F.col("row").alias("query_id"), F.col("id").alias("asked_id"), "copies"), "query_id")
+    return named.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(F.col("asked_id").alias("query_id"), "rank", F.col("own_id").alias("vec_id"), "score")

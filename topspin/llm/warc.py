@@ -203,8 +203,8 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder for bundles in the shared folder."""
-    folder = f"{shared_dir(spark)}/topspin/warc-{uuid.uuid4().hex}"
+    """A new folder for bundles below the application's folder, which goes when the application ends."""
+    folder = f"{shared_dir(spark)}/topspin/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
     return folder
