@@ -142,3 +142,40 @@ def unfinished_last_set(score: Column) -> Column:
 def compressed_sets(score: Column) -> Column:
     """Sets in which a tie-break's points stand right behind the games (``64 7-64``): games are the first digit of each side."""
     return F.transform(F.split(F.trim(score), r"\s+"), lambda t: F.regexp_replace(t, r"^(\d)-?(\d)(\d*)$", "$1-$2"))
+
+
+def _sets(a: Column, b: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """The sets that both sides have, joined by blanks."""
+    n = F.least(F.size(a), F.size(b))
+    return F.array_join(F.transform(F.arrays_zip(F.slice(a, F.lit(1), n).alias("a"), F.slice(b, F.lit(1), n).alias("b")), lambda x: one(x["a"], x["b"])), " ")
+
+
+def compressed_score(a: Column, b: Column) -> Column:
+    """A score of two lists of cells in which a lost tie-break's points stand right behind the games (``64`` against ``7``: 6-7(4)); cells without a digit stay as they are."""
+
+    def one(x: Column, y: Column) -> Column:
+        da, db = (F.regexp_replace(c, r"\D", "") for c in (x, y))
+        lost = lambda own, other: own.rlike(r"^6\d+$") & (other == "7")
+        points = lambda own: F.concat(F.lit("("), F.substr(own, F.lit(2)), F.lit(")"))
+        return (
+            F.when((da == "") | (db == ""), F.concat(x, F.lit("-"), y)).when(lost(da, db), F.concat(F.lit("6-7"), points(da)))
+            .when(lost(db, da), F.concat(F.lit("7-6"), points(db))).otherwise(F.concat(da, F.lit("-"), db))
+        )
+
+    return _sets(a, b, one)
+
+
+def item_score(items: Column) -> Column:
+    """A score of result items: first one side's sets, then the other's; games are a cell's first character, a tie-break stands in brackets. Empty where the sides can't be told apart."""
+    full = F.filter(items, lambda x: F.coalesce(x, F.lit("")) != "")
+    half = (F.size(full) / 2).cast("int")
+    points = lambda x: F.regexp_extract(x, r"\((\d+)\)", 1)
+    tie = lambda x, y: F.when(points(x) != "", points(x)).when(points(y) != "", points(y))
+    one = lambda x, y: F.concat(F.substring(x, 1, 1), F.lit("-"), F.substring(y, 1, 1), F.coalesce(F.concat(F.lit("("), tie(x, y), F.lit(")")), F.lit("")))
+    return F.when((F.size(full) > 0) & (F.size(full) % 2 == 0), _sets(F.slice(full, F.lit(1), half), F.slice(full, half + 1, half), one)).otherwise("")
+
+
+def cell_score(a: Column, b: Column) -> Column:
+    """A score of two lists of table cells ``games`` or ``games tiebreak`` (as structs ``games``, ``points``): the points of the first side that shows some."""
+    one = lambda x, y: F.concat(x["games"], F.lit("-"), y["games"], F.coalesce(F.concat(F.lit("("), F.coalesce(x["points"], y["points"]), F.lit(")")), F.lit("")))
+    return _sets(a, b, one)

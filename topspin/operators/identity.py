@@ -314,14 +314,26 @@ def merge_targets(redirects: DataFrame) -> DataFrame:
 
 
 def merge_players(redirects: DataFrame, matches: DataFrame, aliases: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Matches, aliases and states after all merges: ids remapped, repeated aliases dropped, merged players' states gone."""
-    to = merge_targets(redirects)
+    """Matches, aliases and states after all merges: ids remapped, repeated aliases dropped, merged players' states gone.
+
+    If matches have ``elo_needs_recompute``, it is set for all of the players who stay.
+    """
+    to = durable(merge_targets(redirects))
     matches = remap(matches, to, ["player_a_id", "player_b_id", "winner_id"])
+    if "elo_needs_recompute" in matches.columns:
+        matches = _to_recompute(matches, to.select(F.col("to_id").alias("player_id")))
     aliases = remap(aliases, to, ["player_id"])
     aliases = first_by(aliases, ["alias", "source"], [F.col("player_id")])
     return matches, aliases, states.join(to.select(F.col("from_id").alias("player_id")), "player_id", "left_anti")
 
 
+def _to_recompute(matches: DataFrame, players: DataFrame) -> DataFrame:
+    """``matches`` with ``elo_needs_recompute`` set for those of ``players`` (``player_id``)."""
+    hit = sides(matches, "id").join(players.distinct(), "player_id", "left_semi").select("id", F.lit(True).alias("_hit")).distinct()
+    rows = matches.join(hit, "id", "left").withColumn("elo_needs_recompute", F.coalesce("_hit", "elo_needs_recompute"))
+    return rows.select(*matches.columns)
+
+
 def merge_profiles(redirects: DataFrame, players: DataFrame, columns: tuple[str, ...] = ("atp_id", "wta_id")) -> tuple[DataFrame, DataFrame]:
     """Players after all merges, and the audit records (``keep_id``, ``merge_id``, ``merged_name``).
 
@@ -411,6 +423,43 @@ def split_mixed(star: DataFrame, counts: DataFrame) -> DataFrame:
     return sides(star, "id", "t_gender").join(both, "player_id").where(F.col("t_gender") == F.col("new_gender")).select("id", "side", "player_id", "new_gender")
 
 
+def apply_split(star: DataFrame, counts: DataFrame, matches: DataFrame, players: DataFrame, aliases: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Matches, players, aliases and states after ``split_mixed()``: a new player takes the other gender's sides.
+
+    The new one's id is a hash of the old one's; the name is the initial and the last name, its normalised form is an alias, and what is known of the person is copied, but
+    no external id. Both players' states go, and their matches are flagged, if matches have ``elo_needs_recompute``.
+    """
+    moved = durable(split_mixed(star, counts).withColumn("new_id", F.xxhash64(F.lit("split"), "player_id")))
+    out = matches
+    for side in "ab":
+        own = moved.where(F.col("side") == side.upper()).select("id", F.col("player_id").alias("_old"), F.col("new_id").alias("_new"))
+        rows = out.join(own, "id", "left").withColumn(f"player_{side}_id", F.coalesce("_new", f"player_{side}_id"))
+        out = rows.withColumn("winner_id", F.when(F.col("winner_id") == F.col("_old"), F.col("_new")).otherwise(F.col("winner_id"))).select(*matches.columns)
+    who = durable(moved.select("player_id", "new_id", "new_gender").distinct())
+    name = F.lower(F.col("name"))
+    short = F.concat(F.upper(F.substring(name, 1, 1)), F.lit(". "), F.initcap(last_name(name)))
+    ids = [c for c in ("atp_id", "wta_id", "itf_id") if c in players.columns]
+    made = players.join(who, players["id"] == who["player_id"]).withColumns({"id": F.col("new_id"), "name": short} | {c: F.lit(None).cast("string") for c in ids})
+    new_aliases = made.select(F.col("id").alias("player_id"), F.lower("name").alias("alias"), F.concat(F.lit("split_"), "new_gender", F.lit("_"), "id").alias("source"))
+    both = who.select("player_id").unionByName(who.select(F.col("new_id").alias("player_id")))
+    if "elo_needs_recompute" in out.columns:
+        out = _to_recompute(out, both)
+    return out, players.unionByName(made.select(*players.columns)), aliases.unionByName(new_aliases.select(*aliases.columns)), states.join(both, "player_id", "left_anti")
+
+
+def full_aliases(players: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(id, name)``: for players with an abbreviated name the full alias that it abbreviates, the one with the longest first word, then the longest."""
+    rows = players.select("id", "name").join(aliases.select(F.col("player_id").alias("id"), "alias"), "id").where(fuller(F.col("name"), F.col("alias")))
+    return rows.groupBy("id").agg(F.max_by("alias", F.struct(F.length(first_name(F.col("alias"))), F.length("alias"), "alias")).alias("name"))
+
+
+def repaired_names(players: DataFrame, aliases: DataFrame, threshold: float = STRONG_MATCH) -> DataFrame:
+    """``players`` (``name`` normalised) whose abbreviated names have been made full: by an alias of their own, else by the one other player's name that fits."""
+    own = durable(full_aliases(players, aliases))
+    others = full_names_of_others(players, threshold).join(own.select("id"), "id", "left_anti")
+    return fill_null(players, own.unionByName(others), "id", ["name"], overwrite=True)
+
+
 def repaired_winners(matches: DataFrame, parsed_winner: Column) -> DataFrame:
     """``(id, winner_id)`` of matches whose winner isn't the one that the score tells of."""
     told = F.when(parsed_winner == "A", F.col("player_a_id")).when(parsed_winner == "B", F.col("player_b_id"))

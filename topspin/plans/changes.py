@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topspin.functions import domain
-from topspin.operators import geo, identity, ingest, matches, rating, tables
+from topspin.operators import geo, identity, ingest, matches, rankings, rating, tables
 from topspin.plans.registry import query
 from topspin.plans.relational import _QUEUE, _now, queue
 from topspin.schema import ROUND_ORDER
@@ -90,6 +90,70 @@ def merged_queue(spark, sf_dir):
     return identity.merge_queue(_merges(spark, sf_dir), items).select("id", F.array_join("suggested", " ").alias("suggested"))
 
 
+@query(WITH + _MERGED + """, t AS (SELECT p.id, coalesce(d.keep_id, p.id) AS to_id FROM p LEFT JOIN d ON d.merge_id = p.id)
+    SELECT m.id, a.to_id AS player_a_id, b.to_id AS player_b_id, w.to_id AS winner_id, m.id % 9 = 0 OR a.to_id IN (SELECT keep_id FROM d) OR b.to_id IN (SELECT keep_id FROM d) AS elo_needs_recompute
+    FROM m LEFT JOIN t AS a ON a.id = player_a_id LEFT JOIN t AS b ON b.id = player_b_id LEFT JOIN t AS w ON w.id = winner_id""")
+def merged_matches(spark, sf_dir):
+    rows = store.matches(spark, sf_dir).select("id", "player_a_id", "player_b_id", "winner_id", (F.col("id") % 9 == 0).alias("elo_needs_recompute"))
+    known = store.players(spark, sf_dir).select(F.lit(None).cast("long").alias("player_id"), F.col("name").alias("alias"), F.lit("x").alias("source")).limit(0)
+    return identity.merge_players(_merges(spark, sf_dir), rows, known, store.states(spark, sf_dir))[0]
+
+
+@query(WITH + _MERGED + """, x AS (SELECT id AS player_id, 'name ' || CAST(id // 10 AS VARCHAR) AS alias, CASE WHEN id % 2 = 0 THEN 'atp' ELSE 'wta' END AS source FROM p), y AS (SELECT coalesce(keep_id, player_id) AS player_id, alias, source FROM x LEFT JOIN d ON d.merge_id = x.player_id)
+    SELECT min(player_id) AS player_id, alias, source FROM y GROUP BY alias, source""")
+def merged_aliases(spark, sf_dir):
+    """Aliases of merged players go to those who stay; of one alias and source the least player's stays."""
+    known = store.players(spark, sf_dir).select(F.col("id").alias("player_id"), F.concat(F.lit("name "), F.floor(F.col("id") / 10).cast("string")).alias("alias"), F.when(F.col("id") % 2 == 0, "atp").otherwise("wta").alias("source"))
+    return identity.merge_players(_merges(spark, sf_dir), store.matches(spark, sf_dir), known, store.states(spark, sf_dir))[1]
+
+
+@query(WITH + _MERGED + " SELECT player_id FROM st WHERE player_id NOT IN (SELECT merge_id FROM d)")
+def merged_states(spark, sf_dir):
+    known = store.players(spark, sf_dir).select(F.lit(None).cast("long").alias("player_id"), F.col("name").alias("alias"), F.lit("x").alias("source")).limit(0)
+    return identity.merge_players(_merges(spark, sf_dir), store.matches(spark, sf_dir), known, store.states(spark, sf_dir))[2].select("player_id")
+
+
+_SIDES = """, z AS (SELECT m.*, tn.gender FROM m JOIN ed ON ed.id = edition_id JOIN tn ON tn.id = tournament_id), s AS (SELECT player_a_id AS pid, gender FROM z UNION ALL SELECT player_b_id, gender FROM z),
+    c AS (SELECT pid, count(*) FILTER (gender = 'men') AS men, count(*) FILTER (gender = 'women') AS women FROM s GROUP BY pid), g AS (SELECT pid, CASE WHEN men >= women THEN 'women' ELSE 'men' END AS other FROM c WHERE men > 0 AND women > 0)"""
+
+
+def _split_up(spark, sf_dir):
+    rows = store.matches(spark, sf_dir)
+    events = matches.star(rows, store.editions(spark, sf_dir), store.tournaments(spark, sf_dir))
+    players = store.players(spark, sf_dir)
+    return identity.apply_split(events, rankings.gender_counts(events), rows, players, identity.empty_aliases(spark), store.states(spark, sf_dir))
+
+
+@query(WITH + _SIDES + """ SELECT z.id, CASE WHEN a.pid IS NULL THEN player_a_id END AS player_a_id, CASE WHEN b.pid IS NULL THEN player_b_id END AS player_b_id,
+    CASE WHEN winner_id = player_a_id AND a.pid IS NOT NULL THEN 'a' WHEN winner_id = player_b_id AND b.pid IS NOT NULL THEN 'b' WHEN winner_id IS NOT NULL THEN 'old' END AS winner FROM z LEFT JOIN g AS a ON a.pid = player_a_id AND a.other = gender LEFT JOIN g AS b ON b.pid = player_b_id AND b.other = gender""")
+def split_matches(spark, sf_dir):
+    """Matches after players of two genders have been split; sides of new players are null, as their ids are hashes."""
+    done = _split_up(spark, sf_dir)[0]
+    old = store.players(spark, sf_dir).select(F.col("id").alias("_id"))
+    for side in ("a", "b", "w"):
+        column = "winner_id" if side == "w" else f"player_{side}_id"
+        done = done.join(old.withColumnRenamed("_id", f"_{side}"), F.col(column) == F.col(f"_{side}"), "left")
+    winner = F.when(F.col("winner_id").isNull(), None).when(F.col("_w").isNotNull(), "old").when(F.col("winner_id") == F.col("player_a_id"), "a").otherwise("b")
+    return done.select("id", F.col("_a").alias("player_a_id"), F.col("_b").alias("player_b_id"), winner.alias("winner"))
+
+
+@query(WITH + _SIDES + " SELECT upper(p.name[1]) || '. ' || upper(p.name[1]) || lower(substr(p.name, 2)) AS name, p.nationality, p.height_cm, g.other AS new_gender FROM g JOIN p ON p.id = g.pid")
+def split_profiles(spark, sf_dir):
+    """The players that splits have made: initial and last name, and what was known of the person."""
+    _, players, aliases, _ = _split_up(spark, sf_dir)
+    made = players.join(aliases.select(F.col("player_id").alias("id"), F.split("source", "_")[1].alias("new_gender")), "id")
+    return made.where("atp_id IS NULL AND wta_id IS NULL").select("name", "nationality", "height_cm", "new_gender")
+
+
+@query(WITH + " SELECT id, CASE id % 4 WHEN 0 THEN 'jonathan x' || CAST(id AS VARCHAR) WHEN 1 THEN 'j. x' || CAST(id AS VARCHAR) ELSE 'bo x' || CAST(id AS VARCHAR) END AS name FROM p")
+def repaired_names(spark, sf_dir):
+    """Abbreviated names with full aliases of which one fits best, and others that have none."""
+    key = F.col("id").cast("string")
+    players = store.players(spark, sf_dir).select("id", F.when(F.col("id") % 4 < 2, F.concat(F.lit("j. x"), key)).otherwise(F.concat(F.lit("bo x"), key)).alias("name"))
+    forms = F.when(F.col("id") % 4 == 0, F.array(F.concat(F.lit("jon x"), key), F.concat(F.lit("jonathan x"), key), F.concat(F.lit("alexander x"), key), F.concat(F.lit("j. x"), key))).otherwise(F.array(F.concat(F.lit("other y"), key)))
+    return identity.repaired_names(players, players.select(F.col("id").alias("player_id"), F.explode(forms).alias("alias")))
+
+
 # Ingestion
 
 _RANK = "CASE WHEN status IN ('upcoming', 'scheduled') THEN 0 WHEN status = 'cancelled' THEN 2 ELSE 1 END"
@@ -162,6 +226,15 @@ def advanced_byes(spark, sf_dir):
     return ingest.propagate(store.matches(spark, sf_dir), _draw(spark, sf_dir))
 
 
+@query(WITH + """, r AS (SELECT *, edition_id || '|' || round || '|' || least(player_a_id, player_b_id) || '|' || greatest(player_a_id, player_b_id) AS pair FROM m), k AS (SELECT * FROM r WHERE status IN ('completed', 'retired') AND id % 2 = 0)
+    SELECT id, status, winner_id, score, external_id FROM m""")
+def results_of_history(spark, sf_dir):
+    """Results that are read again for what is stored change nothing without ``update_existing``."""
+    rows = store.matches(spark, sf_dir)
+    results = rows.where("status IN ('completed', 'retired') AND id % 2 = 0").withColumns({"score": F.lit("6-0 6-0"), "winner_id": F.col("player_b_id"), "external_id": F.concat(F.lit("again_"), F.col("id"))})
+    return ingest.ingest_results(rows, results, F.col("id"), update_existing=False).select("id", "status", "winner_id", "score", "external_id")
+
+
 @query(WITH + """, r AS (SELECT *, edition_id + 1000 AS e, edition_id || '|' || round || '|' || least(player_a_id, player_b_id) || '|' || greatest(player_a_id, player_b_id) || '|' || coalesce(CAST(match_date AS VARCHAR), '') AS key FROM m WHERE status IN ('completed', 'retired')),
     k AS (SELECT * FROM r WHERE id IN (SELECT min(id) FROM r GROUP BY key)), x AS (SELECT edition_id, status FROM m UNION ALL SELECT e, CASE WHEN score = 'W/O' THEN 'walkover' WHEN score LIKE '%RET' THEN 'retired' ELSE 'completed' END FROM k)
     SELECT edition_id, status, count(*) AS n FROM x GROUP BY edition_id, status""")

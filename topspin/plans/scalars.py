@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topspin.functions import dates, domain, names
+from topspin.functions import dates, domain, names, scores
 from topspin.operators import ingest
 from topspin.plans.registry import query
 from topspin.sources import store
@@ -149,3 +149,22 @@ def trigram_similarity(spark, sf_dir):
     s, c = store.raw(spark, sf_dir, "supplier"), store.raw(spark, sf_dir, "customer")
     rows = c.join(s, F.col("s_suppkey") == F.col("c_custkey")).select("c_custkey", names.trigrams(F.col("c_name")).alias("a"), names.trigrams(F.col("s_name")).alias("b"))
     return rows.select("c_custkey", F.round(names.trigram_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INTEGER) % 7 AS q FROM lineitem)
+    SELECT k, n, CASE q WHEN 0 THEN '6-7(4) 6-3' WHEN 1 THEN '7-6(10) 6-3' WHEN 2 THEN '76-6 6-3' WHEN 3 THEN '-6 6-3' ELSE CAST(q AS VARCHAR) || '-6 6-3' END AS compressed,
+           CASE WHEN q = 0 THEN '' ELSE '7-6(5) ' || CAST(q AS VARCHAR) || '-1' END AS items, CASE WHEN q % 2 = 0 THEN '6-7(3)' ELSE '6-' || CAST(q AS VARCHAR) END AS cells FROM x""")
+def built_scores(spark, sf_dir):
+    """Scores put together from what the sources show of each side's sets."""
+    q = (F.col("l_quantity").cast("int") % 7).alias("q")
+    rows = store.raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), q)
+    q = F.col("q")
+    first = F.when(q == 0, "64").when(q == 1, "7").when(q == 2, "76").when(q == 3, "").otherwise(q.cast("string"))
+    other = F.when(q == 0, "7").when(q == 1, "610").otherwise("6")
+    items = F.when(q == 0, F.array(F.lit("7"), F.lit("6"), F.lit("1"))).otherwise(F.array(F.lit("7"), F.concat(q.cast("string"), F.lit("")), F.lit("6(5)"), F.lit(""), F.lit("1")))
+    cell = lambda games, points: F.array(F.struct(games.alias("games"), points.alias("points")))
+    even = q % 2 == 0
+    return rows.select(
+        "k", "n", scores.compressed_score(F.array(first, F.lit("6")), F.array(other, F.lit("3"), F.lit("9"))).alias("compressed"), scores.item_score(items).alias("items"),
+        scores.cell_score(cell(F.lit("6"), F.when(even, "3")), cell(F.when(even, "7").otherwise(q.cast("string")), F.lit(None).cast("string"))).alias("cells"),
+    )

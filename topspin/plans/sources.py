@@ -169,3 +169,75 @@ def propagated_brackets(spark, sf_dir):
     quarter = ingest.propagate(held.where("round <> 'QF' OR draw_position % 2 = 1"))
     semi = ingest.propagate(held.where("round <> 'SF' OR draw_position % 2 = 1"))
     return quarter.unionByName(semi).select("edition_id", "round", "draw_position", "player_a_id", "player_b_id")
+
+
+@query("""WITH x AS (SELECT n_nationkey AS page_id, k, CASE k WHEN 0 THEN 'Centre' WHEN 4 THEN 'Court 1' END AS place FROM nation, range(6) AS t(k)),
+    d AS (SELECT *, CASE WHEN k < 4 THEN 'Centre' ELSE 'Court 1' END AS court FROM x)
+    SELECT page_id, court, CASE k WHEN 5 THEN 'SF' ELSE 'QF' END AS round, 'A' || CAST(k AS VARCHAR) AS player_a, 'B' || CAST(k AS VARCHAR) AS player_b, 'A' || CAST(page_id AS VARCHAR) AS player_a_external_id,
+           CASE k WHEN 0 THEN '2024-01-05' WHEN 2 THEN '2024-01-06' WHEN 3 THEN '2024-01-06' WHEN 4 THEN '2024-01-05' ELSE '2024-01-06' END AS scheduled_date,
+           CASE k WHEN 0 THEN '21:30' WHEN 2 THEN '01:30' WHEN 3 THEN '14:00' WHEN 4 THEN '23:00' ELSE '01:00' END AS scheduled_time FROM d WHERE k <> 1""")
+def daily_schedule(spark, sf_dir):
+    """Two courts: a start, a double and a single that follow it past midnight, a start of its own; and a start by the stamp that is followed."""
+    def block(k, court="", when="", time="", kind="Quarterfinals", double=False):
+        team = lambda mark, name, href: f'<div class="{mark}"><div class="names">' + "".join(f'<div class="name"><a href="{href}">{name}</a></div>' for _ in range(2 if double else 1)) + "</div></div>"
+        head = f'<div class="schedule-header"><div class="schedule-location-timestamp"><span>{court and f"<strong>{court}</strong>"}<span class="matchtime">{time}</span></span></div></div>'
+        return _text(f'<div class="schedule" {when}>{head}<div class="schedule-content"><div class="schedule-type">{kind}</div><div class="schedule-players">', '<div class="player"><div class="names"><div class="name"><a href="/en/players/x/a', F.col("n_nationkey").cast("string"), f'/overview">A{k}</a></div>' + ('<div class="name"><a>Z</a></div>' if double else "") + "</div></div>", team("opponent", f"B{k}", "/en/players/y/b1/overview"), "</div></div></div>")
+
+    follows = 'data-matchdate="2024-01-05" data-suffix="Followed By"'
+    html = _text(
+        '<div class="content-group">', block(0, "Centre", 'data-matchdate="2024-01-05"', "9:30 PM"), block(1, "", follows, double=True), block(2, "", follows), block(3, "", 'data-matchdate="2024-01-06"', "Not before 2 PM"), "</div>",
+        '<div class="content-group">', block(4, "Court 1", 'data-datetime="2024-01-05 23:00:00"'), block(5, "", "", "Followed by", "Semifinals"), '</div><div class="schedule">empty</div>',
+    )
+    rows = store.raw(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), html.alias("html"))
+    return layouts.daily_schedule(rows).select("page_id", "court", "round", "player_a", "player_b", "player_a_external_id", "scheduled_date", "scheduled_time")
+
+
+@query("""SELECT n_nationkey AS page_id, CASE WHEN n_nationkey % 5 = 0 THEN 'City ' || CAST(n_nationkey AS VARCHAR) ELSE n_name END AS name, CASE n_nationkey % 4 WHEN 0 THEN 'Masters 1000' WHEN 1 THEN 'ATP 500' WHEN 2 THEN 'Challenger' ELSE 'ATP 250' END AS level,
+    CASE n_nationkey % 3 WHEN 0 THEN 'Clay' WHEN 1 THEN 'Grass' ELSE 'Hard' END AS surface, CASE WHEN n_nationkey % 3 = 1 THEN 'Here' ELSE '' END AS location FROM nation""")
+def tournament_info(spark, sf_dir):
+    key = F.col("n_nationkey")
+    html = _text(
+        "<body>", F.when(key % 5 != 0, _text("<h1>", F.col("n_name"), "</h1>")).otherwise(""), F.when(key % 4 == 0, '<img src="x/banner_1000.png">').when(key % 4 == 1, "<p>an ATP 500 event</p>").when(key % 4 == 2, "<p>Challenger Tour</p>").otherwise("<p>play</p>"),
+        F.when(key % 3 == 0, '<span class="surface">Red clay</span>').when(key % 3 == 1, '<ul class="td_left"><li><span>Surface</span><span>Grass (outdoor)</span></li><li><span>City</span><span>Here</span></li></ul>').otherwise(""), "</body>",
+    )
+    rows = store.raw(spark, sf_dir, "nation").select(key.alias("page_id"), _text("city-", key.cast("string")).alias("code"), html.alias("html"))
+    return layouts.tournament_info(rows).select("page_id", "name", "level", "surface", "location")
+
+
+@query("""SELECT n_nationkey AS page_id, 'city-' || CAST(n_nationkey AS VARCHAR) AS code, CASE WHEN n_nationkey % 2 = 0 THEN CAST(300 + n_nationkey AS VARCHAR) END AS number, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'Masters 1000' ELSE 'ATP 250' END AS level, 'Clay' AS surface,
+    DATE '2024-01-14' + CAST(n_nationkey AS INTEGER) AS start_date, CASE WHEN n_nationkey % 4 <> 0 THEN DATE '2024-01-21' + CAST(n_nationkey AS INTEGER) END AS end_date FROM nation""")
+def old_archive(spark, sf_dir):
+    key = F.col("n_nationkey")
+    day = lambda d: F.date_format(F.date_add(F.lit(d).cast("date"), key.cast("int")), "yyyy.MM.dd")
+    href = F.when(key % 2 == 0, _text("/en/scores/archive/city-", key.cast("string"), "/", (300 + key).cast("string"), "/2024/results")).otherwise(_text("/en/tournaments/city-", key.cast("string"), "/overview"))
+    html = _text(
+        '<table><tr class="tourney-result"><td><img src="', F.when(key % 3 == 0, "m_1000.png").otherwise("x.png"), '"></td><td><a href="', href, '">x</a><span class="tourney-title">', F.col("n_name"), '</span><span class="tourney-location">There</span><span class="tourney-dates">',
+        day("2024-01-14"), F.when(key % 4 != 0, _text(" - ", day("2024-01-21"))).otherwise(""), '</span></td><td class="tourney-details">Outdoor Clay</td></tr><tr class="tourney-result"><td>no link</td></tr></table>',
+    )
+    rows = store.raw(spark, sf_dir, "nation").select(key.alias("page_id"), html.alias("html"))
+    return layouts.old_archive(rows).select("page_id", "code", "number", "name", "level", "surface", "start_date", "end_date")
+
+
+@query("""SELECT c_custkey AS page_id, DATE '1990-01-01' + CAST(c_custkey % 5000 AS INTEGER) AS birth_date, CASE WHEN c_custkey % 2 = 0 THEN CAST(160 + c_custkey % 40 AS INTEGER) ELSE 182 END AS height_cm, CASE WHEN c_custkey % 2 = 0 THEN CAST(2000 + c_custkey % 20 AS INTEGER) END AS turned_pro_year,
+    CASE WHEN c_custkey % 3 = 0 THEN 'Left' ELSE 'Right' END AS hand, CASE WHEN c_custkey % 2 = 0 THEN 'Two-Handed' END AS backhand, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 'Spain' ELSE 'Russia' END END AS nationality FROM customer""")
+def profile_fields(spark, sf_dir):
+    """Two layouts; some pages hide the country behind the birthplace."""
+    key = F.col("c_custkey")
+    born = F.date_add(F.lit("1990-01-01").cast("date"), (key % 5000).cast("int"))
+    hand = F.when(key % 3 == 0, "Left").otherwise("Right")
+    item = lambda label, value: _text(f"<li><span>{label}</span><span>", value, "</span></li>")
+    first = _text('<div class="personal_details"><ul>', item("Age", _text("22 (", F.date_format(born, "yyyy/MM/dd"), ")")), item("Height", _text("6'0 (", (160 + key % 40).cast("string"), "cm)")), item("Turned pro", (2000 + key % 20).cast("string")), item("Plays", _text(hand, "-Handed, Two-Handed Backhand")), item("Country", F.when(key % 4 == 0, "Spain").otherwise("")), item("Birthplace", "Moscow, Russia"), "</ul></div>")
+    block = lambda label, value: _text(f'<div class="profile-bio__info-block"><b class="profile-bio__info-title">{label}</b><i class="profile-bio__info-content">', value, "</i></div>")
+    second = _text(block("Plays", _text(hand, "-Handed")), block("Height", "5' 11 (1.82m)"), block("Age", _text("(", F.date_format(born, "yyyy/MM/dd"), ")")))
+    rows = store.raw(spark, sf_dir, "customer").select(key.alias("page_id"), F.when(key % 2 == 0, first).otherwise(second).alias("html"))
+    return layouts.profile_fields(rows)
+
+
+@query("""SELECT n_nationkey AS page_id, 'W' || CAST(15 + n_nationkey % 3 AS VARCHAR) || '-city-' || CAST(n_nationkey AS VARCHAR) AS code, n_name AS name, CAST(15 + n_nationkey % 3 AS INTEGER) AS prize, DATE '2024-01-01' + CAST(n_nationkey % 20 AS INTEGER) AS start_date FROM nation""")
+def event_list(spark, sf_dir):
+    """Lists of events with their prize in the code."""
+    key = F.col("n_nationkey")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (key % 20).cast("int")), "dd MMM")
+    html = _text('<table><tr><td class="date"><span class="date">', day, ' to 28 Jan 2024</span></td><td><a href="/en/tournament/x/W', (15 + key % 3).cast("string"), "-city-", key.cast("string"), '/"><span class="short">', F.col("n_name"), "</span></a></td></tr></table>")
+    rows = store.raw(spark, sf_dir, "nation").select(key.alias("page_id"), html.alias("html"))
+    return layouts.event_list(rows).select("page_id", "code", "name", "prize", "start_date")

@@ -5,7 +5,9 @@ A small helper finds a page's elements and gives their raw texts; ids, dates, ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,3 +169,151 @@ def order_of_play(pages: DataFrame, hours: int = 2, **columns: str) -> DataFrame
 def checked(results: DataFrame) -> DataFrame:
     """``results`` whose scores can be read, or that need none."""
     return results.where((F.col("score") == "W/O") | (F.size(parse_score(F.col("score"))["sets"]) > 0))
+
+
+def _schedule(root: Node) -> list[tuple]:
+    """Blocks of a daily schedule: the group they stand in, where and when, the round, and the names and addresses of each side."""
+    groups: dict[int, int] = {}
+    for number, group in enumerate(_classed(root, "content-group")):
+        for n in group.walk():
+            groups[id(n)] = number
+    out = []
+    for block in _classed(root, "schedule", "div"):
+        if next(_classed(block, "schedule-header"), None) is None:
+            continue
+        stamp = next(_classed(block, "schedule-location-timestamp"), None)
+        teams = []
+        for people in itertools.islice(_classed(block, "schedule-players"), 1):
+            for mark in ("player", "opponent"):
+                team = next(_classed(people, mark), None)
+                links = [a for name in _classed(team, "name") for a in name.find("a")] if team is not None else []
+                teams.append((links[0].text(), links[0].attrs.get("href", "")) if len(links) == 1 else (None, None))
+        (a, href_a), (b, href_b) = teams if len(teams) == 2 else ((None, None), (None, None))
+        court, time = (_text(stamp.find("strong")), _text(_classed(stamp, "matchtime"))) if stamp is not None else (None, None)
+        attr = block.attrs.get
+        out.append((groups.get(id(block), -1), court, attr("data-matchdate"), attr("data-datetime"), attr("data-suffix"), time or attr("data-displaytime"), _text(_classed(block, "schedule-type")), a, b, href_a, href_b))
+    return out
+
+
+def daily_schedule(pages: DataFrame, hours: int = 2, **columns: str) -> DataFrame:
+    """Singles of a daily schedule: ``court``, ``round``, both players with ids, ``scheduled_date`` and ``scheduled_time``.
+
+    Only a group's first block may tell the court. A match that is ``followed by`` another starts two hours after the one before it on its court, on whatever day; doubles take their
+    time too, but aren't told.
+    """
+    rows = extract(pages, _schedule, "part int, place string, day string, stamp string, suffix string, time string, kind string, player_a string, player_b string, href_a string, href_b string", **columns)
+    key = rows.columns[0]
+    rows = rows.withColumn("court", F.last("place", ignorenulls=True).over(Window.partitionBy(key, "part").orderBy("position")))
+    stamp = F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss"))
+    told = F.coalesce(dates.clock(F.col("time")), dates.clock(F.regexp_replace("time", r"(?i)^\D*(\d{1,2})\s*([ap]m)", "$1:00 $2")))
+    rows = rows.withColumns({"clock": F.coalesce(told, F.date_format(stamp, "HH:mm")), "date": F.coalesce("day", F.when(told.isNull(), F.date_format(stamp, "yyyy-MM-dd")))})
+    after = F.lower(F.concat_ws(" ", "suffix", "time")).contains("followed by")
+    rows = rows.withColumns({"after": after, "start": F.try_to_timestamp(F.concat_ws(" ", "date", "clock"), F.lit("yyyy-MM-dd HH:mm"))})
+    by_court = Window.partitionBy(key, "court").orderBy("position")
+    known = F.col("court").isNotNull() & F.col("start").isNotNull()
+    rows = rows.withColumn("anchor", known & (~F.col("after") | (F.count(F.when(known, 1)).over(by_court) == 1)))
+    rows = rows.withColumns({"run": F.count_if("anchor").over(by_court), "from": F.last(F.when(F.col("anchor"), F.col("start")), ignorenulls=True).over(by_court)})
+    later = F.count_if(F.col("after") & ~F.col("anchor")).over(Window.partitionBy(key, "court", "run").orderBy("position"))
+    moved = F.col("court").isNotNull() & F.col("after") & ~F.col("anchor") & (F.col("run") > 0)
+    rows = rows.withColumn("estimate", F.when(moved, F.col("from") + F.make_interval(hours=(later * hours).cast("int"))))
+    ids = {f"player_{s}_external_id": _empty_as_null(F.upper(F.regexp_extract(f"href_{s}", r"/players/[^/]+/([a-zA-Z0-9]+)", 1))) for s in "ab"}
+    rows = rows.withColumns(ids).where(F.col("player_a").isNotNull() & F.col("player_b").isNotNull())
+    return rows.select(
+        key, "position", "court", domain.normalize_round(F.col("kind")).alias("round"), "player_a", "player_b", *ids,
+        F.coalesce(F.date_format("estimate", "yyyy-MM-dd"), "date").alias("scheduled_date"), F.coalesce(F.date_format("estimate", "HH:mm"), "clock").alias("scheduled_time"),
+    )
+
+
+def _first_of(root: Node, *tests: Callable[[Node], bool]) -> Node | None:
+    return next((n for n in root.walk() if any(t(n) for t in tests)), None)
+
+
+def _has(*names: str) -> Callable[[Node], bool]:
+    return lambda n: not set(names).isdisjoint(n.attrs.get("class", "").split())
+
+
+def _info(root: Node) -> list[tuple]:
+    title = _first_of(root, lambda n: n.tag == "h1", _has("tournament-title", "hero-title"))
+    ground = _first_of(root, lambda n: "surface" in n.attrs.get("class", ""), lambda n: n.tag == "span" and n.parent is not None and _has("info-area")(n.parent))
+    place = _first_of(root, _has("location", "tournament-location", "info-area"))
+    pairs = [[s.text() for s in li.find("span")] for side in ("td_left", "td_right") for ul in _classed(root, side, "ul") for li in ul.find("li")]
+    pairs = [(p[0].lower(), p[1]) for p in pairs if len(p) >= 2]
+    surface = ground.text() if ground is not None else next((v for k, v in pairs if "surface" in k), None)
+    location = place.text() if place is not None else next((v for k, v in pairs if "location" in k or "city" in k), None)
+    banner = _first_of(root, _has("events_banner", "tourney-badge"), lambda n: n.tag == "img" and "banner" in n.attrs.get("src", ""))
+    return [(title.text() if title is not None else None, surface, location, banner.attrs.get("src", "") if banner is not None else None, root.text())]
+
+
+def tournament_info(pages: DataFrame, code_column: str = "code", **columns: str) -> DataFrame:
+    """A tournament's page: ``name``, ``level``, ``surface``, ``location``; ``code_column`` tells the tournament.
+
+    The level is the banner's; without a banner that of the page's words, unless the tournament is one that is known.
+    """
+    rows = extract(pages, _info, "title string, ground string, place string, banner string, words string", **columns)
+    key = rows.columns[0]
+    code = F.col(code_column)
+    rows = rows.join(pages.select(key, code), key)
+    first, words = domain.detected_level(F.lit(None).cast("string"), code, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)), F.lower("words")
+    said = domain.chain(
+        (words.contains("grand slam"), "Grand Slam"), (words.contains("masters 1000") | words.contains("atp masters"), "Masters 1000"), (words.contains("atp 500"), "ATP 500"),
+        (words.contains("challenger") & (first == "ATP 250"), "Challenger"),
+    )
+    level = F.when(F.col("banner").isNotNull(), F.coalesce(domain.level_mark(F.col("banner")), first)).otherwise(F.coalesce(said, first))
+    return rows.select(
+        key, F.coalesce(_empty_as_null(F.col("title")), F.initcap(F.replace(code, F.lit("-"), F.lit(" ")))).alias("name"), level.alias("level"),
+        domain.normalize_surface(F.coalesce("ground", F.lit("Hard"))).alias("surface"), F.coalesce("place", F.lit("")).alias("location"),
+    )
+
+
+def _old_archive(root: Node) -> list[tuple]:
+    out = []
+    for row in (n for n in root.walk() if _has("tourney-result", "tournament-row")(n)):
+        href = next((a.attrs["href"] for a in row.find("a") if re.search("/scores/archive/|/tournaments/", a.attrs.get("href", ""))), None)
+        named = lambda *names, row=row: (n := _first_of(row, _has(*names))) and n.text()
+        title = _first_of(row, _has("tourney-title", "tournament-name"), lambda n: n.tag in ("h3", "h4"))
+        ground = _first_of(row, _has("tourney-details"), lambda n: "surface" in n.attrs.get("class", ""))
+        banner = _first_of(row, lambda n: n.tag == "img")
+        if href:
+            out.append((href, title.text() if title is not None else None, named("tourney-location", "location"), ground.text() if ground is not None else None, named("tourney-dates", "dates"), banner.attrs.get("src", "") if banner is not None else None, row.attrs.get("class", "")))
+    return out
+
+
+def old_archive(pages: DataFrame, challenger: bool = False, **columns: str) -> DataFrame:
+    """Tournaments of an archive page of the older layout, whose dates are written year first: the columns of ``archive_tournaments()`` and ``surface``."""
+    rows = extract(pages, _old_archive, "href string, title string, place string, ground string, days string, banner string, classes string", **columns)
+    whole, short = r"/scores/archive/([^/]+)/(\d+)/\d+/results", r"/(?:scores/archive|tournaments)/([^/]+)"
+    code = F.coalesce(_empty_as_null(F.regexp_extract("href", whole, 1)), _empty_as_null(F.regexp_extract("href", short, 1)))
+    day = lambda k: F.try_to_date(F.regexp_replace(F.try_element_at(F.regexp_extract_all("days", F.lit(r"(\d{4}[-./]\d{2}[-./]\d{2})"), F.lit(1)), F.lit(k)), "[./]", "-"), "yyyy-MM-dd")
+    rows = rows.withColumn("code", code).where(F.col("code").isNotNull())
+    return rows.select(
+        rows.columns[0], "position", "code", _empty_as_null(F.regexp_extract("href", whole, 2)).alias("number"), F.coalesce("title", F.initcap(F.replace("code", F.lit("-"), F.lit(" ")))).alias("name"), F.coalesce("place", F.lit("")).alias("location"),
+        domain.detected_level(F.col("banner"), F.col("code"), F.col("href"), F.col("classes"), F.lit(challenger)).alias("level"), domain.normalize_surface(F.coalesce("ground", F.lit("Hard"))).alias("surface"), day(1).alias("start_date"), day(2).alias("end_date"),
+    )
+
+
+def _labelled(root: Node) -> list[tuple]:
+    out = []
+    for details in _classed(root, "personal_details", "div"):
+        out += [(spans[0], spans[1]) for li in details.find("li") if len(spans := [s.text() for s in li.find("span")]) >= 2]
+    for block in _classed(root, "profile-bio__info-block", "div"):
+        label, value = _text(_classed(block, "profile-bio__info-title")), _text(_classed(block, "profile-bio__info-content"))
+        if label is not None and value is not None:
+            out.append((label, value))
+    return out
+
+
+def profile_fields(pages: DataFrame, **columns: str) -> DataFrame:
+    """A player's page by its labelled fields: ``birth_date`` (behind the age), ``height_cm``, ``turned_pro_year``, ``hand``, ``backhand`` and ``nationality`` (the country, else the end of the birthplace)."""
+    rows = extract(pages, _labelled, "label string, value string", **columns)
+    key = rows.columns[0]
+    of = lambda label: F.max_by(F.when(F.col("label") == label, F.col("value")), F.when(F.col("label") == label, F.col("position")))
+    each = rows.groupBy(key).agg(*[of(n).alias(n) for n in ("Age", "Height", "Turned pro", "Plays", "Country", "Birthplace")])
+    part = lambda c, form: _empty_as_null(F.regexp_extract(c, form, 1))
+    plays, metres = F.lower("Plays"), part("Height", r"\((\d+\.\d+)m\)").try_cast("double")
+    found = each.select(
+        key, F.try_to_date(part("Age", r"\((\d{4}/\d{2}/\d{2})\)"), "yyyy/MM/dd").alias("birth_date"), F.coalesce(part("Height", r"\((\d+)cm\)").try_cast("int"), F.round(metres * 100).cast("int")).alias("height_cm"),
+        part("Turned pro", r"(\d{4})").try_cast("int").alias("turned_pro_year"), domain.chain((plays.contains("right"), "Right"), (plays.contains("left"), "Left")).alias("hand"),
+        domain.chain((plays.contains("two-handed"), "Two-Handed"), (plays.contains("one-handed"), "One-Handed")).alias("backhand"),
+        F.coalesce(_empty_as_null(F.col("Country")), F.when(F.col("Birthplace").contains(","), _empty_as_null(F.trim(F.regexp_extract("Birthplace", r"([^,]*)$", 1))))).alias("nationality"),
+    )
+    return pages.select(key).distinct().join(found, key, "left")
