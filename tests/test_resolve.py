@@ -116,6 +116,15 @@ def test_gender_gates_every_stage_but_ids(spark):
     assert run(spark, records, players, [], genders) == [(10, "made 000010", "created"), (11, "made 000010", "matched"), (12, 2, "matched"), (13, 1, "matched"), (14, "made 000010", "matched")]
 
 
+def test_large_ids_stay_exact(spark):
+    big = 2**62 + 1
+    done = identity.resolve(
+        spark.createDataFrame([(big + 2, "bo lee", "atp", None, None), (big + 4, "new one", "atp", None, None)], "id long, name string, source_key string, external_id string, gender string"),
+        spark.createDataFrame([(big, "bo lee", None, None)], "id long, name string, atp_id string, wta_id string"), identity.empty_aliases(spark),
+    ).collect()
+    assert {(r.in_id, r.made_by, r.status) for r in done} == {(big + 2, None, "matched"), (big + 4, big + 4, "created")} and big in {r.player_id for r in done}
+
+
 def test_no_records_and_no_players(spark):
     assert run(spark, [], [(1, "a b", None, None)], [], {}) == []
     assert run(spark, [(1, "a b", "atp", None, None), (2, "a b", "wta", None, None)], [], [], {}) == [(1, "made 000001", "created"), (2, "made 000001", "matched")]

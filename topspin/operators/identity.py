@@ -6,9 +6,11 @@ worked out for candidates.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +134,10 @@ def similar_names(asked: DataFrame, known: DataFrame, least: float = STRONG_MATC
     return every.groupBy("a", "b").agg(F.max("trigram").alias("trigram"), F.max("score").alias("score"), F.coalesce(F.bool_or("short"), F.lit(False)).alias("short"))
 
 
+#: Kinds of rows of a component, in the order in which they are read.
+_PLAYER, _ALIAS, _PAIR, _RECORD = range(4)
+
+
 class _Cascade:
     """The players that records can meet, and what a record makes of them."""
 
@@ -160,6 +166,7 @@ class _Cascade:
         if source and external and (player, source) not in self.has:
             self.ids[source, external] = player
             self.has.add((player, source))
+            self.linked = True
 
     def best(self, scored: list) -> dict:
         """The best score of each player who has one of the names."""
@@ -170,6 +177,7 @@ class _Cascade:
         return found
 
     def resolve(self, record: object, name: str, source: str | None, external: str | None, expected: str | None) -> tuple[object, str]:
+        self.linked = False
         known = self.ids.get((source, external)) if external else None
         if known is not None:
             self.learn(known, name)
@@ -201,29 +209,50 @@ class _Cascade:
         return made, "created"
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    of = {kind: part for kind, part in group.groupby("kind")}
-    rows = lambda kind, *columns: [tuple(None if pd.isna(v) else v for v in r) for r in of[kind][list(columns)].itertuples(index=False)] if kind in of else []
-    cascade = _Cascade(rows("player", "id", "gender", "source", "external"), rows("alias", "name", "id"), rows("pair", "name", "other", "trigram", "score", "short"))
-    out = []
-    for _, run, record, name, source, external, expected in sorted(rows("record", "place", "run", "id", "name", "source", "external", "gender"), key=lambda r: r[1]):
-        player, status = cascade.resolve(int(record), name, source, external, expected)
-        made = player[1] if isinstance(player, tuple) else None
-        out.append((group["component"].iloc[0], run, None if made is not None or player is None else player, made, status))
-    return pd.DataFrame(out, columns=["component", "run", "player_id", "made_by", "status"]).astype({"run": "Int64", "player_id": "Int64", "made_by": "Int64"})
+_FACTS = ("component", "kind", "run", "id", "name", "other", "source", "external", "gender", "trigram", "score", "short")
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by component, those of players, aliases and pairs before its records in their order."""
+    rows = (dict(zip(_FACTS, r, strict=True)) for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in _FACTS), strict=True))
+    names, out = ("component", "run", "player_id", "made_by", "status", "linked"), []
+
+    def done() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    for component, group in itertools.groupby(rows, key=lambda r: r["component"]):
+        people, aliases, pairs, cascade = [], [], [], None
+        for r in group:
+            if r["kind"] == _PLAYER:
+                people.append((r["id"], r["gender"], r["source"], r["external"]))
+            elif r["kind"] == _ALIAS:
+                aliases.append((r["name"], r["id"]))
+            elif r["kind"] == _PAIR:
+                pairs.append((r["name"], r["other"], r["trigram"], r["score"], r["short"]))
+            else:
+                cascade = cascade or _Cascade(people, aliases, pairs)
+                player, status = cascade.resolve(r["id"], r["name"], r["source"], r["external"], r["gender"])
+                made = player[1] if isinstance(player, tuple) else None
+                out.append((component, r["run"], None if made is not None else player, made, status, cascade.linked))
+        if len(out) >= 10_000:
+            yield done()
+            out = []
+    if out:
+        yield done()
 
 
 def resolve(incoming: DataFrame, players: DataFrame, aliases: DataFrame, genders: DataFrame | None = None) -> DataFrame:
-    """``(in_id, player_id, made_by, status)`` of incoming names by a cascade, record by record in the order of their ids, each seeing what those before it have led to.
+    """``(in_id, player_id, made_by, status, linked)`` of incoming names by a cascade, record by record in the order of their ids, each seeing what those before it have led to.
 
     ``incoming`` has ``id``, ``name`` (normalised), ``source_key``, ``external_id`` and ``gender`` (expected, or null); ``players`` has ``id``, ``name`` and an external id
     for each source (``atp_id``, ``wta_id``); ``aliases`` has ``alias`` and ``player_id``. A player's own name is an alias. Stages: external id; alias; abbreviation (one
     candidate matches, several with 0.95 and more queue); similar names of aliases (the best with 0.98 and more matches, several with 0.95 and more queue); else
     a player is created. But for the first stage, a player of another gender is no candidate; players without one are. ``made_by`` is the record that created the player, whose id
-    is a hash of it. A match by external id teaches the player the name, one by similarity also the external id, if there is none of that source.
+    is a hash of it, ``linked`` tells that the player has got the record's external id. A match by external id teaches the player the name, one by similarity also the external id, if there is none of that source.
 
     Only records that share a player, a name, an external id or similar names can depend on each other. These are components of a graph of names, ids and players;
-    the records of a component are folded in one task, equal ones in a row as one.
+    the records of a component are folded in one task one after another, equal ones in a row as one.
     """
     key = ["name", "source_key", "external_id", "gender"]
     rows = durable(incoming.select("id", F.coalesce("name", F.lit("")).alias("name"), "source_key", F.nullif("external_id", F.lit("")).alias("external_id"), "gender"))
@@ -257,17 +286,28 @@ def resolve(incoming: DataFrame, players: DataFrame, aliases: DataFrame, genders
     runs = placed(rows, name_node).withColumn("head", F.row_number().over(order) == 1).withColumn("head", F.col("head") | ~F.lag(told).over(order).eqNullSafe(told))
     runs = durable(runs.withColumn("run", F.sum(F.col("head").cast("long")).over(order)))
     kinds = [
-        placed(people, node("p", F.col("id"))).select("component", F.lit("player").alias("kind"), "id", "gender", "source", "external"),
-        placed(owned, name_node).select("component", F.lit("alias").alias("kind"), "id", "name"),
-        placed(pairs.withColumnRenamed("a", "name"), name_node).select("component", F.lit("pair").alias("kind"), "name", F.col("b").alias("other"), "trigram", "score", "short"),
-        runs.where("head").select("component", F.lit("record").alias("kind"), "run", "id", F.col("id").alias("place"), "name", F.col("source_key").alias("source"), F.col("external_id").alias("external"), "gender"),
+        placed(people, node("p", F.col("id"))).select("component", F.lit(_PLAYER).alias("kind"), "id", "gender", "source", "external"),
+        placed(owned, name_node).select("component", F.lit(_ALIAS).alias("kind"), "id", "name"),
+        placed(pairs.withColumnRenamed("a", "name"), name_node).select("component", F.lit(_PAIR).alias("kind"), "name", F.col("b").alias("other"), "trigram", "score", "short"),
+        runs.where("head").select("component", F.lit(_RECORD).alias("kind"), "run", "id", "name", F.col("source_key").alias("source"), F.col("external_id").alias("external"), "gender"),
     ]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
-    asking = runs.select("component").distinct()
-    done = every.join(asking, "component", "left_semi").groupBy("component").applyInPandas(_fold, "component string, run long, player_id long, made_by long, status string")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds).select(*_FACTS)
+    every = every.join(runs.select("component").distinct(), "component", "left_semi")
+    every = every.repartition("component").sortWithinPartitions("component", "kind", "run")
+    done = every.mapInArrow(_fold, "component string, run long, player_id long, made_by long, status string, linked boolean")
     status = F.when(~F.col("head") & (F.col("status") == "created"), "matched").otherwise(F.col("status"))
     player = F.coalesce("player_id", F.when(F.col("made_by").isNotNull(), F.xxhash64(F.lit("player"), "made_by")))
-    return runs.join(done, ["component", "run"]).select(F.col("id").alias("in_id"), player.alias("player_id"), "made_by", status.alias("status"))
+    return runs.join(done, ["component", "run"]).select(F.col("id").alias("in_id"), player.alias("player_id"), "made_by", status.alias("status"), (F.col("head") & F.col("linked")).alias("linked"))
+
+
+def learned(incoming: DataFrame, resolved: DataFrame, players: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Players and aliases after ``resolve()``: those created, the external ids that players have got, and the names under which they have been found."""
+    rows = durable(incoming.join(resolved.withColumnRenamed("in_id", "id"), "id").where(F.col("player_id").isNotNull()))
+    sources = [c for c in players.columns if c.endswith("_id")]
+    given = rows.where("linked").groupBy(F.col("player_id").alias("id")).agg(*[F.min(F.when(F.col("source_key") == c.removesuffix("_id"), F.col("external_id"))).alias(c) for c in sources])
+    made = rows.where("status = 'created'").select(F.col("player_id").alias("id"), "name")
+    every = players.unionByName(made, allowMissingColumns=True)
+    return fill_null(every, given, "id", sources), ensure_aliases(aliases, rows.where("name <> ''").select("player_id", F.col("name").alias("alias"), F.col("source_key").alias("source")))
 
 
 def suggestions(pairs: DataFrame, keep: int = 3, least: int = 2) -> DataFrame:

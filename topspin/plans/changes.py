@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topspin.functions import domain
-from topspin.operators import geo, identity, ingest, matches, rankings, rating, tables
+from topspin.operators import bracket, geo, identity, ingest, matches, rankings, rating, tables
 from topspin.plans.registry import query
 from topspin.plans.relational import _QUEUE, _now, queue
 from topspin.schema import ROUND_ORDER
 from topspin.sources import store
+from topspin.sources.sinks import durable
 from topspin.sources.store import WITH
 
 # Identity
@@ -59,7 +60,7 @@ def resolved_in_order(spark, sf_dir):
     known = store.players(spark, sf_dir).where("id % 2 = 0").select("id", F.concat(F.lit("x "), F.md5(F.col("id").cast("string"))).alias("name"), F.lit(None).cast("string").alias("atp_id"), F.lit(None).cast("string").alias("wta_id"))
     incoming = store.raw(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("x "), F.md5(F.col("o_custkey").cast("string"))).alias("name"), F.lit("atp").alias("source_key"), F.lit(None).cast("string").alias("external_id"), F.when(F.col("o_orderkey") % 2 == 0, "men").otherwise("women").alias("gender"))
     done = identity.resolve(incoming, known, identity.empty_aliases(spark), known.select(F.col("id").alias("player_id"), gender.alias("gender")))
-    return done.withColumn("player_id", F.when(F.col("made_by").isNull(), F.col("player_id")))
+    return done.select("in_id", F.when(F.col("made_by").isNull(), F.col("player_id")).alias("player_id"), "made_by", "status")
 
 
 _MERGED = ", d AS (SELECT id AS merge_id, id - id % 10 AS keep_id FROM p WHERE id % 10 > 6 AND id - id % 10 IN (SELECT id FROM p))"
@@ -369,3 +370,32 @@ def split_by_years(spark, sf_dir):
 @query(WITH + " SELECT id, match_date FROM m WHERE match_date >= DATE '1999-01-01'")
 def matches_since(spark, sf_dir):
     return rating.since(store.matches(spark, sf_dir), F.lit("1999-01-01").cast("date")).select("id", "match_date")
+
+
+_DRAWN = f"b AS ({store.BRACKETS.format(orders='orders')})"
+
+
+@query(f"""WITH {_DRAWN}, r AS (SELECT * FROM b WHERE round IN ('R16', 'QF')), n AS (SELECT d, round, p, CASE WHEN round = 'QF' OR NOT bye THEN a END AS a, b AS y, won FROM r WHERE round = 'QF' OR NOT bye)
+    SELECT d AS edition_id, round, CAST(p AS INTEGER) AS draw_position, 'ab ' || md5('p' || CAST(d * 16 + a AS VARCHAR)) AS player_a, 'ab ' || md5('p' || CAST(d * 16 + y AS VARCHAR)) AS player_b, CASE WHEN round = 'R16' THEN 'completed' ELSE 'upcoming' END AS status,
+           CASE WHEN round = 'R16' THEN 'ab ' || md5('p' || CAST(d * 16 + won AS VARCHAR)) END AS winner, CASE WHEN round = 'QF' THEN 'draw_2024_c' || CAST(d AS VARCHAR) || '_QF_' || CAST(p AS VARCHAR) ELSE '2024_C' || CAST(d AS VARCHAR) || '_R16_' || least('X' || CAST(d * 16 + a AS VARCHAR), 'X' || CAST(d * 16 + y AS VARCHAR)) || '_' || greatest('X' || CAST(d * 16 + a AS VARCHAR), 'X' || CAST(d * 16 + y AS VARCHAR)) END AS external_id FROM n""")
+def ingested_draw(spark, sf_dir):
+    """First rounds of brackets, by names of which every other one is known: the players who are missing, the matches, and the next round from winners and byes."""
+    rows = durable(store.brackets(spark, sf_dir).where("round = 'R16'"))
+    number = lambda c: F.col("d") * 16 + F.col(c)
+    name = lambda n: F.concat(F.lit("ab "), F.md5(F.concat(F.lit("p"), n.cast("string"))))
+    lone = F.col("bye")
+    a = F.when(lone, number("won")).otherwise(number("a"))
+    scraped = rows.select(
+        F.col("d").alias("edition_id"), "round", F.col("p").cast("int").alias("draw_position"), name(a).alias("player_a"), F.concat(F.lit("X"), a).alias("player_a_external_id"), F.lit(None).cast("int").alias("player_a_seed"),
+        F.when(~lone, name(number("b"))).alias("player_b"), F.when(~lone, F.concat(F.lit("X"), number("b"))).alias("player_b_external_id"), F.lit(None).cast("int").alias("player_b_seed"),
+        F.when(~lone, name(number("won"))).alias("winner"), F.when(~lone, "6-1 6-1").alias("score"), lone.alias("is_bye"), F.lit("atp").alias("source"),
+    )
+    scraped = durable(scraped)
+    known = scraped.where("draw_position % 2 = 0").select(F.xxhash64("player_a").alias("id"), F.col("player_a").alias("name"))
+    known = known.withColumns({"atp_id": F.lit(None).cast("string"), "wta_id": F.lit(None).cast("string")})
+    editions = scraped.select(F.col("edition_id").alias("id"), F.concat(F.lit("c"), "edition_id").alias("code"), F.lit(2024).alias("year"), F.lit("2024-01-01").cast("date").alias("start_date"), F.lit("2024-01-08").cast("date").alias("end_date")).distinct()
+    empty = spark.createDataFrame([], "id long, edition_id long, round string, draw_position int, player_a_id long, player_b_id long, status string, winner_id long, score string, external_id string, match_date date")
+    done, players, _ = bracket.ingest_draw(empty, scraped, known, identity.empty_aliases(spark), editions)
+    for c, to in (("player_a_id", "player_a"), ("player_b_id", "player_b"), ("winner_id", "winner")):
+        done = done.join(players.select(F.col("id").alias(c), F.col("name").alias(to)), c, "left")
+    return done.select("edition_id", "round", "draw_position", "player_a", "player_b", "status", "winner", "external_id")

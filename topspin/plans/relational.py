@@ -85,6 +85,13 @@ _filter_query("filter_genders", _M(genders=["women", "x"]), "t_gender = 'women'"
 _filter_query("filter_surfaces", _M(surfaces=["Clay", "Grass"]), "ed_surface IN ('Clay', 'Grass') OR (ed_surface IS NULL AND t_surface IN ('Clay', 'Grass'))")
 _filter_query("filter_levels_rounds", _M(levels=["Grand Slam", "ITF"], rounds=["QF", "SF"]), "t_level IN ('Grand Slam', 'ITF') AND round IN ('QF', 'SF')")
 _filter_query("filter_head_to_head", _M(head_to_head=(3, 22)), "(player_a_id = 3 AND player_b_id = 22) OR (player_a_id = 22 AND player_b_id = 3)")
+@query(STAR + """, x AS (SELECT id, player_a_id % 40 AS player_a_id, player_b_id % 40 AS player_b_id, round, status, match_date, t_name FROM s) SELECT * FROM x WHERE (player_a_id = 3 AND player_b_id = 22) OR (player_a_id = 22 AND player_b_id = 3)""")
+def head_to_head_meetings(spark, sf_dir):
+    """Two of forty players, who meet often."""
+    rows = star(spark, sf_dir).withColumns({c: F.col(c) % 40 for c in ("player_a_id", "player_b_id")})
+    return _shown(matches.filter_matches(rows, _M(head_to_head=(3, 22))))
+
+
 _filter_query("filter_player", _M(player_id=7, player_name="ignored"), "player_a_id = 7 OR player_b_id = 7")
 _filter_query("filter_player_name", _M(player_name="0_11"), "player_a_id IN (SELECT id FROM p WHERE name ILIKE '%0_11%') OR player_b_id IN (SELECT id FROM p WHERE name ILIKE '%0_11%')")
 _filter_query("filter_tournament", _M(tournament="ameri"), "t_name ILIKE '%ameri%'")
@@ -385,6 +392,15 @@ def enqueue_new(spark, sf_dir):
     return ingest.enqueue(rows, rows.where("id % 2 = 1").select("task_type", "task_params"))
 
 
+@query(f"""WITH {_QUEUE}, t AS (SELECT DISTINCT task_type, task_params || CASE WHEN id % 3 = 0 THEN CAST(id % 50 AS VARCHAR) ELSE '' END AS task_params FROM q WHERE id % 2 = 1)
+    SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.task_type = t.task_type AND q.task_params = t.task_params AND status IN ('pending', 'retry', 'in_progress'))""")
+def enqueued_tasks(spark, sf_dir):
+    """A third of the tasks has parameters that no active one has; they come several times, and go in once."""
+    rows = queue(spark, sf_dir)
+    params = F.concat("task_params", F.when(F.col("id") % 3 == 0, (F.col("id") % 50).cast("string")).otherwise(""))
+    return ingest.enqueue(rows, rows.where("id % 2 = 1").select("task_type", params.alias("task_params")))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'purchase' AND CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50")
 def json_path_filter(spark, sf_dir):
     k = F.get_json_object("props", "$.k").try_cast("int")

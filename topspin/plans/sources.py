@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from topspin.plans.registry import query
 from topspin.operators import ingest
 from topspin.sources import draws, layouts, pages, store
+from topspin.sources.sinks import durable
 from topspin.streaming import jobs
 
 
@@ -91,7 +92,7 @@ def _text(*parts):
 
 def _draw_pages(spark, sf_dir):
     """A page of nested boxes for each bracket. The last match of every fourth bracket isn't decided, and in every seventh a quarter-final shows another player."""
-    rows = store.brackets(spark, sf_dir)
+    rows = durable(store.brackets(spark, sf_dir))
     decided = (F.col("round") != "F") | (F.col("d") % 4 != 3)
 
     def side(name, own, first):
@@ -241,3 +242,12 @@ def event_list(spark, sf_dir):
     html = _text('<table><tr><td class="date"><span class="date">', day, ' to 28 Jan 2024</span></td><td><a href="/en/tournament/x/W', (15 + key % 3).cast("string"), "-city-", key.cast("string"), '/"><span class="short">', F.col("n_name"), "</span></a></td></tr></table>")
     rows = store.raw(spark, sf_dir, "nation").select(key.alias("page_id"), html.alias("html"))
     return layouts.event_list(rows).select("page_id", "code", "name", "prize", "start_date")
+
+
+@query(f"WITH {_B} SELECT d AS edition_id, round, CAST(p AS INTEGER) AS draw_position, a AS player_a_id, b AS player_b_id FROM b WHERE round = 'QF' AND d % 3 = 0")
+def propagated_events(spark, sf_dir):
+    """What the results of every third bracket's first round lead to, out of brackets that have no second one."""
+    rows = store.brackets(spark, sf_dir)
+    held = rows.where("round <> 'QF'").select("id", F.col("d").alias("edition_id"), "round", F.col("p").cast("int").alias("draw_position"), F.col("won").alias("winner_id"))
+    decided = held.where("round = 'R16' AND edition_id % 3 = 0").select("id")
+    return ingest.propagate(held, decided=decided).select("edition_id", "round", "draw_position", "player_a_id", "player_b_id")
