@@ -449,7 +449,11 @@ def duplicate_suggestions(spark, sf_dir):
     return identity.suggestions(identity.duplicate_pairs(_person_names(spark, sf_dir)))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[^\\p{L}]+'), lambda x: length(x) > 2) AS w FROM documents), n AS (SELECT id, trim(strip_accents(lower(concat_ws(' ', w[1], substr(w[2], 1, 4))))) AS name FROM w),
+    s AS (SELECT name, min(id) AS id FROM n GROUP BY name), t AS (SELECT id, unnest(string_split(name, ' ')) AS x FROM s),
+    g AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))) AS g FROM t WHERE x <> ''), c AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+    p AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS k FROM g AS a JOIN g AS b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+    SELECT left_id, right_id, k / CAST(x.n + y.n - k AS DOUBLE) AS similarity FROM p JOIN c AS x ON x.id = left_id JOIN c AS y ON y.id = right_id WHERE k / CAST(x.n + y.n - k AS DOUBLE) >= 0.6""")
 def trigram_pairs(spark, sf_dir):
     rows = _person_names(spark, sf_dir).select("id", "name")
     spelt = rows.groupBy("name").agg(F.min("id").alias("id"))

@@ -63,7 +63,9 @@ def name_similarity(spark, sf_dir):
     return rows.join(other, "event_id").select("event_id", F.round(names.compare_names("name", "other"), 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {_E}, l AS (SELECT event_id, lower(name) AS x FROM n), t AS (SELECT event_id, CASE WHEN x LIKE '%,%' THEN trim(split_part(x, ',', 2)) || ' ' || trim(split_part(x, ',', 1)) ELSE x END AS x FROM l),
+    f AS (SELECT event_id, trim(regexp_replace(regexp_replace(x, ' jr\\.$', ''), '\\s+', ' ', 'g')) AS name FROM t), v AS (SELECT event_id, name, string_split(name, ' ') AS w FROM f)
+    SELECT DISTINCT event_id, unnest(CASE WHEN len(w) < 2 THEN [name] ELSE [name, w[1][1] || ' ' || w[-1], w[-1], w[-1] || ' ' || w[1], w[-1] || ' ' || array_to_string(w[:-2], ' ')] END) AS variant FROM v""")
 def search_variants(spark, sf_dir):
     rows = _names(spark, sf_dir).select("event_id", names.normalize_name(F.col("name")).alias("name"))
     return rows.select("event_id", F.explode(names.search_variants(F.col("name"))).alias("variant"))
