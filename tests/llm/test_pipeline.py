@@ -94,3 +94,23 @@ def test_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, ROOT)
     assert docs.count() == 0
+
+
+def test_null_and_empty_texts_go_through_all_stages(spark):
+    """A null text counts as empty in every stage; empty ones are copies of each other, null ids stay."""
+    schema = table(spark, ROOT, "documents").select("doc_id", "text", "lang", "source", "n_chars").schema
+    some = [tuple(r) for r in table(spark, ROOT, "documents").select("doc_id", "text", "lang", "source", "n_chars").limit(60).collect()]
+    odd = [(9_000, None, None, None, None), (9_001, "", "en", "s", 0), (9_002, " \n", "en", "s", 2), (None, None, None, None, None), (None, some[0][1], "en", "s", 0)]
+    docs = spark.createDataFrame(some + odd, schema)
+    assert corpus_pipeline.quality_filter(spark, docs, ROOT).columns == docs.columns
+    deduped = corpus_pipeline.near_dedup(spark, docs, ROOT)
+    left = [r for r in deduped.collect() if r.doc_id is None or r.doc_id >= 9_000]
+    assert sorted(repr(r.doc_id) for r in left) == ["9000", "None", "None"]
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES[2:-1]:
+        rows = stage(spark, rows, ROOT)
+        assert rows.columns == docs.columns, name
+        kept = [r for r in rows.collect() if r.doc_id is None or r.doc_id >= 9_000]
+        assert len(kept) == 5 and all(not (r.text or "").strip() for r in kept if r.doc_id is not None), name
+    done = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, ROOT).where("doc_id >= 9000").collect()}
+    assert done[9_000].n_tokens == done[9_001].n_tokens == 0 and done[9_000].ids_sha256 == done[9_001].ids_sha256

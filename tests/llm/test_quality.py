@@ -89,3 +89,14 @@ def test_dual_coordinate_descent_meets_its_optimum():
     w = quality.dual_coordinate_descent(rows, list(x), y, costs, 5, rounds=2000)
     loss = lambda v: v @ v / 2 + np.maximum(0, 1 - y * (x @ v)).sum()
     assert all(loss(w) <= loss(w + 0.05 * rng.normal(size=5)) + 1e-6 for _ in range(500))
+
+
+def test_very_long_texts_count_whole(spark):
+    docs, labels = corpus(150)
+    long = " ".join(docs[0][1] for _ in range(2000))
+    junk = "zz|" * 300_000
+    d, l = frames(spark, [*docs, (900, long, "x", 0.0), (901, junk, "x", 0.0), (902, docs[0][1], "x", 0.0)], [*labels, (901, 0, 0)])
+    model = quality.train(d, l)
+    found = {r.doc_id: r for r in quality.score(d, model).where("doc_id >= 900").collect()}
+    assert all(0 <= r.score <= 1 for r in found.values()) and found[900].predicted == found[902].predicted and len(found[900].text) == len(long)
+    assert model.scores([long + " " + junk])[0] != model.scores([long])[0]  # the end is seen, too
