@@ -78,6 +78,8 @@ def fed(entries: DataFrame, page: str = "page_id") -> DataFrame:
     ``fits`` is null while nobody comes on or the next slot's side is open. A lone player of a first round whose next slot has that player is a bye, too.
     """
     following = entries.select(page, F.col("round").alias("next_round"), F.col("draw_position").alias("next_position"), F.col("player_a").alias("_a"), F.col("player_b").alias("_b"))
+    # parsed pages are larger than Spark takes them to be from their source: shuffled, as a broadcast of them would pass through the driver
+    following = following.hint("shuffle_hash")
     rows = entries.withColumns({"next_round": domain.next_round(F.col("round")), "next_position": domain.next_position(F.col("draw_position")).cast("int")})
     rows = rows.join(following, [page, "next_round", "next_position"], "left")
     there = F.when(F.col("draw_position") % 2 == 1, F.col("_a")).otherwise(F.col("_b"))
