@@ -35,7 +35,7 @@ def draw_widgets(spark, sf_dir):
 
     note = F.when((F.col("round") == "QF") & (F.col("d") % 4 == 2) & ~F.col("bye"), '<p class="drawsheet-widget__winner-status-desc">Retired</p>').otherwise("")
     box = _text('<div class="drawsheet-widget">', team("a", 1), team("b", 2), note, "</div>")
-    boxes = rows.select("d", "round", F.struct("p", box.alias("box")).alias("box")).groupBy("d", "round").agg(F.array_join(F.transform(F.array_sort(F.collect_list("box")), lambda x: x["box"]), "").alias("boxes"))
+    boxes = store.brackets_by_page(rows).select("d", "round", F.struct("p", box.alias("box")).alias("box")).groupBy("d", "round").agg(F.array_join(F.transform(F.array_sort(F.collect_list("box")), lambda x: x["box"]), "").alias("boxes"))
     name = F.coalesce(*[F.when(F.col("round") == r, n) for r, n in _NAMES.items()])
     part = _text('<div class="drawsheet-round-container"><h2 class="drawsheet-round-container__round-title">', name, "</h2>", F.col("boxes"), "</div>")
     pages = boxes.groupBy(F.col("d").alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(part)), "").alias("html"))
