@@ -232,3 +232,24 @@ def test_links_join_all_alike_pairs_of_a_hot_band(spark, monkeypatch):
         monkeypatch.setattr(substrings, "WIDTH", width)
         got = {r.node: r.component for r in connected_components(alike_links(members)).collect()}
         assert got == expected
+
+
+def test_many_texts_are_worked_on_at_once_with_the_passages_of_each():
+    docs, _ = make(3)
+    texts = [*docs.values(), "\ud800 x 😀 y　z", " \n ", None, *[f"{k} {docs[k]}" for k in range(20)], None]
+    batch = substrings.Batch(texts, LEAST_WORDS)
+    assert len(batch.own.firsts) == len(texts) + 1
+    got = list(zip(batch.of.tolist(), batch.words(0).tolist(), batch.words(1).tolist(), batch.hashes().tolist(), batch.checks().tolist(), strict=True))
+    values, starts, ends = batch.shingles()
+    sets = [values[a:b].tolist() for a, b in zip(starts, ends, strict=True)]
+    tiles, paragraphs, own_sets, gone = [], [], [], []
+    for i, t in enumerate(texts):
+        own = Passages(t or "")
+        here = [[(i, a, b, h, c) for a, b, h, c in zip(*(x.tolist() for x in (*w, own.hashes(*w), own.checks(*w))), strict=True)] for w in (own.tiles(), own.paragraphs(LEAST_WORDS))]
+        tiles += here[0]
+        paragraphs += here[1]
+        own_sets += [own.shingles()[a : b - SHINGLE + 1].tolist() for _, a, b, *_ in here[1]]
+        # another row's entries don't count
+        gone.append([(a, b, h ^ (a % 7 == 3), a) for _, a, b, h, _ in here[0] + here[1] if a % 3])
+    assert got == tiles + paragraphs and sets == own_sets and len(paragraphs) > 100
+    assert list(substrings.spans_of(texts, gone)) == [spans(t or "", g) for t, g in zip(texts, gone, strict=True)]

@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,10 @@ BANDS = bands_for(SIMILARITY, RECALL, ROWS)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SPACE = np.zeros(0x3001, bool)
+# what lies beyond is no space
+_SPACE = np.zeros(0x3002, bool)
 _SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
-_BREAK = np.zeros(0x3001, bool)
+_BREAK = np.zeros(0x3002, bool)
 _BREAK[[*range(10, 14), *range(28, 31), 0x85, 0x2028, 0x2029]] = True
 _CHUNK = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,44 +103,63 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 class Passages:
-    """The words of a text with its tiles and paragraphs, each by its ``first`` and ``last`` word (exclusive)."""
-
-    def __init__(self, text: str):
-        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        low = np.minimum(points, 0x3000)
-        space = _SPACE[low] & (points <= 0x3000)
-        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-        #: Places of the words in the text.
-        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self._breaks = np.flatnonzero(_BREAK[low] & space)
-        lower = points + np.where((points >= 65) & (points <= 90), 32, 0).astype(np.uint32)
-        self.words = _ranges(lower.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+    """The words of some texts, one text after another, with their tiles and paragraphs, each by its ``first`` and ``last`` word (exclusive); none goes from one text into another.
+
+    Texts are short, so all of them are worked on at once.
+    """
+
+    def __init__(self, *texts: str):
+        points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
+        low = np.minimum(points, 0x3001)
+        space = np.ones(len(points) + 2, bool)
+        space[1:-1] = _SPACE[low]
+        #: Places of the words in the texts, joined by a line break.
+        self.starts, self.ends = np.flatnonzero(space[:-1] > space[1:]), np.flatnonzero(space[:-1] < space[1:])
+        self._breaks = np.flatnonzero(_BREAK[low])
+        lower = points.astype(np.uint64)
+        lower += ((points - np.uint32(65)) < 26).astype(np.uint64) * np.uint64(32) + np.uint64(1)
+        self.words = _ranges(lower, self.starts, self.ends)
+        #: Where each text begins, and its first word; the number of all words comes last.
+        self.places = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+        self.firsts = np.append(np.searchsorted(self.starts, self.places), len(self.words))
+        #: The text of each word.
+        self.of = np.repeat(np.arange(len(self.places)), np.diff(self.firsts))
 
     def tiles(self) -> tuple[np.ndarray, np.ndarray]:
         """Stretches of ``SHINGLE`` words at least between cuts."""
         n = len(self.words)
         if n < SHINGLE:
             return _NOTHING
-        bounds = np.concatenate([[0], self._cuts(), [n]])
-        if np.diff(bounds).max() > LONGEST:
-            bounds = np.concatenate([*(np.arange(a, b, LONGEST) for a, b in zip(bounds[:-1], bounds[1:], strict=True)), [n]])
+        cut = np.zeros(n + 1, bool)
+        cut[self._cuts()] = True
+        cut[self.firsts] = True
+        bounds = np.flatnonzero(cut)
+        pieces = -(-np.diff(bounds) // LONGEST)
+        if pieces.max() > 1:
+            own = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            bounds = np.append(np.repeat(bounds[:-1], pieces) + LONGEST * own, n)
         long = np.diff(bounds) >= SHINGLE
         return bounds[:-1][long], bounds[1:][long]
 
     def _cuts(self) -> np.ndarray:
         pairs = _mix(self.words[:-1] * _BASE + self.words[1:])
-        padded = np.concatenate([np.full(REACH, _NONE), pairs, np.full(REACH, _NONE)])
-        least = np.ones(len(pairs), bool)
+        # texts stand apart by more than the reach
+        inside = self.of[:-1] == self.of[1:]
+        place = np.arange(len(pairs)) + REACH * self.of[:-1]
+        padded = np.full(len(pairs) + REACH * (len(self.places) + 1), _NONE)
+        padded[REACH + place[inside]] = pairs[inside]
+        own = padded[REACH:-REACH]
+        least = np.ones(len(own), bool)
         for d in range(1, REACH + 1):
-            least &= pairs < padded[REACH - d : REACH - d + len(pairs)]
-            least &= pairs <= padded[REACH + d : REACH + d + len(pairs)]
-        cuts = np.flatnonzero(least)
-        return cuts[cuts > 0]
+            least &= own < padded[REACH - d : REACH - d + len(own)]
+            least &= own <= padded[REACH + d : REACH + d + len(own)]
+        return np.flatnonzero(least[place] & inside)
 
     def paragraphs(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.words)
         if n < least_words:
             return _NOTHING
+        # a line break stands between texts
         line = np.searchsorted(self._breaks, self.starts)
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [n]])
         long = np.diff(bounds) >= least_words
@@ -174,37 +195,29 @@ def band_keys(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.n
 
 
 class Batch:
-    """The passages of some texts, one after another: ``of`` tells the text of each tile and then of each paragraph."""
+    """The passages of some texts: ``of`` tells the text of each tile and then of each paragraph."""
 
     def __init__(self, texts: list[str | None], least_words: int, tiles: bool = True):
-        self.own = [Passages(t) if t else None for t in texts]
-        some = [i for i, p in enumerate(self.own) if p is not None]
-        self.tiles = [self.own[i].tiles() if tiles else _NOTHING for i in some]
-        self.paragraphs = [self.own[i].paragraphs(least_words) for i in some]
-        self.own = [self.own[i] for i in some]
-        self.of = np.repeat([*some, *some], [len(x[0]) for x in (*self.tiles, *self.paragraphs)])
-        self.n_tiles = sum(len(x[0]) for x in self.tiles)
-
-    def _each(self, function: str) -> list[np.ndarray]:
-        return [getattr(p, function)(*x) for which in (self.tiles, self.paragraphs) for p, x in zip(self.own, which, strict=True)]
+        self.own = Passages(*[t or "" for t in texts])
+        self.tiles = self.own.tiles() if tiles else _NOTHING
+        self.paragraphs = self.own.paragraphs(least_words)
+        self.of = self.own.of[np.concatenate([self.tiles[0], self.paragraphs[0]])]
+        self.n_tiles = len(self.tiles[0])
 
     def hashes(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *self._each("hashes")])
+        return np.concatenate([self.own.hashes(*x) for x in (self.tiles, self.paragraphs)])
 
     def checks(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *self._each("checks")])
+        return np.concatenate([self.own.checks(*x) for x in (self.tiles, self.paragraphs)])
 
     def words(self, side: int) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *[x[side] for x in (*self.tiles, *self.paragraphs)]])
+        """By their number in their text."""
+        return np.concatenate([self.tiles[side], self.paragraphs[side]]) - self.own.firsts[self.of]
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All shingles of texts with paragraphs, and the range of each paragraph."""
-        parts = [(p.shingles(), x) for p, x in zip(self.own, self.paragraphs, strict=True) if len(x[0])]
-        offsets = np.cumsum([0, *[len(v) for v, _ in parts]])
-        first = [x[0] + at for (_, x), at in zip(parts, offsets, strict=False)]
-        last = [x[1] - SHINGLE + 1 + at for (_, x), at in zip(parts, offsets, strict=False)]
-        none = np.zeros(0, np.int64)
-        return np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in parts]]), np.concatenate([none, *first]), np.concatenate([none, *last])
+        """The shingles of all words, and the range of each paragraph."""
+        first, last = self.paragraphs
+        return self.own.shingles() if len(first) else np.zeros(0, np.uint64), first, last - SHINGLE + 1
 
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
         """The different shingles of each paragraph, as 32-bit integers, and where each paragraph's begin."""
@@ -217,35 +230,64 @@ class Batch:
         return found.astype(np.uint32), np.searchsorted(found, np.arange(len(first) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32)
 
 
-def spans(text: str, gone: list[tuple[int, int, int, object]], least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, object]]:
+Gone = list[tuple[int, int, int, object]]
+
+
+def spans(text: str, gone: Gone, least_words: int = LEAST_WORDS) -> Gone:
     """``(start, end, words, first document)`` of what to remove; ``gone`` lists ``(first word, last word, hash, first document)``.
 
     Entries whose hash isn't that of the text's (another row with the same id) don't count.
     """
-    own = Passages(text)
-    gone = sorted({(a, b, h % (1 << 64), d) for a, b, h, d in gone if b <= len(own.words)})
-    first, last, hashes = (np.array([g[i] for g in gone], t) for i, t in enumerate((np.int64, np.int64, np.uint64)))
-    same, rest = np.zeros(len(gone), bool), np.arange(len(gone))
+    return next(spans_of([text], [gone], least_words))
+
+
+def spans_of(texts: Sequence[str | None], gone: Sequence[Gone | None], least_words: int = LEAST_WORDS) -> Iterator[Gone]:
+    """``spans()`` of each text, of many texts at a time; none where there is no text or nothing is gone."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= 1 << 20 or i + 1 == len(texts):
+            yield from _spans(texts[start : i + 1], gone[start : i + 1], least_words)
+            start, held = i + 1, 0
+
+
+def _spans(texts: Sequence[str | None], gone: Sequence[Gone | None], least_words: int) -> list[Gone]:
+    own = Passages(*[t if t and g else "" for t, g in zip(texts, gone, strict=True)])
+    entries, of = [], []
+    for i, (g, at, n) in enumerate(zip(gone, own.firsts[:-1].tolist(), np.diff(own.firsts).tolist(), strict=True)):
+        known = sorted({(a + at, b + at, h % (1 << 64), d) for a, b, h, d in g or () if b <= n})
+        entries += known
+        of += [i] * len(known)
+    first, last, hashes = (np.array([g[i] for g in entries], t) for i, t in enumerate((np.int64, np.int64, np.uint64)))
+    same, rest = np.zeros(len(entries), bool), np.arange(len(entries))
     while len(rest):  # those whose ends rise together, then those inside of them
         rising = last[rest] >= np.maximum.accumulate(last[rest])
         at = rest[rising]
         same[at] = own.hashes(first[at], last[at]) == hashes[at]
         rest = rest[~rising]
     runs: list[list] = []
-    for (a, b, _, d), ok in zip(gone, same, strict=True):
+    for i, (a, b, _, d), ok in zip(of, entries, same.tolist(), strict=True):
         if not ok:
             continue
-        if runs and a <= runs[-1][1]:
+        if runs and runs[-1][3] == i and a <= runs[-1][1]:
             runs[-1][1], runs[-1][2] = max(runs[-1][1], b), min(runs[-1][2], d)
         else:
-            runs.append([a, b, d])
-    return [(int(own.starts[a]), int(own.ends[b - 1]), b - a, d) for a, b, d in runs if b - a >= least_words]
+            runs.append([a, b, d, i])
+    out: list[Gone] = [[] for _ in texts]
+    for a, b, d, i in runs:
+        if b - a >= least_words:
+            out[i].append((int(own.starts[a] - own.places[i]), int(own.ends[b - 1] - own.places[i]), b - a, d))
+    return out
 
 
-def cut(text: str, gone: list[tuple[int, int, int, object]], least_words: int = LEAST_WORDS) -> str:
+def cut(text: str, gone: Gone, least_words: int = LEAST_WORDS) -> str:
     """The text without what ``spans`` tells; white space behind a removed span goes with it."""
+    return _without(text, spans(text, gone, least_words))
+
+
+def _without(text: str, removed: Gone) -> str:
     parts, at = [], 0
-    for start, end, *_ in spans(text, gone, least_words):
+    for start, end, *_ in removed:
         parts.append(text[at:start])
         at = end
         while at < len(text) and text[at].isspace():
@@ -386,9 +428,11 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            out = []
-            for doc, text, gone in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "gone")), strict=True):
-                out += [(doc, *s) for s in spans(text or "", [tuple(g.values()) for g in gone], least_words)]
+            lists = batch.column("gone")
+            each = zip(*[lists.flatten().field(i).to_pylist() for i in range(4)], strict=True)
+            gone = [list(itertools.islice(each, n)) for n in pc.list_value_length(lists).fill_null(0).to_pylist()]
+            found = spans_of(batch.column("text").to_pylist(), gone, least_words)
+            out = [(doc, *s) for doc, removed in zip(batch.column("doc").to_pylist(), found, strict=True) for s in removed]
             if out:
                 kinds = [batch.schema.field("doc").type, pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc").type]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "start", "end", "n_words", "first_doc"])
@@ -403,7 +447,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([t if g is None or t is None else cut(t, [(x["start"], x["end"], x["hash"], x["first_doc"]) for x in g], least_words) for t, g in zip(texts, gone, strict=True)], dtype=object)
+        lists = [None if g is None else [(x["start"], x["end"], x["hash"], x["first_doc"]) for x in g] for g in gone]
+        return pd.Series([t if t is None else _without(t, removed) for t, removed in zip(texts, spans_of(list(texts), lists, least_words), strict=True)], dtype=object)
 
     joined, gone = _with_gone(docs, id_column, text_column, least_words, "left")
     text = F.when(F.col(gone).isNotNull(), rest(docs[text_column].cast("string"), F.col(gone))).otherwise(docs[text_column])
