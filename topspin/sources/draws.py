@@ -24,11 +24,12 @@ def _boxes(root: Node) -> list[tuple]:
         if header is None:
             continue
         for position, box in enumerate(_classed(column, "draw-item"), 1):
-            sides = [next(_classed(s, "player-info"), None) for s in _classed(box, "stats-item")][:2]
-            if len(sides) < 2:
+            items = list(_classed(box, "stats-item"))[:2]
+            if len(items) < 2:
                 continue
             row = [header, position]
-            for info, item in zip(sides, _classed(box, "stats-item"), strict=False):
+            for item in items:
+                info = next(_classed(item, "player-info"), None)
                 label = next(_classed(info, "name"), None) if info is not None else None
                 link = next(label.find("a"), None) if label is not None else None
                 sets = [[s.text() for s in x.find("span")] for scores in _classed(item, "scores") for x in _classed(scores, "score-item")]

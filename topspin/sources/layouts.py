@@ -18,7 +18,14 @@ from topspin.sources.pages import Node, extract
 
 
 def _classed(root: Node, name: str, tag: str | None = None) -> Iterator[Node]:
-    return (n for n in root.walk() if name in n.attrs.get("class", "").split() and tag in (None, n.tag))
+    todo = root.children[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            marks = x.attrs.get("class")
+            if marks and name in marks and tag in (None, x.tag) and name in marks.split():
+                yield x
+            todo += x.children[::-1]
 
 
 def _text(nodes: Iterator[Node]) -> str | None:
